@@ -103,8 +103,8 @@ def token_text(tokens: Column) -> Column:
     """`950`, `4.5K` or `1.2M`."""
     t = tokens.cast("double")
     return (
-        F.when(t >= 1e6, F.format_string("%.1fM", t / 1e6))
-        .when(t >= 1e3, F.format_string("%.1fK", t / 1e3))
+        F.when(t >= 1e6, F.concat(F.replace(F.format_number(t / 1e6, 1), F.lit(",")), F.lit("M")))
+        .when(t >= 1e3, F.concat(F.format_number(t / 1e3, 1), F.lit("K")))
         .otherwise(tokens.cast("bigint").cast("string"))
     )
 

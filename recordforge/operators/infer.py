@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from recordforge.functions.jsonfix import repair_json
 from recordforge.functions.variants import entries, json_type, overlay
 from recordforge.operators.order import lay_out, previous_value, row_positions, running_sum
+from recordforge.session import evaluated_once
 
 RESPONSE_SCHEMA = (
     "unit_id string, raw_text string, error string, error_type string, "
@@ -117,7 +118,7 @@ def classify_results(responses: DataFrame, step: str, safe: bool = False) -> Dat
     whole = F.when(F.col("outcome") == "parsed", entries(F.col("parsed"))).when(
         F.col("parsed").isNotNull(), F.create_map(F.lit("response"), F.col("parsed"))
     )
-    return (
+    done = (
         parsed.withColumn("outcome", outcome)
         .withColumn("message", message)
         .withColumn(
@@ -129,6 +130,7 @@ def classify_results(responses: DataFrame, step: str, safe: bool = False) -> Dat
         .withColumn("step", F.lit(step))
         .withColumn("data", overlay(F.coalesce(whole, none), F.expr("map('unit_id', cast(unit_id as variant))")))
     )
+    return evaluated_once(done, ["parsed", "outcome", "message", "failure_stage", "data"])
 
 
 def cost_cap(df: DataFrame, cap: float, cost: str, order_by: list[str], run: list[str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from recordforge.functions.text import python_text, truthy
 from recordforge.functions.variants import INSTANCE_NAMES, as_type, json_type
 from recordforge.operators.schema_check import ERROR, no_errors
-from recordforge.session import null_on_error
+from recordforge.session import evaluated_once, null_on_error
 
 # Accepted type names and the JSON types each admits.
 TYPE_NAMES = {
@@ -227,11 +227,12 @@ def check_rules(df: DataFrame, spec: Mapping, errors: str = "errors", warnings:
     work = work.withColumn("_missing", collect(missing))
     stop = F.size("_missing") > 0
     kept = [c for c in df.columns if c not in (errors, warnings)]
-    return work.select(
+    done = work.select(
         *[F.col(f"`{c}`") for c in kept],
         F.when(stop, F.col("_missing")).otherwise(collect(failed)).alias(errors),
         F.when(stop, no_errors()).otherwise(collect(warned)).alias(warnings),
     )
+    return evaluated_once(done, [errors, warnings])
 
 
 def rule_failures(checked: DataFrame, step: str, unit_id: str = "unit_id") -> DataFrame:

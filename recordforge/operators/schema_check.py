@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from recordforge.functions.jsonfix import repair_json, unwrap_response
 from recordforge.functions.variants import as_type, entries, instance_name, items, json_type, let, type_name
+from recordforge.session import evaluated_once
 
 ERROR = "struct<path:string,rule:string,message:string,validator:string,validator_value:string,instance_type:string>"
 NOTE = "struct<path:string,from:string,to:string>"
@@ -430,13 +431,14 @@ def check_schema(
             ),
         )
         data = F.when(F.size("_n") > 0, patched).otherwise(doc)
-    return work.select(
+    done = work.select(
         *[F.col(f"`{c}`") for c in keep],
         F.when(is_object, data).alias(out),
         F.col("_e").alias("errors"),
         F.coalesce("_n", no_notes()).alias("coercions"),
         (F.size("_e") == 0).alias("is_valid"),
     )
+    return evaluated_once(done, [out, "errors", "coercions", "is_valid"])
 
 
 def field_types(schema: Mapping) -> dict[str, str]:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "recordforge", master: str | None = None, **conf: object) -> SparkSession:
@@ -63,3 +64,15 @@ def null_on_error(spark: SparkSession):
         yield
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def evaluated_once(df, columns: list[str]):
+    """Keep later filters on these columns above the projections that compute them.
+
+    Pushed down, a filter would repeat the whole computation inside its condition, and again for every helper column it
+    is built from. Optimizer rules do not move filters past a projection with a random value.
+    """
+    marked = df.withColumn("_mark", F.rand(0))
+    return marked.select(
+        *[F.when(F.col("_mark") >= 0, F.col(f"`{c}`")).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns]
+    )

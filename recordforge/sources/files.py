@@ -50,9 +50,16 @@ def read_jsonl(
 
 
 def read_jsonl_keyed(spark: SparkSession, path: str | list[str], key: str = "unit_id") -> DataFrame:
-    """(key, record): the last record per key in file order; records with an empty key are dropped."""
-    records = read_jsonl(spark, path).withColumn("_at", F.monotonically_increasing_id())
-    keyed = records.withColumn(key, F.try_variant_get("record", f"$.{key}", "string")).drop("file")
+    """(key, record): the last record per key in order of file name and place; records with an empty key are dropped."""
+    lines = spark.read.text(path).select(
+        F.try_parse_json("value").alias("record"),
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+        ).alias("_at"),
+    )
+    keyed = lines.filter(F.col("record").isNotNull()).withColumn(key, F.try_variant_get("record", f"$.{key}", "string"))
     return last_per_key(keyed, key, "_at").drop("_at")
 
 
@@ -103,14 +110,23 @@ def parse_state(state: Column) -> tuple[Column, Column]:
 
 def read_runs(spark: SparkSession, runs_path: str, include_archived: bool = False) -> DataFrame:
     """One row per run, newest first. Hidden folders and unreadable manifests are skipped, the archive on request only."""
+    file = F.col("_metadata.file_path")
     docs = (
         spark.read.option("wholetext", "true")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "MANIFEST.json")
         .text(runs_path)
-        .select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/MANIFEST\.json$", 1).alias("run"),
-                F.col("_metadata.file_path").contains("/_archive/").alias("archived"))
+        .select(
+            "value",
+            F.regexp_extract(file, r"([^/]+)/MANIFEST\.json$", 1).alias("run"),
+            file.contains("/_archive/").alias("archived"),
+        )
     )
+    return parse_manifests(docs, include_archived)
+
+
+def parse_manifests(docs: DataFrame, include_archived: bool = False) -> DataFrame:
+    """Manifest texts (run, archived, value) as rows, newest first."""
     read = docs.filter(F.try_parse_json("value").isNotNull()).filter(~F.col("run").startswith("."))
     read = read.select("run", "archived", F.from_json("value", MANIFEST_SCHEMA).alias("m")).select("run", "archived", "m.*")
     if not include_archived:
