@@ -63,7 +63,7 @@ def clock_text(seconds: Column) -> Column:
     s = F.greatest(seconds, F.lit(0)).cast("bigint")
     h, m, r = F.floor(s / 3600), F.floor((s % 3600) / 60), s % 60
     return (
-        F.when(s.isNull(), F.lit("--"))
+        F.when(seconds.isNull(), F.lit("--"))
         .when(h > 0, F.format_string("%d:%02d:%02d", h, m, r))
         .otherwise(F.format_string("%02d:%02d", m, r))
     )

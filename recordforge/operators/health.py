@@ -263,8 +263,8 @@ def run_duration(runs: DataFrame, now: Column | None = None) -> DataFrame:
     """Seconds from start to end; an unfinished run counts up to now."""
     end = F.coalesce("completed_at", "failed_at", "killed_at")
     until = F.when(F.col("status").isin(ENDED), end).otherwise(now if now is not None else F.current_timestamp())
-    seconds = F.greatest(F.unix_timestamp(until) - F.unix_timestamp("started"), F.lit(0))
-    return runs.withColumn("duration_seconds", seconds)
+    seconds = F.unix_timestamp(until) - F.unix_timestamp("started")
+    return runs.withColumn("duration_seconds", F.when(seconds >= 0, seconds).when(seconds < 0, F.lit(0)))
 
 
 def recent_runs(runs: DataFrame, n: int = 10) -> DataFrame:

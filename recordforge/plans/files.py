@@ -1 +1,302 @@
+"""Vendor files, JSON lines, step tables, manifests, logs and output formats."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from recordforge.functions.variants import as_type
+from recordforge.operators import reports
+from recordforge.plans.registry import query, table
+from recordforge.plans.shared import STEPS, outputs
+from recordforge.session import work_dir
+from recordforge.sources import files, sinks, vendors
+
+# One result line per conversation turn in each vendor's format, good or broken in several ways by turn and id.
+TURN = "'c' || conv_id || 't' || turn"
+K = "(conv_id + turn) % 8"
+
+
+def _turns(spark, sf):
+    return table(spark, sf, "conversations").selectExpr(
+        f"{TURN} AS unit_id", f"{K} AS k", "text", "length(text) AS n", "cast(turn as int) AS turn"
+    )
+
+
+def _openai_lines(spark, sf):
+    k = F.col("k")
+    choice = F.struct(
+        F.struct(F.when(~k.isin(4, 5), F.col("text")).otherwise(F.lit("")).alias("content")).alias("message"),
+        F.when(k.isin(4, 6), F.lit("content_filter")).when(k == 5, F.lit("length")).otherwise(F.lit("stop")).alias("finish_reason"),
+    )
+    body = F.struct(
+        F.when(k == 3, F.expr("array()").cast("array<struct<message:struct<content:string>,finish_reason:string>>")).otherwise(F.array(choice)).alias("choices"),
+        F.struct(F.col("n").alias("prompt_tokens"), F.col("turn").alias("completion_tokens")).alias("usage"),
+    )
+    line = F.struct(
+        F.col("unit_id").alias("custom_id"),
+        F.struct(F.when(k == 2, 429).otherwise(200).alias("status_code"), body.alias("body")).alias("response"),
+        F.when(k == 1, F.struct(F.lit("bad_request").alias("code"), F.lit("too long").alias("message"))).alias("error"),
+    )
+    return _turns(spark, sf).select(F.when(k == 7, F.lit("{broken")).otherwise(F.to_json(line)).alias("value"))
+
+
+@query(
+    "vendor_results_openai",
+    f"""
+    SELECT unit_id, CASE WHEN k IN (1, 2, 3) THEN NULL WHEN k IN (4, 5) THEN '' ELSE text END AS content,
+        CASE k WHEN 1 THEN 'bad_request: too long' WHEN 2 THEN 'HTTP 429' WHEN 3 THEN 'no_choices' WHEN 4 THEN 'finish_reason: content_filter' END AS error,
+        CASE WHEN k IN (1, 2) THEN 0 ELSE length(text) END AS input_tokens, CASE WHEN k IN (1, 2) THEN 0 ELSE turn END AS output_tokens
+    FROM (SELECT {TURN} AS unit_id, {K} AS k, text, turn FROM conversations) WHERE k <> 7
+    """,
+)
+def vendor_results_openai(spark, sf):
+    return vendors.parse_batch_results(_openai_lines(spark, sf), "openai")
+
+
+def _gemini_lines(spark, sf):
+    k = F.col("k")
+    candidate = F.struct(
+        F.struct(F.array(F.struct(F.when(k != 4, F.col("text")).otherwise(F.lit("")).alias("text"))).alias("parts")).alias("content"),
+        F.when(k == 5, F.lit("SAFETY")).when(k == 6, F.lit("MAX_TOKENS")).otherwise(F.lit("STOP")).alias("finishReason"),
+    )
+    response = F.struct(
+        F.when(~k.isin(2, 3), F.array(candidate)).alias("candidates"),
+        F.when(k == 3, F.struct(F.lit("OTHER").alias("blockReason"))).alias("promptFeedback"),
+        F.struct(F.col("n").alias("promptTokenCount"), F.col("turn").alias("candidatesTokenCount")).alias("usageMetadata"),
+    )
+    line = F.struct(F.col("unit_id").alias("key"), response.alias("response"), F.when(k == 1, F.lit("deadline")).alias("error"))
+    return _turns(spark, sf).select(F.when(k == 7, F.lit("")).otherwise(F.to_json(line)).alias("value"))
+
+
+@query(
+    "vendor_results_gemini",
+    f"""
+    SELECT unit_id, CASE WHEN k IN (1, 2, 3, 5) THEN NULL WHEN k = 4 THEN '' ELSE text END AS content,
+        CASE k WHEN 1 THEN 'deadline' WHEN 2 THEN 'no_response' WHEN 3 THEN 'safety_filter: OTHER' WHEN 4 THEN 'empty_response' WHEN 5 THEN 'finish_reason: SAFETY' END AS error,
+        length(text) AS input_tokens, turn AS output_tokens FROM (SELECT {TURN} AS unit_id, {K} AS k, text, turn FROM conversations) WHERE k <> 7
+    """,
+)
+def vendor_results_gemini(spark, sf):
+    return vendors.parse_batch_results(_gemini_lines(spark, sf), "gemini")
+
+
+def _anthropic_lines(spark, sf):
+    k = F.col("k")
+    message = F.struct(
+        F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"),
+        F.struct(F.col("n").alias("input_tokens"), F.col("turn").alias("output_tokens")).alias("usage"),
+    )
+    kind = F.when(k.isin(1, 2), F.lit("errored")).when(k == 3, F.lit("expired")).when(k == 4, F.lit("canceled")).when(k == 5, F.lit("odd")).otherwise(F.lit("succeeded"))
+    result = F.struct(
+        kind.alias("type"),
+        F.when(k.isin(0, 6), message).alias("message"),
+        F.when(k == 1, F.struct(F.lit("overloaded").alias("type"), F.lit("try later").alias("message"))).alias("error"),
+    )
+    line = F.struct(F.col("unit_id").alias("custom_id"), result.alias("result"))
+    return _turns(spark, sf).select(F.when(k == 7, F.lit("[")).otherwise(F.to_json(line)).alias("value"))
+
+
+@query(
+    "vendor_results_anthropic",
+    f"""
+    SELECT unit_id, CASE WHEN k IN (0, 6) THEN text END AS content,
+        CASE k WHEN 1 THEN 'overloaded: try later' WHEN 2 THEN 'Unknown error' WHEN 3 THEN 'Request expired' WHEN 4 THEN 'Request canceled' WHEN 5 THEN 'Unknown result type: odd' END AS error,
+        CASE WHEN k IN (0, 6) THEN length(text) ELSE 0 END AS input_tokens, CASE WHEN k IN (0, 6) THEN turn ELSE 0 END AS output_tokens
+    FROM (SELECT {TURN} AS unit_id, {K} AS k, text, turn FROM conversations) WHERE k <> 7
+    """,
+)
+def vendor_results_anthropic(spark, sf):
+    return vendors.parse_batch_results(_anthropic_lines(spark, sf), "anthropic")
+
+
+@query(
+    "vendor_totals",
+    f"""
+    SELECT count(*) FILTER (k NOT IN (1, 2, 3, 4))::BIGINT AS succeeded, count(*) FILTER (k IN (1, 2, 3, 4))::BIGINT AS failed,
+        sum(CASE WHEN k IN (1, 2) THEN 0 ELSE length(text) END)::BIGINT AS input_tokens, sum(CASE WHEN k IN (1, 2) THEN 0 ELSE turn END)::BIGINT AS output_tokens
+    FROM (SELECT {K} AS k, text, turn FROM conversations) WHERE k <> 7
+    """,
+)
+def vendor_totals(spark, sf):
+    return vendors.batch_totals(vendors.parse_batch_results(_openai_lines(spark, sf), "openai"))
+
+
+REQUEST_SCHEMA = {"type": "object", "required": ["reply"]}
+
+
+@query(
+    "vendor_requests",
+    f"""
+    SELECT {TURN} AS unit_id, 'gpt|user|' || text || '|json_object' AS openai, text AS gemini,
+        'claude|user|' || text || chr(10) || chr(10) || 'Respond with valid JSON matching this schema: {{"type": "object", "required": ["reply"]}}' AS anthropic FROM conversations
+    """,
+)
+def vendor_requests(spark, sf):
+    """Request lines of all three vendors, read back field by field."""
+    asked = _turns(spark, sf).select("unit_id", F.col("text").alias("prompt"))
+    out = asked
+    for vendor, model in (("openai", "gpt"), ("gemini", "gem"), ("anthropic", "claude")):
+        out = vendors.batch_requests(out, vendor, model, REQUEST_SCHEMA).withColumn(vendor, F.parse_json("value"))
+    get = lambda c, p: F.try_variant_get(c, p, "string")
+    return out.select(
+        "unit_id",
+        F.concat_ws("|", get("openai", "$.body.model"), get("openai", "$.body.messages[0].role"), get("openai", "$.body.messages[0].content"), get("openai", "$.body.response_format.type")).alias("openai"),
+        get("gemini", "$.request.contents[0].parts[0].text").alias("gemini"),
+        F.concat_ws("|", get("anthropic", "$.params.model"), get("anthropic", "$.params.messages[0].role"), get("anthropic", "$.params.messages[0].content")).alias("anthropic"),
+    )
+
+
+@query("jsonl_read", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 9 NOT IN (3, 4)")
+def jsonl_read(spark, sf):
+    """JSON lines written compressed, with blank and broken lines among them, and read back."""
+    path = work_dir(spark, "jsonl")
+    k = F.col("o_orderkey") % 9
+    lines = table(spark, sf, "orders").select(
+        F.when(k == 3, F.lit("   ")).when(k == 4, F.lit('{"o_orderkey": ')).otherwise(F.to_json(F.struct("o_orderkey", "o_orderpriority"))).alias("value")
+    )
+    lines.write.option("compression", "gzip").text(path)
+    return files.read_jsonl(spark, path, "o_orderkey bigint, o_orderpriority string").select("o_orderkey", "o_orderpriority")
+
+
+@query("jsonl_keyed", "SELECT 'u' || user_id AS unit_id, max(event_id) AS event_id FROM events WHERE user_id % 10 <> 0 GROUP BY 1")
+def jsonl_keyed(spark, sf):
+    """The last record per key wins; records with an empty key are dropped."""
+    path = work_dir(spark, "keyed")
+    key = F.when(F.col("user_id") % 10 != 0, F.concat(F.lit("u"), "user_id")).otherwise(F.lit(""))
+    rows = table(spark, sf, "events").select(key.alias("unit_id"), "event_id")
+    rows.repartitionByRange("event_id").sortWithinPartitions("event_id").write.json(path)
+    return files.read_jsonl_keyed(spark, path).select("unit_id", F.try_variant_get("record", "$.event_id", "bigint").alias("event_id"))
+
+
+@query("items_from_document", "SELECT 'lines' AS source, count(*)::BIGINT AS n, min(part) AS first_item FROM (SELECT unnest(string_split(text, chr(10))) AS part FROM documents)")
+def items_from_document(spark, sf):
+    """Item lists inside JSON documents, one per row of the table."""
+    docs = table(spark, sf, "documents").select(F.to_json(F.struct(F.split("text", "\n").alias("items"))).alias("value"))
+    items = docs.select(F.explode(as_type(F.try_variant_get(F.try_parse_json("value"), "$.items", "variant"), "array<string>")).alias("item"))
+    return items.agg(F.lit("lines").alias("source"), F.count(F.lit(1)).alias("n"), F.min("item").alias("first_item"))
+
+
+@query(
+    "step_tables",
+    "SELECT event_type AS step, count(*)::BIGINT AS n, max(event_id) AS last_id FROM events WHERE event_type = 'purchase' GROUP BY 1",
+)
+def step_tables(spark, sf):
+    """Step outputs in a table partitioned by step, written twice; the last step is read by partition pruning."""
+    path = work_dir(spark, "steps")
+    made = outputs(spark, sf).select("step", "unit_id", "event_id")
+    sinks.write_step(made, path)
+    sinks.write_step(made.filter(F.col("step") == STEPS[-1]), path)
+    last = spark.read.parquet(path).filter(F.col("step") == STEPS[-1])
+    return last.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
+
+
+@query("append_records", "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def append_records(spark, sf):
+    """Records added in two goes."""
+    path = work_dir(spark, "append")
+    events = table(spark, sf, "events").select("event_type", "event_id")
+    sinks.append_records(events.filter("event_type = 'error'"), path, "gzip")
+    sinks.append_records(events.filter("event_type <> 'error'"), path)
+    return spark.read.schema("event_type string, event_id bigint").json(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "units_written",
+    """
+    SELECT pos // 400 AS chunk_id, count(*)::BIGINT AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key
+    FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) GROUP BY 1
+    """,
+)
+def units_written(spark, sf):
+    """Units as JSON lines in chunk folders, read back."""
+    path = work_dir(spark, "units")
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("unit_id"), "o_orderkey")
+    sinks.write_units(rows, path, 400, ["o_orderkey"], compression="gzip")
+    back = spark.read.schema("unit_id string, o_orderkey bigint, chunk_id bigint").json(path)
+    return back.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
+
+
+@query(
+    "units_extracted",
+    """
+    SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN '' ELSE lang || '_' || source || '_' || doc_id || '.txt' END AS filename, md5(text) AS body,
+        CASE WHEN doc_id % 13 = 0 THEN 'empty_filename' END AS error FROM documents
+    """,
+)
+def units_extracted(spark, sf):
+    """File names and contents of single-file extraction."""
+    docs = table(spark, sf, "documents").withColumn("unit_id", F.col("doc_id"))
+    name = "CASE WHEN doc_id % 13 = 0 THEN '' ELSE concat(lang, '/', source, '\\\\', doc_id, '.txt') END"
+    made = sinks.extracted(docs, name, "text")
+    return made.select(F.col("unit_id").alias("doc_id"), "filename", F.md5("content").alias("body"), "error")
+
+
+@query(
+    "extract_counts",
+    "SELECT count(*) FILTER (doc_id % 13 <> 0)::BIGINT AS extracted, count(*) FILTER (doc_id % 13 = 0)::BIGINT AS errors FROM documents",
+)
+def extract_counts(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("unit_id", F.col("doc_id"))
+    return sinks.extract_counts(sinks.extracted(docs, "CASE WHEN doc_id % 13 <> 0 THEN concat(doc_id, '.txt') END", "text"))
+
+
+@query(
+    "report_csv",
+    """
+    SELECT source AS "group", round(avg(n_chars), 2) AS mean, max(n_chars)::DOUBLE AS max_val, count(*)::BIGINT AS count FROM documents GROUP BY source
+    """,
+)
+def report_csv(spark, sf):
+    """A statistics report written as CSV and read back."""
+    path = work_dir(spark, "csv")
+    stats = reports.numeric_stats(table(spark, sf, "documents"), "source", "n_chars")
+    sinks.write_report_csv(stats.select("group", "count", "mean", "max_val"), path)
+    return spark.read.schema("group string, count bigint, mean double, max_val double").option("header", "true").csv(path)
+
+
+@query(
+    "run_manifests",
+    """
+    SELECT 'run' || c_custkey AS run, 'batch' AS mode, count(o_orderkey)::BIGINT AS chunks, sum(o_orderkey % 50)::BIGINT AS items, max(CASE o_orderkey % 2 WHEN 0 THEN 'big_step' END) AS step
+    FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 GROUP BY c_custkey
+    """,
+)
+def run_manifests(spark, sf):
+    """Manifest documents with a chunk map each; broken and archived ones are left out."""
+    entry = F.struct(
+        F.concat(F.lit("chunk_"), "o_orderkey").alias("key"),
+        F.struct(
+            F.when(F.col("o_orderkey") % 2 == 0, F.lit("big_step_PENDING")).otherwise(F.lit("VALIDATED")).alias("state"),
+            (F.col("o_orderkey") % 50).alias("items"),
+        ).alias("value"),
+    )
+    per_run = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(entry).alias("entries"))
+    document = F.to_json(F.struct(F.map_from_entries("entries").alias("chunks")))
+    docs = per_run.select(
+        F.concat(F.lit("run"), "o_custkey").alias("run"),
+        (F.col("o_custkey") % 5 == 0).alias("archived"),
+        F.when(F.col("o_custkey") % 7 == 0, F.lit('{"chunks": ')).otherwise(document).alias("value"),
+    )
+    made = files.parse_manifests(docs)
+    opened = files.run_chunks(made)
+    return opened.join(made.select("run", "mode"), "run").groupBy("run", "mode").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum("items").alias("items"), F.max("step").alias("step")
+    )
+
+
+@query(
+    "run_log",
+    "SELECT event_id, date_trunc('second', ts) AS ts, upper(event_type) AS level, 'user ' || user_id AS message FROM events WHERE event_id % 5 <> 0",
+)
+def run_log(spark, sf):
+    """Log lines written as text and parsed again; foreign lines are dropped."""
+    path = work_dir(spark, "log")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    good = F.format_string("[%s] [%s] user %d #%d", stamp, F.upper("event_type"), "user_id", "event_id")
+    line = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("  at line "), "event_id")).otherwise(good)
+    table(spark, sf, "events").select(line.alias("value")).write.text(path)
+    log = files.read_run_log(spark, path)
+    return log.select(
+        F.substring_index("message", "#", -1).cast("bigint").alias("event_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), "level",
+        F.substring_index("message", " #", 1).alias("message"),
+    )
