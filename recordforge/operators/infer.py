@@ -95,6 +95,11 @@ def infer(
     return work.mapInPandas(run, RESPONSE_SCHEMA)
 
 
+def read_responses(df: DataFrame, column: str, out: str = "parsed", safe: bool = False) -> DataFrame:
+    """Add the JSON value of a response text; it is parsed once, whatever is filtered on it later."""
+    return evaluated_once(df.withColumn(out, repair_json(F.col(column), safe)), [out])
+
+
 def classify_results(responses: DataFrame, step: str, safe: bool = False) -> DataFrame:
     """Read response text and say what each row is.
 

@@ -7,8 +7,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordforge.functions.jsonfix import repair_json
 from recordforge.functions.variants import entries, json_type
+from recordforge.operators.infer import read_responses
 from recordforge.operators.validate import last_per_key, validate_step
 from recordforge.session import settle
 
@@ -119,7 +119,7 @@ def revalidate(
     Adds `outcome`: `promoted`, `still_failing`, `no_raw_response`, or `untouched` for hard failures. `failures` has one
     row per unit with `input` as MAP<STRING, VARIANT> and `raw_response`.
     """
-    read = failures.withColumn("_parsed", repair_json(F.col("raw_response")))
+    read = read_responses(failures, "raw_response", "_parsed")
     soft = is_retryable()
     usable = soft & (json_type(F.col("_parsed")) == "object")
     ready = read.filter(usable)

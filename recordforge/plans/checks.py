@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordforge.functions import jsonfix
 from recordforge.functions.variants import entries
-from recordforge.operators import gates, rules, schema_check, validate
-from recordforge.plans.registry import query, table
+from recordforge.operators import gates, infer, rules, schema_check, validate
+from recordforge.plans.registry import busy_table, query, table
 from recordforge.plans.shared import CENTS, RESPONSE, SCHEMA, responses
 
 
@@ -24,7 +23,7 @@ from recordforge.plans.shared import CENTS, RESPONSE, SCHEMA, responses
     """,
 )
 def json_repair(spark, sf):
-    read = responses(spark, sf).withColumn("v", jsonfix.repair_json(F.col("response")))
+    read = infer.read_responses(responses(spark, sf), "response", "v")
     return read.select(
         "o_orderkey",
         F.col("v").isNotNull().alias("parsed"),
@@ -115,7 +114,7 @@ def schema_nested(spark, sf):
         F.split("text", "\n"),
         lambda x, i: F.struct(i.alias("n"), F.size(F.split(x, " ")).cast("string").alias("words")),
     )
-    docs = table(spark, sf, "documents").select(
+    docs = busy_table(spark, sf, "documents", "doc_id", "text", "lang", "n_chars").select(
         "doc_id", F.to_json(F.struct(lines.alias("lines"), "lang", F.col("n_chars").cast("string").alias("chars"))).alias("j")
     )
     checked = schema_check.check_schema(docs, NESTED, "j")
@@ -233,9 +232,9 @@ STEP_RULES = {
 
 def judged_step(spark, sf, fix: bool = True):
     """The response step judged: responses that are no JSON are lost on the way and come back as failures."""
-    read = responses(spark, sf).withColumn("v", jsonfix.repair_json(F.col("response"))).filter("v is not null")
+    read = infer.read_responses(responses(spark, sf), "response", "v").filter("v is not null")
     results = read.select("unit_id", entries(F.col("v")).alias("data"), F.col("response").alias("raw_response"))
-    inputs = table(spark, sf, "orders").selectExpr(
+    inputs = busy_table(spark, sf, "orders", "o_orderkey", "o_custkey").selectExpr(
         "cast(o_orderkey as string) AS unit_id", "o_custkey AS custkey", "cast(o_orderkey % 3 as int) AS retry_count"
     )
     return validate.validate_step(results, inputs, SCHEMA, STEP_RULES, "price", {"custkey": "bigint"}, fix=fix)
@@ -273,7 +272,7 @@ def step_validation(spark, sf):
     f"SELECT o_orderkey::VARCHAR AS unit_id, o_custkey AS custkey, 'result' AS origin, CASE WHEN o_orderkey % 10 = 6 THEN NULL ELSE {CENTS} END AS cents FROM orders WHERE o_orderkey % 10 <> 7",
 )
 def premerge(spark, sf):
-    read = responses(spark, sf).withColumn("v", jsonfix.repair_json(F.col("response"))).filter("v is not null")
+    read = infer.read_responses(responses(spark, sf), "response", "v").filter("v is not null")
     tagged = F.map_concat(entries(F.col("v")), F.expr("map('origin', cast('result' as variant))"))
     results = read.select("unit_id", tagged.alias("data"))
     inputs = table(spark, sf, "orders").selectExpr("cast(o_orderkey as string) AS unit_id", "o_custkey AS custkey", "'input' AS origin")
@@ -316,7 +315,7 @@ def failure_enrichment(spark, sf):
 )
 def lost_records(spark, sf):
     inputs = table(spark, sf, "orders").selectExpr("cast(o_orderkey as string) AS unit_id", "o_custkey")
-    read = responses(spark, sf).filter(jsonfix.repair_json(F.col("response")).isNotNull())
+    read = infer.read_responses(responses(spark, sf), "response", "v").filter("v is not null").drop("v")
     checked = schema_check.check_schema(read, SCHEMA, "response", repair=True)
     lost = validate.lost_records(inputs, *schema_check.split_valid(checked), "price")
     return lost.select("unit_id", "failure_stage", "step", F.col("errors")[0]["message"].alias("message"))

@@ -318,15 +318,15 @@ PRICED = RC + """, p AS (SELECT p_brand AS model, round(avg(p_retailprice), 2) A
     "run_costs",
     PRICED
     + """, s AS (SELECT run, sum(valid)::BIGINT AS surviving FROM c GROUP BY run)
-    SELECT run, ti AS total_input, t_o AS total_output, round(coalesce(tr * 100.0 / nullif(ti + t_o, 0), 0), 6) AS retry_pct, round(cost, 6) AS cost, price_known,
-        round(coalesce(cost / nullif(surviving, 0), 0), 6) AS cost_per_unit FROM cost LEFT JOIN s USING (run)""",
+    SELECT run, ti AS total_input, t_o AS total_output, round(coalesce(tr * 100.0 / nullif(ti + t_o, 0), 0), 6) AS retry_pct, round(cost, 10) AS cost, price_known,
+        round(coalesce(cost / nullif(surviving, 0), 0), 8) AS cost_per_unit FROM cost LEFT JOIN s USING (run)""",
 )
 def run_costs(spark, sf):
     alive = chunks(spark, sf).groupBy("run").agg(F.sum("valid").alias("surviving"))
     made = costs.run_costs(runs(spark, sf), _pricing(spark, sf), alive)
     return made.select(
-        "run", "total_input", "total_output", F.round("retry_pct", 6).alias("retry_pct"), F.round("cost", 6).alias("cost"), "price_known",
-        F.round("cost_per_unit", 6).alias("cost_per_unit"),
+        "run", "total_input", "total_output", F.round("retry_pct", 6).alias("retry_pct"), F.round("cost", 10).alias("cost"), "price_known",
+        F.round("cost_per_unit", 8).alias("cost_per_unit"),
     )
 
 

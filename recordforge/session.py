@@ -18,6 +18,8 @@ def build_session(app: str = "recordforge", master: str | None = None, **conf: o
         builder = builder.master(master)
     settings = {
         "spark.sql.session.timeZone": "UTC",
+        # Call sites of column expressions are only wanted while debugging; recording them slows query building.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -66,6 +68,16 @@ def null_on_error(spark: SparkSession):
         spark.conf.set("spark.sql.ansi.enabled", before)
 
 
+def spread(df):
+    """Give CPU-heavy row work one task per core where a scan has fewer splits than that.
+
+    For plain scans only (counting their splits runs nothing). With large inputs there are more splits than cores and
+    nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def evaluated_once(df, columns: list[str]):
     """Keep later filters on these columns above the projections that compute them.
 

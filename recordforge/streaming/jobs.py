@@ -177,7 +177,7 @@ def cost_cap(
 
     def work(rows: DataFrame, n: int) -> None:
         spark = rows.sparkSession
-        local = running_sum(rows, F.col(cost), order_by, run, out="_local")
+        local = running_sum(rows, F.col(cost), order_by, run, out="_in_batch")
         before = None
         try:
             before = spark.read.parquet(totals_path).filter(F.col(BATCH) < n)
@@ -189,8 +189,8 @@ def cost_cap(
         else:
             sums = before.groupBy(*run).agg(F.sum("spent").alias("_before"))
             carried = local.join(sums, run, "left").withColumn("_before", F.coalesce("_before", F.lit(0.0)))
-        kept = carried.withColumn("running_cost", F.col("_before") + F.col("_local")).filter(F.col("running_cost") - F.col(cost) < cap)
-        _put(kept.drop("_before", "_local"), path, n)
+        kept = carried.withColumn("running_cost", F.col("_before") + F.col("_in_batch")).filter(F.col("running_cost") - F.col(cost) < cap)
+        _put(kept.drop("_before", "_in_batch"), path, n)
         _put(rows.groupBy(*run).agg(F.sum(cost).alias("spent")), totals_path, n)
 
     each_batch(results, work, checkpoint)
