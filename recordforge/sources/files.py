@@ -65,7 +65,7 @@ def read_jsonl_keyed(spark: SparkSession, path: str | list[str], key: str = "uni
 
 def read_items(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
     """Items of a JSON document that is a list, or a list under `key`, as (`idx`, `item` VARIANT)."""
-    doc = spark.read.option("wholetext", "true").text(path).select(F.try_parse_json("value").alias("doc"))
+    doc = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"))
     source = F.try_variant_get("doc", f"$.{key}", "variant") if key else F.col("doc")
     kind = json_type(source)
     where = f"'{key}'" if key else "the document"
@@ -110,19 +110,21 @@ def parse_state(state: Column) -> tuple[Column, Column]:
 
 def read_runs(spark: SparkSession, runs_path: str, include_archived: bool = False) -> DataFrame:
     """One row per run, newest first. Hidden folders and unreadable manifests are skipped, the archive on request only."""
-    file = F.col("_metadata.file_path")
-    docs = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "MANIFEST.json")
-        .text(runs_path)
-        .select(
-            "value",
-            F.regexp_extract(file, r"([^/]+)/MANIFEST\.json$", 1).alias("run"),
-            file.contains("/_archive/").alias("archived"),
-        )
-    )
-    return parse_manifests(docs, include_archived)
+
+    def documents(path: str, archived: bool) -> DataFrame:
+        docs = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="MANIFEST.json")
+        run = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/MANIFEST\.json$", 1)
+        return docs.select("value", run.alias("run"), F.lit(archived).alias("archived"))
+
+    # A listing leaves out folders that start with an underscore, so the archive is read by its own path.
+    found = documents(runs_path, False)
+    if include_archived:
+        try:
+            found = found.unionByName(documents(f"{runs_path.rstrip('/')}/_archive", True))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    return parse_manifests(found, include_archived)
 
 
 def parse_manifests(docs: DataFrame, include_archived: bool = False) -> DataFrame:
