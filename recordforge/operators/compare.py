@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordforge.operators.order import previous_value
+
 
 def compare_runs(
     units: DataFrame, outputs: DataFrame, last_step: str, costs: DataFrame, fan_out_step: str | None = None
@@ -93,8 +95,8 @@ def sample_units(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
 def watch_deltas(snapshots: DataFrame, keys: Sequence[str] = ("run", "step")) -> DataFrame:
     """Rise of `valid` and `failed` since the snapshot before; the first one counts from zero.
 
-    Snapshots are a small table: one row per run, step and look.
+    The snapshot before is found over the whole ordered table, so one run may have any share of the snapshots.
     """
-    w = Window.partitionBy(*keys).orderBy("ts")
-    rise = lambda c: F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0))
-    return snapshots.withColumns({"new_valid": rise("valid"), "new_failed": rise("failed")})
+    seen = previous_value(snapshots, F.struct("valid", "failed"), ["ts"], list(keys), out="_before")
+    rise = lambda c: F.col(c) - F.coalesce(F.col(f"_before.{c}"), F.lit(0))
+    return seen.withColumns({"new_valid": rise("valid"), "new_failed": rise("failed")}).drop("_before")

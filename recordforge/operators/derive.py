@@ -44,7 +44,7 @@ def derive(
     """Evaluate named SQL expressions in order; later ones see earlier results, a repeated name replaces the value.
 
     `_seed` holds the row's seed while expressions run. An expression that gives NULL has failed: `flag` names it in
-    `_expr_error`, `drop` removes the row, `ignore` lets it pass.
+    `_expr_error`, `drop` removes the row, `ignore` lets it pass, `fail` ends the job.
     """
     hidden = [c for c in HIDDEN if c in df.columns]
     seeded = df.withColumn(SEED, rng.default_seed(df.columns, step))
@@ -65,6 +65,9 @@ def derive(
         work = work.withColumn("_expr_error", failed)
     elif on_error == "drop":
         work = work.filter(failed.isNull())
+    elif on_error == "fail":
+        stop = lambda n: F.raise_error(F.concat(F.lit(f"Expression '{n}' failed for unit "), F.col("unit_id")))
+        work = work.withColumns({n: F.when(F.col(n).isNull(), stop(n)).otherwise(F.col(n)) for n in names})
     rest = [c for c in work.columns if c not in (SEED, "_hidden")]
     return work.select(*rest, *[F.col(f"_hidden.{c}").alias(c) for c in hidden])
 

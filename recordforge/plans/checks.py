@@ -76,9 +76,10 @@ def schema_strict(spark, sf):
     rows = table(spark, sf, "orders").select(F.to_json(F.struct("o_orderkey", "o_orderstatus")).alias("j"))
     ok = schema_check.check_schema(rows, {"type": "object", "required": ["o_orderkey"]}, "j")
     bad = schema_check.check_schema(responses(spark, sf), SCHEMA, "response")
-    total = schema_check.strict(ok).agg(F.count(F.lit(1)).alias("all_good"))
-    none = schema_check.strict(bad).agg(F.count(F.lit(1)).alias("with_bad"))
-    return total.join(none, F.lit(True))
+    passed = schema_check.strict(ok).select(F.lit(True).alias("good")).unionByName(
+        schema_check.strict(bad).select(F.lit(False).alias("good"))
+    )
+    return passed.agg(F.count_if("good").alias("all_good"), F.count_if(~F.col("good")).alias("with_bad"))
 
 
 NESTED = {

@@ -257,31 +257,23 @@ def report_csv(spark, sf):
 @query(
     "run_manifests",
     """
-    SELECT 'run' || c_custkey AS run, 'batch' AS mode, count(o_orderkey)::BIGINT AS chunks, sum(o_orderkey % 50)::BIGINT AS items, max(CASE o_orderkey % 2 WHEN 0 THEN 'big_step' END) AS step
-    FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 GROUP BY c_custkey
+    SELECT 'run' || o_orderkey AS run, 'batch' AS mode, chunk, CASE WHEN chunk = 'chunk_000' THEN 'big_step' END AS step,
+        CASE WHEN chunk = 'chunk_000' THEN 'PENDING' ELSE 'VALIDATED' END AS chunk_status, CASE WHEN chunk = 'chunk_000' THEN o_orderkey % 50 ELSE o_custkey END AS items
+    FROM orders, (VALUES ('chunk_000'), ('chunk_001')) t(chunk) WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0
     """,
 )
 def run_manifests(spark, sf):
     """Manifest documents with a chunk map each; broken and archived ones are left out."""
-    entry = F.struct(
-        F.concat(F.lit("chunk_"), "o_orderkey").alias("key"),
-        F.struct(
-            F.when(F.col("o_orderkey") % 2 == 0, F.lit("big_step_PENDING")).otherwise(F.lit("VALIDATED")).alias("state"),
-            (F.col("o_orderkey") % 50).alias("items"),
-        ).alias("value"),
-    )
-    per_run = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(entry).alias("entries"))
-    document = F.to_json(F.struct(F.map_from_entries("entries").alias("chunks")))
-    docs = per_run.select(
-        F.concat(F.lit("run"), "o_custkey").alias("run"),
-        (F.col("o_custkey") % 5 == 0).alias("archived"),
-        F.when(F.col("o_custkey") % 7 == 0, F.lit('{"chunks": ')).otherwise(document).alias("value"),
+    chunk = lambda state, items: F.struct(F.lit(state).alias("state"), F.col(items).alias("items"))
+    orders = table(spark, sf, "orders").withColumn("few", F.col("o_orderkey") % 50)
+    chunks = F.create_map(F.lit("chunk_000"), chunk("big_step_PENDING", "few"), F.lit("chunk_001"), chunk("VALIDATED", "o_custkey"))
+    docs = orders.select(
+        F.concat(F.lit("run"), "o_orderkey").alias("run"),
+        (F.col("o_orderkey") % 5 == 0).alias("archived"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit('{"chunks": ')).otherwise(F.to_json(F.struct(chunks.alias("chunks")))).alias("value"),
     )
     made = files.parse_manifests(docs)
-    opened = files.run_chunks(made)
-    return opened.join(made.select("run", "mode"), "run").groupBy("run", "mode").agg(
-        F.count(F.lit(1)).alias("chunks"), F.sum("items").alias("items"), F.max("step").alias("step")
-    )
+    return files.run_chunks(made).join(made.select("run", "mode"), "run").select("run", "mode", "chunk", "step", "chunk_status", "items")
 
 
 @query(

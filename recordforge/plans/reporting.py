@@ -295,9 +295,10 @@ def _pricing(spark, sf):
     brands = table(spark, sf, "part").groupBy(F.col("p_brand").alias("model")).agg(
         F.round(F.avg("p_retailprice"), 2).alias("input_per_million"), F.max("p_size").cast("double").alias("output_per_million")
     )
-    vendors = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("provider")).distinct()
-    # Brands and segments are code lists; the equi-join on a constant pairs each brand with each segment once.
-    paired = brands.withColumn("_one", F.lit(1)).join(vendors.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # Every (vendor, model) pair in use gets the price of its model.
+    used = runs(spark, sf).select("provider", "model").distinct()
+    default = used.select("provider", F.lit("Brand#1").alias("model")).distinct()
+    paired = used.unionByName(default).distinct().join(brands, "model")
     return paired.select(
         "provider", "model", F.col("model").alias("display_name"), "input_per_million", "output_per_million",
         F.when(F.col("provider") == "MACHINERY", F.lit(3.0)).alias("realtime_multiplier"),
@@ -319,14 +320,14 @@ PRICED = RC + """, p AS (SELECT p_brand AS model, round(avg(p_retailprice), 2) A
     PRICED
     + """, s AS (SELECT run, sum(valid)::BIGINT AS surviving FROM c GROUP BY run)
     SELECT run, ti AS total_input, t_o AS total_output, round(coalesce(tr * 100.0 / nullif(ti + t_o, 0), 0), 6) AS retry_pct, round(cost, 10) AS cost, price_known,
-        round(coalesce(cost / nullif(surviving, 0), 0), 8) AS cost_per_unit FROM cost LEFT JOIN s USING (run)""",
+        round(coalesce(cost / nullif(surviving, 0), 0), 11) AS cost_per_unit FROM cost LEFT JOIN s USING (run)""",
 )
 def run_costs(spark, sf):
     alive = chunks(spark, sf).groupBy("run").agg(F.sum("valid").alias("surviving"))
     made = costs.run_costs(runs(spark, sf), _pricing(spark, sf), alive)
     return made.select(
         "run", "total_input", "total_output", F.round("retry_pct", 6).alias("retry_pct"), F.round("cost", 10).alias("cost"), "price_known",
-        F.round("cost_per_unit", 8).alias("cost_per_unit"),
+        F.round("cost_per_unit", 11).alias("cost_per_unit"),
     )
 
 

@@ -25,6 +25,8 @@ def build_session(app: str = "recordforge", master: str | None = None, **conf: o
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # Skewed joins are split even where the split costs one more shuffle.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # Checkpoint files go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **{k: str(v) for k, v in conf.items()},
     }
     for key, value in settings.items():

@@ -71,11 +71,15 @@ def extract_counts(work: DataFrame) -> DataFrame:
     return work.agg(F.count_if(F.col("error").isNull()).alias("extracted"), F.count_if(F.col("error").isNotNull()).alias("errors"))
 
 
-def write_report_csv(report: DataFrame, path: str, decimals: dict[str, int] | None = None, default: int = 2) -> None:
-    """A report (one row per group) as one CSV file: numbers rounded, missing values empty."""
+def write_report_csv(
+    report: DataFrame, path: str, decimals: dict[str, int] | None = None, default: int = 2, files: int | None = None
+) -> None:
+    """A report (one row per group) as CSV: numbers rounded, missing values empty; `files` sets the number of files."""
     decimals = decimals or {}
     cols = [
         F.round(f.name, decimals.get(f.name, default)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f"`{f.name}`")
         for f in report.schema.fields
     ]
-    report.select(*cols).coalesce(1).write.mode("overwrite").option("header", "true").option("nullValue", "").csv(path)
+    rows = report.select(*cols)
+    rows = rows.repartition(files) if files else rows
+    rows.write.mode("overwrite").option("header", "true").option("nullValue", "").csv(path)

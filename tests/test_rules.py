@@ -95,3 +95,20 @@ def test_prompts_are_strict(spark):
     assert got == "Hi N 3\n"
     with pytest.raises(AnalysisException):
         prompts.render_prompts(df, "{{ nobody }}")
+
+
+def test_derive_error_policies(spark):
+    df = spark.createDataFrame([("a", 0), ("b", 2)], "unit_id string, n int")
+    flagged = derive.derive(df, {"r": "4 / n", "s": "r + 1"}).orderBy("unit_id").collect()
+    assert [(r.r, r._expr_error) for r in flagged] == [(None, "r"), (2.0, None)]
+    assert derive.derive(df, {"r": "4 / n"}, on_error="drop").count() == 1
+    with pytest.raises(Exception, match="failed for unit a"):
+        derive.derive(df, {"r": "4 / n"}, on_error="fail").collect()
+
+
+def test_hidden_fields_stay_out_of_expressions(spark):
+    df = spark.createDataFrame([("a", 7, "raw")], "unit_id string, _repetition_seed bigint, _raw_text string")
+    got = derive.derive(df, {"x": "_seed"}, on_error="ignore").first()
+    assert got.x == 7 and got._repetition_seed == 7 and got._raw_text == "raw"
+    with pytest.raises(AnalysisException):
+        derive.derive(df, {"x": "_raw_text"})
