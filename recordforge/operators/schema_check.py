@@ -101,7 +101,7 @@ class _Compiler:
                 return self.result(b.o, self.checks(spec, b.o, b.t, path), no_notes())
             new_type = spec.get("type", "string")
             changed = let(
-                coerced,
+                coerced.cast("variant"),
                 lambda c: self.result(c, self.checks(spec, c, F.lit(new_type), path), F.array(self.note(path, b.o, c))),
             )
             return F.when(coerced.isNotNull(), changed).otherwise(
@@ -110,23 +110,28 @@ class _Compiler:
 
         return let(F.struct(v.alias("o"), json_type(v).alias("t")), with_type)
 
-    def coerced_scalar(self, spec: Mapping, v: Column, t: Column) -> Column | None:
-        """The coerced value as VARIANT, NULL where nothing is coerced; None if the node never coerces."""
+    def coerced_scalar(
+        self, spec: Mapping, v: Column, t: Column, text: Column | None = None, number: Column | None = None
+    ) -> Column | None:
+        """The coerced value in its Spark type, NULL where nothing is coerced; None if the node never coerces.
+
+        `text` and `number` are the value as string and double where the caller has them at hand.
+        """
         kind = spec.get("type")
-        text = as_type(v, "string")
+        text = as_type(v, "string") if text is None else text
         if kind == "integer":
             digits = F.regexp_replace(F.trim(text), "_", "").try_cast("bigint")
-            number = as_type(v, "double")
+            number = as_type(v, "double") if number is None else number
             whole = F.when(number == F.floor(number), as_type(v, "decimal(38,10)").try_cast("bigint"))
             fixed = F.when((t == "string") & text.rlike(INT_TEXT), digits).when(t == "number", whole)
-            return fixed.cast("variant")
+            return fixed
         if kind == "number":
             value = F.regexp_replace(F.trim(text), "_", "").try_cast("double")
             finite = (F.abs(value) < float("inf")) & ~F.isnan(value)
-            return F.when((t == "string") & text.rlike(FLOAT_TEXT) & finite, value).cast("variant")
+            return F.when((t == "string") & text.rlike(FLOAT_TEXT) & finite, value)
         if kind == "boolean":
             low = F.lower(text)
-            return F.when((t == "string") & low.isin("true", "false"), low == "true").cast("variant")
+            return F.when((t == "string") & low.isin("true", "false"), low == "true")
         allowed = [x for x in spec.get("enum", []) if isinstance(x, str)]
         if allowed:
             bare = F.when(F.lower(text).startswith(ENUM_PREFIX), F.substr(text, F.lit(len(ENUM_PREFIX) + 1))).otherwise(text)
@@ -136,13 +141,16 @@ class _Compiler:
                 canon.setdefault(x.lower(), x)
             table = F.create_map(*[F.lit(y) for pair in canon.items() for y in pair])
             hit = F.try_element_at(table, key)
-            return F.when((t == "string") & ~text.isin(allowed), hit).cast("variant")
+            return F.when((t == "string") & ~text.isin(allowed), hit)
         return None
 
-    def checks(self, spec: Mapping, v: Column, t: Column, path: Column) -> Column:
+    def checks(
+        self, spec: Mapping, v: Column, t: Column, path: Column, text: Column | None = None, number: Column | None = None
+    ) -> Column:
         """Keyword checks of one value of JSON type `t`, without its children."""
         kind_name = instance_name(t)
-        number, text = as_type(v, "double"), as_type(v, "string")
+        number = as_type(v, "double") if number is None else number
+        text = as_type(v, "string") if text is None else text
         is_number, is_text = t.isin("integer", "number"), t == "string"
         found: list[Column] = []
 
@@ -345,43 +353,56 @@ def check_schema(
     known = {n: _resolve(spec, compiler.defs) for n, spec in schema.get("properties", {}).items()}
     nested = {n for n, spec in known.items() if spec.get("type") in ("array", "object") or "properties" in spec}
     flat = {n: f"{i}" for i, n in enumerate(known) if n not in nested}
-    work = work.withColumns({f"_f{i}": field(doc, n) for n, i in flat.items()} | {"_shape": F.schema_of_variant(doc)})
+    deep = {n: f"{i}" for i, n in enumerate(known) if n in nested}
+    work = work.withColumns({f"_f{i}": field(doc, n) for n, i in (flat | deep).items()} | {"_shape": F.schema_of_variant(doc)})
     work = work.withColumns({f"_s{i}": F.schema_of_variant(f"_f{i}") for i in flat.values()})
-    work = work.withColumns({f"_t{i}": type_name(F.col(f"_s{i}")) for i in flat.values()})
-    coerced = {n: compiler.coerced_scalar(known[n], F.col(f"_f{i}"), F.col(f"_t{i}")) for n, i in flat.items()}
-    coerced = {n: c for n, c in coerced.items() if c is not None}
-    work = work.withColumns({f"_c{flat[n]}": c for n, c in coerced.items()})
-    new_types = {n: known[n].get("type", "string") for n in coerced}
+    # The value as text and as number, read once for coercion and all checks.
     work = work.withColumns(
-        {f"_v{flat[n]}": F.coalesce(F.col(f"_c{flat[n]}"), F.col(f"_f{flat[n]}")) for n in coerced}
+        {f"_t{i}": type_name(F.col(f"_s{i}")) for i in flat.values()}
+        | {f"_x{i}": F.when(F.col(f"_s{i}") == "STRING", as_type(F.col(f"_f{i}"), "string")) for i in flat.values()}
         | {
-            f"_u{flat[n]}": F.when(F.col(f"_c{flat[n]}").isNotNull(), F.lit(new_types[n])).otherwise(F.col(f"_t{flat[n]}"))
-            for n in coerced
+            f"_y{i}": F.when(~F.col(f"_s{i}").isin("STRING", "BOOLEAN", "VOID"), as_type(F.col(f"_f{i}"), "double"))
+            for i in flat.values()
         }
     )
+    part = lambda letter, n: F.col(f"_{letter}{flat[n]}")
+    native = {n: compiler.coerced_scalar(known[n], part("f", n), part("t", n), part("x", n), part("y", n)) for n in flat}
+    native = {n: c for n, c in native.items() if c is not None}
+    work = work.withColumns({f"_k{flat[n]}": c for n, c in native.items()})
+    coerced = {n: part("k", n).cast("variant") for n in native}
+    work = work.withColumns({f"_c{flat[n]}": c for n, c in coerced.items()})
+    new_types = {n: known[n].get("type", "string") for n in coerced}
+    work = work.withColumns(
+        {f"_v{flat[n]}": F.coalesce(part("c", n), part("f", n)) for n in coerced}
+        | {f"_u{flat[n]}": F.when(part("k", n).isNotNull(), F.lit(new_types[n])).otherwise(part("t", n)) for n in coerced}
+    )
     found, notes, changed = [], [], []
     for name, spec in known.items():
         at = F.lit(f"$.{name}")
         if name in flat:
-            i = flat[name]
-            v, t = (F.col(f"_v{i}"), F.col(f"_u{i}")) if name in coerced else (F.col(f"_f{i}"), F.col(f"_t{i}"))
-            found.append(F.when(t.isNotNull(), compiler.checks(spec, v, t, at)))
+            text, number = part("x", name), part("y", name)
+            v, t = (part("v", name), part("u", name)) if name in coerced else (part("f", name), part("t", name))
+            if name in coerced and new_types[name] in ("integer", "number"):
+                number = F.coalesce(part("k", name).cast("double"), number)
+            elif name in coerced and new_types[name] == "string":
+                text = F.coalesce(part("k", name), text)
+            found.append(F.when(t.isNotNull(), compiler.checks(spec, v, t, at, text, number)))
             if name in coerced:
-                c = F.col(f"_c{i}")
-                notes.append(F.when(c.isNotNull(), F.array(compiler.note(at, F.col(f"_f{i}"), c))))
+                c = part("c", name)
+                notes.append(F.when(c.isNotNull(), F.array(compiler.note(at, part("f", name), c))))
                 changed.append(F.when(c.isNotNull(), F.struct(F.lit(name).alias("k"), c.alias("v"))))
-    deep = {n: f"_d{i}" for i, n in enumerate(known) if n in nested}
     extra = schema.get("additionalProperties")
     if deep:
         work = work.withColumns(
-            {d: F.when(field(doc, n).isNotNull(), compiler.node(known[n], field(doc, n), F.lit(f"$.{n}"), 1)) for n, d in deep.items()}
+            {
+                f"_d{i}": F.when(F.col(f"_f{i}").isNotNull(), compiler.node(known[n], F.col(f"_f{i}"), F.lit(f"$.{n}"), 1))
+                for n, i in deep.items()
+            }
         )
-        for n, d in deep.items():
-            found.append(F.col(f"{d}.e"))
-            notes.append(F.col(f"{d}.n"))
-            changed.append(
-                F.when(F.size(f"{d}.n") > 0, F.struct(F.lit(n).alias("k"), F.col(f"{d}.v").alias("v")))
-            )
+        for n, i in deep.items():
+            found.append(F.col(f"_d{i}.e"))
+            notes.append(F.col(f"_d{i}.n"))
+            changed.append(F.when(F.size(f"_d{i}.n") > 0, F.struct(F.lit(n).alias("k"), F.col(f"_d{i}.v").alias("v"))))
     rest = None
     if isinstance(extra, Mapping):
         others = F.map_filter(entries(doc), lambda k, _: ~k.isin(list(known)) if known else F.lit(True))
@@ -401,7 +422,7 @@ def check_schema(
     is_object = F.col("_shape").startswith("OBJECT")
     own = [
         F.when(
-            field(doc, n).isNull(),
+            (F.col(f"_f{(flat | deep)[n]}") if n in known else field(doc, n)).isNull(),
             error("$", "required", f"'{n}' is a required property", required, F.lit("dict")),
         )
         for n in required
