@@ -35,12 +35,25 @@ def rows(columns, data):
     return [columns[i] for i in order], sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
 
 
+def kinds(columns, data):
+    """Python type of every column, from its first value that is not NULL."""
+    out = {}
+    for i, c in enumerate(columns):
+        out[c] = next((type(r[i]).__name__ for r in data if r[i] is not None), None)
+    return out
+
+
 def compare(spark, con, fn, sql, sf_dir) -> str | None:
     df = fn(spark, sf_dir)
-    got_cols, got = rows(df.columns, [tuple(r) for r in df.collect()])
+    got_rows = [tuple(r) for r in df.collect()]
+    got_cols, got = rows(df.columns, got_rows)
     rel = con.execute(sql)
     cols = [d[0] for d in rel.description]
-    want_cols, want = rows(cols, rel.fetchall())
+    want_rows = rel.fetchall()
+    want_cols, want = rows(cols, want_rows)
+    a, b = kinds(df.columns, got_rows), kinds(cols, want_rows)
+    if got_cols == want_cols and a != b:
+        return f"types {({c: (a[c], b[c]) for c in a if a[c] != b[c]})}"
     if got_cols != want_cols:
         return f"columns {got_cols} <> {want_cols}"
     if len(got) != len(want):
