@@ -58,7 +58,8 @@ def _numbers(spark: SparkSession, total: int, max_units: int | None) -> DataFram
     return spark.range(0, wanted, 1, tasks).withColumnRenamed("id", POS)
 
 
-def _digit(number: Column, below: int, size: int) -> Column:
+def _digit(below: int, size: int) -> Column:
+    """The digit of the combination number for one position."""
     return F.expr(f"pmod({POS} div {below}L, {size}L)")
 
 
@@ -95,7 +96,7 @@ def _permute(items, positions, name_field, order_by, limit, max_units) -> tuple[
     units = _numbers(spark, math.perm(n, k), max_units)
     # The number in mixed radix n, n-1, ... says how many free items to skip at each position.
     for i in range(k):
-        skip = _digit(F.col(POS), math.perm(n - i - 1, k - i - 1), n - i)
+        skip = _digit(math.perm(n - i - 1, k - i - 1), n - i)
         taken = [F.col(f"_i{j}") for j in range(i)]
         if taken:
             at = F.aggregate(
@@ -144,7 +145,7 @@ def _cross(groups, positions, name_field, order_by, limit, max_units) -> tuple[D
     sizes = [lists[key][1] for key in sources.values()]
     units = _numbers(spark, math.prod(sizes), max_units)
     for i, size in enumerate(sizes):
-        units = units.withColumn(f"_i{i}", _digit(F.col(POS), max(1, math.prod(sizes[i + 1 :])), max(1, size)))
+        units = units.withColumn(f"_i{i}", _digit(max(1, math.prod(sizes[i + 1 :])), max(1, size)))
     return _fetch(units, list(sources), [lists[key][0] for key in sources.values()]), math.prod(sizes)
 
 

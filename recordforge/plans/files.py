@@ -190,6 +190,24 @@ def step_tables(spark, sf):
     return last.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
 
 
+@query(
+    "step_file_paths",
+    """
+    SELECT event_id, 'run_' || user_id AS run, CASE WHEN event_id % 4 = 0 THEN 'retry_001' ELSE 'chunk_00' || (event_id % 9) END AS chunk, 'big_' || event_type AS step,
+        CASE WHEN event_id % 2 = 0 THEN 'validated' ELSE 'failures' END AS kind FROM events WHERE event_id % 5 <> 0
+    """,
+)
+def step_file_paths(spark, sf):
+    """Run, chunk, step and kind from the paths of step files, plain and compressed, retries included."""
+    path = (
+        "concat('file:/data/runs/run_', user_id, '/chunks/', CASE WHEN event_id % 4 = 0 THEN 'retry_001' ELSE concat('chunk_00', event_id % 9) END, '/', "
+        "CASE WHEN event_id % 5 = 0 THEN 'units.jsonl' ELSE concat('big_', event_type, CASE WHEN event_id % 2 = 0 THEN '_validated' ELSE '_failures' END, "
+        "CASE WHEN event_id % 3 = 0 THEN '.jsonl.gz' ELSE '.jsonl' END) END) AS file"
+    )
+    rows = table(spark, sf, "events").selectExpr("event_id", path)
+    return files.locate(rows).select("event_id", "run", "chunk", "step", "kind")
+
+
 @query("append_records", "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def append_records(spark, sf):
     """Records added in two goes."""

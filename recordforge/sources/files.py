@@ -83,11 +83,16 @@ def item_columns(items: DataFrame, schema: str) -> DataFrame:
     return items.select("idx", F.from_json(F.to_json("item"), schema).alias("i")).select("idx", "i.*")
 
 
+def locate(df: DataFrame, file: str = "file") -> DataFrame:
+    """Add `run`, `chunk`, `step` and `kind` from the path of a step file; rows of other files are dropped."""
+    names = ("run", "chunk", "step", "kind")
+    return df.withColumns({n: F.regexp_extract(file, STEP_FILE, i) for i, n in enumerate(names, 1)}).filter("step <> ''")
+
+
 def step_files(spark: SparkSession, runs_path: str, kind: str, step: str | None = None) -> DataFrame:
     """(run, chunk, step, record) of all chunks of all runs below a folder, retries included."""
     lines = read_jsonl(spark, runs_path, glob=f"{step or '*'}_{kind}.jsonl*")
-    parts = {n: F.regexp_extract("file", STEP_FILE, i) for i, n in enumerate(("run", "chunk", "step"), 1)}
-    return lines.withColumns(parts).filter("step <> ''").select("run", "chunk", "step", "record")
+    return locate(lines).select("run", "chunk", "step", "record")
 
 
 def read_step_output(
