@@ -16,27 +16,23 @@ def _ids(df: DataFrame) -> DataFrame:
 def _accounts(units: DataFrame, outputs: DataFrame, failures: DataFrame, steps: list[str], fan_out: list[str]) -> DataFrame:
     """One row per (step, unit) with flags: expected, rows valid, failed.
 
-    All steps are handled together: every source is first reduced per (step, unit), then one union and one aggregation
-    bring the flags side by side. What a step expects is what the step before let through.
+    All steps are handled together: every row of every source becomes flags of its (step, unit), and one aggregation with
+    map-side combine brings them side by side. What a step expects is what the step before let through.
     """
     following = {a: b for a, b in zip(steps, steps[1:])}
-    names = F.create_map(*[F.lit(x) for pair in following.items() for x in pair]) if following else None
-    zero = F.lit(0).cast("bigint")
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
 
     def flags(df: DataFrame, step: Column, expected=zero, valid=zero, failed=zero) -> DataFrame:
-        return df.select(
+        return _ids(df).select(
             step.alias("step"), "unit_id", expected.alias("expected"), valid.alias("valid_rows"), failed.alias("failed_rows")
         )
 
-    valid = _ids(outputs).groupBy("step", "unit_id").agg(F.count(F.lit(1)).alias("n"))
-    failed = _ids(failures).groupBy("step", "unit_id").agg(F.count(F.lit(1)).alias("n"))
-    first = _ids(units).select("unit_id").distinct()
-    one = F.lit(1).cast("bigint")
-    parts = flags(first, F.lit(steps[0]), expected=one)
-    parts = parts.unionByName(flags(valid, F.col("step"), valid=F.col("n")))
-    parts = parts.unionByName(flags(failed, F.col("step"), failed=F.col("n")))
-    if names is not None:
-        later = valid.withColumn("step", F.try_element_at(names, F.col("step"))).filter("step is not null")
+    parts = flags(units, F.lit(steps[0]), expected=one)
+    parts = parts.unionByName(flags(outputs, F.col("step"), valid=one))
+    parts = parts.unionByName(flags(failures, F.col("step"), failed=one))
+    if following:
+        names = F.create_map(*[F.lit(x) for pair in following.items() for x in pair])
+        later = outputs.withColumn("step", F.try_element_at(names, F.col("step"))).filter("step is not null")
         parts = parts.unionByName(flags(later, F.col("step"), expected=one))
     merged = parts.groupBy("step", "unit_id").agg(
         F.max("expected").alias("expected"), F.sum("valid_rows").alias("valid_rows"), F.sum("failed_rows").alias("failed_rows")
