@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordforge.llm import chat, mixing, sharding
+from recordforge.llm import chat, language, mixing, quality, sharding
 from recordforge.llm.work import documents, n_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,29 @@ def lpt_shards(spark, sf_dir):
     return sharding.shard_documents(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def id_remainder(n: int):
+    """crc32 of the doc_id written as text, modulo n."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+@query("op5_quality_scores")
+def quality_scores(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(id_remainder(5) != 0)
+    model = quality.fit(docs, labels.select("doc_id", F.col("quality").alias("label")))
+    scored = quality.score(docs, model, ["doc_id"])
+    return scored.select(
+        "doc_id", (id_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+@query("op10_language")
+def language_of(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    found = language.identify(docs, id_remainder(3) != 1, ["doc_id"])
+    return found.select("doc_id", (id_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def _sql_side(side: str, even: int) -> str:
     return f"""
     {side} as (
