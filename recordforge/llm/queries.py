@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordforge.llm import chat, language, mixing, quality, sharding
+from recordforge.llm import chat, language, mixing, quality, rules, sharding
 from recordforge.llm.work import documents, n_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,11 @@ def language_of(spark, sf_dir):
     return found.select("doc_id", (id_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+@query("op7_rule_votes")
+def rule_votes(spark, sf_dir):
+    return rules.rule_verdicts(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def _sql_side(side: str, even: int) -> str:
     return f"""
     {side} as (
