@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordforge.llm import chat, language, mixing, quality, rules, sharding
+from recordforge.llm import chat, jaccard, language, mixing, quality, rules, sharding
 from recordforge.llm.work import documents, n_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_jaccard_components")
+def jaccard_components(spark, sf_dir):
+    return jaccard.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 # DuckDB's regular expressions need a literal class; [\x20\x09-\x0D] are the separators.
 SQL_WORDS = "length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
 
