@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordforge.llm import chat, jaccard, language, mixing, quality, rules, sharding
+from recordforge.llm import chat, jaccard, language, mixing, quality, repeats, rules, sharding
 from recordforge.llm.work import documents, n_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +109,14 @@ def rule_votes(spark, sf_dir):
     return rules.rule_verdicts(documents(spark, sf_dir, "doc_id", "text"))
 
 
+@query("op8_repeated_passages")
+def repeated_passages(spark, sf_dir):
+    cut = repeats.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    # Texts without removals still hold their own separators.
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
 def _sql_side(side: str, even: int) -> str:
     return f"""
     {side} as (
