@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordforge.llm import chat, jaccard, language, mixing, quality, repeats, rules, sharding
+from recordforge.llm import bpe, chat, jaccard, language, mixing, quality, repeats, rules, sharding
 from recordforge.llm.work import documents, n_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,23 @@ def lpt_shards(spark, sf_dir):
     return sharding.shard_documents(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op4_bpe_round_trip")
+def bpe_round_trip(spark, sf_dir):
+    coded = bpe.encode(documents(spark, sf_dir, "doc_id", "text"), tokenizer_file())
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def id_remainder(n: int):
     """crc32 of the doc_id written as text, modulo n."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n

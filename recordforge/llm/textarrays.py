@@ -77,14 +77,18 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(words: Words) -> np.ndarray:
-    """A 64-bit hash per word: a polynomial in its bytes, from sums over the whole slice."""
-    if not len(words.starts):
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of values: a polynomial in them, from sums over the whole array."""
+    if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _power_table(len(words.data))
-    sums = np.zeros(len(words.data) + 1, np.uint64)
-    np.cumsum((words.data.astype(np.uint64) + np.uint64(1)) * up[: len(words.data)], out=sums[1:])
-    return mix((sums[words.ends] - sums[words.starts]) * down[words.starts])
+    up, down = _power_table(len(values))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def word_hashes(words: Words) -> np.ndarray:
+    return span_hashes(words.data, words.starts, words.ends)
 
 
 def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
