@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordforge.llm import bpe, chat, jaccard, language, mixing, quality, repeats, rules, sharding
+from recordforge.llm import bpe, chat, jaccard, language, mixing, quality, repeats, rules, sharding, topk
 from recordforge.llm.work import documents, n_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,23 @@ def jaccard_components(spark, sf_dir):
     return jaccard.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
+@query(
+    "op2_top_inner_products",
+    """
+    with v as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)) as v from embeddings
+      where vec_id is not null and embedding is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+    s as (select q.vec_id as query_id, x.vec_id, list_dot_product(q.v, x.v)::bigint as score
+      from v q join v x on q.vec_id % 50 = 0 and q.vec_id <> x.vec_id and len(q.v) = len(x.v)),
+    r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+    select query_id, rank, vec_id, score from r where rank <= 5
+    """,
+)
+def top_inner_products(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return topk.top_k(table, F.col("vec_id") % 50 == 0)
+
+
 # DuckDB's regular expressions need a literal class; [\x20\x09-\x0D] are the separators.
 SQL_WORDS = "length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
 
