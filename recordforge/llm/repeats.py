@@ -7,7 +7,7 @@ words under such a window go; windows are judged on the input.
    representatives, and about one phrase in seven is one. Counting representatives over all documents gives the phrases
    that recur.
 2. Compile and stream. Documents are dealt over parts of bounded size. Each part compiles the recurring phrases that its
-   documents hold into one Aho-Corasick automaton over word numbers, and streams all its documents through it. Every
+   documents hold into one Aho-Corasick automaton over numbered words, and streams all its documents through it. Every
    occurrence of a phrase gives the windows that it represents; per part each different window is kept once, with its first
    place.
 3. Judge. For each window the first place over all parts and the number of places are found; parts learn which of their
@@ -36,7 +36,8 @@ from recordforge.llm.work import free_name
 
 WINDOW = 20
 PHRASE = 8
-PART_BYTES = 8 << 20
+PART_BYTES = 2 << 20
+_SIGNS = 64
 _INSIDE = WINDOW - PHRASE + 1  # phrases in a window
 _LAST = np.iinfo(np.int64).max
 
@@ -105,7 +106,7 @@ def _recurring(rows: DataFrame, parts: int, bins: int, part: str, text: str) ->
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, own = _texts(b, text), b.column(part).to_numpy()
-            for lo, hi in pieces(texts, 4 << 20):
+            for lo, hi in pieces(texts):
                 words = split(texts[lo:hi])
                 p = Places(words)
                 at = np.flatnonzero(p.represents)
@@ -139,7 +140,7 @@ def _slices(rows: DataFrame, part: str, text: str) -> DataFrame:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for b in batches:
             texts = _texts(b, text)
-            for lo, hi in pieces(texts, 16 << 20):
+            for lo, hi in pieces(texts, 8 << 20):
                 own = b.slice(lo, hi - lo)
                 groups = own.column(part).to_numpy()
                 order = np.argsort(groups, kind="stable")
@@ -165,6 +166,16 @@ def _ids(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).fill_null(_LAST).to_numpy().astype(np.int64)
 
 
+def _spelled(hashes: np.ndarray) -> tuple[str, int]:
+    """Every word as a few signs of a small alphabet, for an automaton looks through a state's arcs one by one."""
+    different, numbers = np.unique(hashes, return_inverse=True)
+    width = 1
+    while _SIGNS**width < len(different):
+        width += 1
+    digits = numbers[:, None] // _SIGNS ** np.arange(width)[::-1] % _SIGNS
+    return (digits + 48).astype(np.uint8).tobytes().decode("latin-1"), width
+
+
 def _located(p: Places, keys: np.ndarray, bins: int) -> np.ndarray:
     """Starts of all windows that a recurring phrase represents, found by the part's automaton."""
     confirmed = np.flatnonzero(p.represents)
@@ -175,18 +186,20 @@ def _located(p: Places, keys: np.ndarray, bins: int) -> np.ndarray:
     confirmed = confirmed[keys[at] == own]
     if not len(confirmed):
         return confirmed
-    _, numbers = np.unique(p.hashes, return_inverse=True)
     _, first = np.unique(p.phrases[confirmed], return_index=True)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    spelled, width = _spelled(p.hashes)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for start in confirmed[first].tolist():
-        automaton.add_word(tuple(numbers[start : start + PHRASE].tolist()), start)
+        automaton.add_word(spelled[start * width : (start + PHRASE) * width], start)
     automaton.make_automaton()
-    found = []
+    ends = []
     for d in range(len(p.words.first) - 1):
         own = p.words.of(d)
         if own.stop - own.start >= WINDOW:
-            found += [own.start + end - PHRASE + 1 for end, _ in automaton.iter(tuple(numbers[own].tolist()))]
-    starts = np.array(found, np.int64)
+            base = own.start * width + 1
+            ends += [base + end for end, _ in automaton.iter(spelled[own.start * width : own.stop * width])]
+    found = np.array(ends, np.int64)
+    starts = found[found % width == 0] // width - PHRASE  # matches between two words are none
     windows = (starts[:, None] - np.arange(_INSIDE)).ravel()
     phrases = np.repeat(p.phrases[starts], _INSIDE)
     inside = (windows >= 0) & (windows < len(p.least))
@@ -273,7 +286,7 @@ def remove_repeats(
         order = np.argsort(hashes)
         hashes, docs_, places_ = hashes[order], _column(found, "docs", np.int64)[order], _column(found, "places", np.uint32)[order]
         n_words, n_removed, out = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), list(texts)
-        for lo, hi in pieces(texts, 4 << 20):
+        for lo, hi in pieces(texts):
             words = split(texts[lo:hi])
             n_words[lo:hi] = np.diff(words.first)
             p = Places(words)
