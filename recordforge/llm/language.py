@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordforge.llm.work import free_name
+
 SIGNS = 64  # alphabet size, including "other letter" and "no letter"
 CODES = SIGNS + SIGNS**2 + SIGNS**3
 
@@ -124,7 +126,10 @@ def training_sample(docs: DataFrame, per_language: int, longest: int) -> tuple[l
 def identify(
     docs: DataFrame, learn: Column, keep: list[str], per_language: int = 600, longest: int = 20_000, batch: int = 128
 ) -> DataFrame:
-    """Columns `keep` of `docs` (text, lang, …) with `lang_pred` and `score`; `learn` says which rows may be learned from."""
+    """Columns `keep` of `docs` (text, lang, …) with `lang_pred` and `score`; `learn` says which rows may be learned from.
+
+    If `docs` has columns of these names already, the new ones get an underscore more.
+    """
     spark = docs.sparkSession
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     shared = spark.sparkContext.broadcast(fit(*training_sample(known, per_language, longest)))
@@ -132,7 +137,7 @@ def identify(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, letters = shared.value, _letters()
         for b in batches:
-            texts = b.column(b.num_columns - 1)
+            texts = b.column("text")
             names, values = ["und"] * b.num_rows, np.zeros(b.num_rows)
             for at in range(0, b.num_rows if model else 0, batch):
                 found = [(at + i, _points(t)) for i, t in enumerate(texts[at : at + batch].to_pylist()) if t]
@@ -144,10 +149,10 @@ def identify(
                     for (i, _), k in zip(found, best):
                         names[i] = model.languages[k]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(names, pa.string()), pa.array(values, pa.float64())],
-                names=[*b.schema.names[:-1], "lang_pred", "score"],
+                [*(b.column(c) for c in keep), pa.array(names, pa.string()), pa.array(values, pa.float64())], names=out
             )
 
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "lang_pred string", "score double"])
-    return rows.mapInArrow(score, out)
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    out = [*keep, free_name(rows, "lang_pred"), free_name(rows, "score")]
+    kinds = [*(rows.schema[c].dataType.simpleString() for c in keep), "string", "double"]
+    return rows.mapInArrow(score, ", ".join(f"`{c}` {t}" for c, t in zip(out, kinds)))

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordforge.llm.textarrays import pieces, split, word_hashes
+from recordforge.llm.work import free_name
 
 PASSAGE = 64  # words
 # Classes of bytes whose shares describe a passage; bytes above 127 belong to letters beyond ASCII.
@@ -168,20 +169,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, longest: int = 5
     return train(np.concatenate([x[i] for i in order]).astype(np.float64), np.array([len(x[i]) for i in order]), y)
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str | Column]) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """The columns `keep` of `docs` with `score`, computed from the whole `text`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()
+            texts = b.column("text").cast(pa.binary()).to_pylist()
             values = np.full(len(texts), 0.5)
             for lo, hi in pieces(texts) if shared.value else ():
                 values[lo:hi] = shared.value.forward(*passages(texts[lo:hi]))[0]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(values, pa.float64())], names=[*b.schema.names[:-1], "score"]
+                [*(b.column(c) for c in keep), pa.array(values, pa.float64())], names=out
             )
 
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "score double"])
-    return rows.mapInArrow(scored, out)
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    out = [*keep, free_name(rows, "score")]
+    kinds = [*(rows.schema[c].dataType.simpleString() for c in keep), "double"]
+    return rows.mapInArrow(scored, ", ".join(f"`{c}` {t}" for c, t in zip(out, kinds)))
