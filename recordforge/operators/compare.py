@@ -47,8 +47,17 @@ def populations(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def compare_units(a: DataFrame, b: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """One row per unit of either run: side, and the fields that differ with both values. One row per id on each side."""
-    pack = lambda df, n: df.filter("unit_id is not null").select(F.col("unit_id").alias(f"u{n}"), F.struct(*fields).alias(f"r{n}"))
+    """One row per unit of either run: side, and the fields that differ with both values.
+
+    Of several rows with one id the richest is compared: the one with most fields, of these the largest.
+    """
+
+    def pack(df: DataFrame, n: int) -> DataFrame:
+        held = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
+        record = F.struct(*fields)
+        best = df.filter("unit_id is not null").groupBy("unit_id").agg(F.max_by(record, F.struct(held, record)).alias(f"r{n}"))
+        return best.withColumnRenamed("unit_id", f"u{n}")
+
     both = pack(a, 1).join(pack(b, 2), F.col("u1") == F.col("u2"), "full_outer")
     changed = F.array_compact(
         F.array(

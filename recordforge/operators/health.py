@@ -217,10 +217,13 @@ def tokens_per_step(results: DataFrame) -> DataFrame:
 
 
 def step_status(chunks: DataFrame, steps: Sequence[str]) -> DataFrame:
-    """(run, step, step_no, status): complete, in_progress or pending, from where the chunks are."""
+    """(run, step, step_no, status): complete, in_progress or pending, from where the chunks are.
+
+    A chunk that ended, validated or failed, is past every step.
+    """
     placed = with_step(chunks, steps).select("run", "state", "step_no")
     n = len(steps)
-    at = F.when(F.col("state") == "VALIDATED", F.lit(n)).otherwise(F.coalesce("step_no", F.lit(-1)))
+    at = F.when(F.col("state").isin("VALIDATED", "FAILED"), F.lit(n)).otherwise(F.coalesce("step_no", F.lit(-1)))
     # One row per (run, place) is enough, so the blow-up by the number of steps is small.
     places = placed.select("run", at.alias("at")).distinct()
     each = places.select("run", "at", F.posexplode(F.array(*[F.lit(s) for s in steps])).alias("step_no", "step"))
@@ -242,11 +245,9 @@ def overall_status(step_statuses: DataFrame) -> DataFrame:
     """(run, status) from the statuses of its steps."""
     s = F.col("status")
     done = step_statuses.groupBy("run").agg(
-        F.bool_or(s == "failed").alias("bad"), F.bool_and(s == "complete").alias("all"), F.bool_or(s.isin("in_progress", "active")).alias("busy")
-    )
-    status = (
-        F.when(F.col("bad"), F.lit("failed")).when(F.col("all"), F.lit("complete")).when(F.col("busy"), F.lit("active")).otherwise(F.lit("pending"))
+        F.bool_and(s == "complete").alias("all"), F.bool_or(s == "in_progress").alias("busy")
     )
+    status = F.when(F.col("all"), F.lit("complete")).when(F.col("busy"), F.lit("active")).otherwise(F.lit("pending"))
     return done.select("run", status.alias("status"))
 
 

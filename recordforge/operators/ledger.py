@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recordforge.functions.variants import entries, json_type
 from recordforge.operators.infer import read_responses
-from recordforge.operators.validate import last_per_key, validate_step
+from recordforge.operators.validate import judge, last_per_key
 from recordforge.session import settle
 
 # Stages worth another attempt.
@@ -57,14 +57,15 @@ def build_retries(
     max_retries: int = MAX_RETRIES,
     deterministic_steps: list[str] = (),
     by_stage: bool = True,
+    chunk_count: Column | None = None,
 ) -> DataFrame:
-    """Inputs to run again, with `retry_count` raised by one.
+    """Inputs to run again, with `retry_count` raised by one. `chunk_count` stands in for missing counts.
 
     `step_inputs` holds (step, unit_id, ...) rows: what each step was given, which is the validated output of the step
     before, never the `input` of the failure. Units without such a row are skipped; `missing_inputs` lists them.
     Deterministic steps are not tried again.
     """
-    due = retry_budget(failures, max_retries, by_stage).filter("decision = 'retry'")
+    due = retry_budget(failures, max_retries, by_stage, chunk_count).filter("decision = 'retry'")
     due = due.filter(~F.col("step").isin(list(deterministic_steps))) if deterministic_steps else due
     inputs = step_inputs.drop("retry_count")
     return inputs.join(due.select("step", "unit_id", "retry_count"), ["step", "unit_id"]).withColumn(
@@ -72,8 +73,10 @@ def build_retries(
     )
 
 
-def missing_inputs(failures: DataFrame, step_inputs: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
-    due = retry_budget(failures, max_retries).filter("decision = 'retry'")
+def missing_inputs(
+    failures: DataFrame, step_inputs: DataFrame, max_retries: int = MAX_RETRIES, chunk_count: Column | None = None
+) -> DataFrame:
+    due = retry_budget(failures, max_retries, chunk_count=chunk_count).filter("decision = 'retry'")
     return due.join(step_inputs.select("step", "unit_id").distinct(), ["step", "unit_id"], "left_anti")
 
 
@@ -122,17 +125,23 @@ def revalidate(
     read = read_responses(failures, "raw_response", "_parsed")
     soft = is_retryable()
     usable = soft & (json_type(F.col("_parsed")) == "object")
-    ready = read.filter(usable)
-    results = ready.select("unit_id", entries(F.col("_parsed")).alias("data"), "raw_response", "retry_count")
-    merged = results.join(ready.select("unit_id", F.col("input").alias("_input")), "unit_id").select(
-        "unit_id",
-        F.map_concat(
-            F.map_filter("_input", lambda k, _: ~F.map_contains_key(F.col("data"), k)), F.col("data")
-        ).alias("data"),
-        "raw_response",
-        "retry_count",
+    ready = read.filter(usable).withColumn("_sent", entries(F.col("_parsed")))
+    kept = F.map_filter(F.coalesce("input", F.col("_sent")), lambda k, _: ~F.map_contains_key(F.col("_sent"), k))
+    merged = ready.select("unit_id", F.map_concat(kept, F.col("_sent")).alias("data"), "raw_response", "retry_count")
+    judged = judge(
+        merged.select(
+            "unit_id",
+            F.to_variant_object("data").alias("merged"),
+            F.lit(None).cast("map<string,variant>").alias("input"),
+            "raw_response",
+            F.coalesce("retry_count", F.lit(0)).alias("retry_count"),
+            F.lit(True).alias("_sent"),
+        ),
+        schema,
+        spec,
+        step,
+        types,
     )
-    judged = validate_step(merged, merged.select("unit_id"), schema, spec, step, types, fix=False)
     again = judged.select(
         "unit_id",
         F.when(F.col("status") == "valid", F.lit("promoted")).otherwise(F.lit("still_failing")).alias("outcome"),
@@ -173,14 +182,15 @@ def retry_rounds(
     """Run attempts until nothing is due or the budget is spent: (validated, failures, rounds).
 
     `attempt(inputs, round)` gives (validated, failures) of the units it was handed. Lineage is cut in the shared folder
-    after every round, so the plan of a late round is as small as that of the first.
+    after every round, so the plan of a late round is as small as that of the first. If nothing is due, the validated
+    table is what `attempt` gives for no units.
     """
     validated = None
     current = settle(failures)
     for done in range(max_retries):
         due = settle(build_retries(current, step_inputs, max_retries))
         if due.isEmpty():
-            return validated, current, done
+            return validated if done else settle(attempt(due, 0)[0]), current, done
         ok, bad = attempt(due, done + 1)
         ok, bad = settle(ok), settle(bad)
         if validated is None:

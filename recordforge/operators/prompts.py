@@ -7,9 +7,11 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructType
 
 # Fixed pattern: a placeholder names a field, with dots for nested fields and an optional filter.
-PLACEHOLDER = re.compile(r"\{\{\s*([A-Za-z_][\w.]*)\s*(?:\|\s*(upper|lower|length|trim)\s*)?\}\}")
+PLACEHOLDER = re.compile(r"\{\{\s*([A-Za-z_][\w.]*)\s*(?:\|\s*(upper|lower|length|trim|truncate\(\s*\d+\s*\))\s*)?\}\}")
+MARK = re.compile(r"\{\{|\{%|\{#")
 FILTERS = {"upper": F.upper, "lower": F.lower, "length": F.length, "trim": F.trim}
 
 
@@ -20,20 +22,40 @@ def context(df: DataFrame, config: Mapping[str, object] | None = None, global_co
     return df.withColumns(extra) if extra else df
 
 
-def compile_template(template: str) -> Column:
-    """A Column for the template text. A field that does not exist fails when the query is analyzed."""
+def _truncated(text: Column, most: int) -> Column:
+    """Texts up to `most` characters stay; longer ones lose what is beyond, with dots within the limit."""
+    return F.when(F.char_length(text) > most, F.concat(F.left(text, F.lit(max(0, most - 3))), F.lit("..."))).otherwise(text)
+
+
+def _plain(text: str) -> Column:
+    if found := MARK.search(text):
+        raise ValueError(f"Template mark that is not built: {text[found.start() : found.start() + 40]!r}")
+    return F.lit(text)
+
+
+def compile_template(template: str, schema: StructType | None = None) -> Column:
+    """A Column for the template text. A field that does not exist fails when the query is analyzed.
+
+    Blocks, comments and unknown filters raise an error. With a schema, booleans read `True` and `False`.
+    """
     parts: list[Column] = []
     at = 0
     for m in PLACEHOLDER.finditer(template):
         if m.start() > at:
-            parts.append(F.lit(template[at : m.start()]))
-        value = F.col(".".join(f"`{p}`" for p in m.group(1).split(".")))
+            parts.append(_plain(template[at : m.start()]))
+        names = m.group(1).split(".")
+        value = F.col(".".join(f"`{p}`" for p in names))
+        kind = schema
+        for name in names:
+            kind = next((f.dataType for f in kind.fields if f.name == name), None) if isinstance(kind, StructType) else None
+        text = F.initcap(value.cast("string")) if isinstance(kind, BooleanType) else value.cast("string")
         if m.group(2):
-            value = FILTERS[m.group(2)](value.cast("string"))
-        parts.append(F.coalesce(value.cast("string"), F.lit("None")))
+            name, _, most = m.group(2).partition("(")
+            text = _truncated(text, int(most.rstrip(") "))) if most else FILTERS[name](text)
+        parts.append(F.coalesce(text.cast("string"), F.lit("None")))
         at = m.end()
     if at < len(template):
-        parts.append(F.lit(template[at:]))
+        parts.append(_plain(template[at:]))
     return F.concat(*parts) if parts else F.lit("")
 
 
@@ -51,5 +73,5 @@ def render_prompts(
 ) -> DataFrame:
     """(unit_id, step, prompt) per unit. `template` is text with `{{field}}` marks, or a Column for branches and loops."""
     ready = context(df, config, global_context)
-    prompt = compile_template(template) if isinstance(template, str) else template
+    prompt = compile_template(template, ready.schema) if isinstance(template, str) else template
     return ready.select("unit_id", F.lit(step).alias("step"), prompt.alias("prompt"))

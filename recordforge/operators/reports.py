@@ -177,20 +177,21 @@ ERROR_FIELDS = ["verification_details", "strategy_verification_details", "error"
 
 
 def error_text(columns: Sequence[str]) -> Column:
-    """The first non-empty error field of a record, cut to 100 characters."""
+    """The first non-empty error field of a record, whole."""
     found = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in ERROR_FIELDS if c in columns]
-    return shorten(F.coalesce(*found)) if found else F.lit(None).cast("string")
+    return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
 def top_errors(failures: DataFrame, k: int = 3, by: str = "step", message: Column | None = None) -> DataFrame:
     """The k most frequent messages per step, with rank; the message breaks ties.
 
+    Whole messages are counted; the shown ones are cut to 100 characters.
     Counting comes first and the rank limit reaches the map side, so a hot step brings k rows per task.
     """
     text = message if message is not None else error_text(failures.columns)
     counts = failures.withColumn("message", text).filter("message is not null").groupBy(by, "message").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "message"))
-    return counts.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return counts.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("message", shorten(F.col("message")))
 
 
 def errors_by_rule(failures: DataFrame) -> DataFrame:
@@ -255,8 +256,9 @@ def retry_hot_spots(failures: DataFrame, separator: str = "__", top: int | None
 
 
 def attach_prompts(failures: DataFrame, prompts: DataFrame) -> DataFrame:
-    """The prompt behind each failure, where one is stored."""
-    return failures.join(prompts.select("step", "unit_id", "prompt"), ["step", "unit_id"], "left")
+    """The prompt behind each failure, where one is stored; of several the largest."""
+    stored = prompts.groupBy("step", "unit_id").agg(F.max("prompt").alias("prompt"))
+    return failures.join(stored, ["step", "unit_id"], "left")
 
 
 def all_units(validated: DataFrame, failures: DataFrame) -> DataFrame:

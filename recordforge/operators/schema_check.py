@@ -51,13 +51,48 @@ def error(path, rule: str, message, value=None, instance: Column | None = None)
     ).cast(ERROR)
 
 
+class SchemaError(ValueError):
+    """A schema that cannot be checked as it stands."""
+
+
+# The keywords that are checked, and those that only describe.
+CHECKED = {
+    "type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "pattern",
+    "minItems", "maxItems", "items", "properties", "additionalProperties", "required", "$ref",
+}
+DESCRIBING = {"$schema", "$id", "$defs", "$comment", "title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly"}
+_REF = "#/$defs/"
+
+
+def _assert_known(node: object, defs: Mapping, inside: tuple[str, ...] = ()) -> None:
+    """Fail for keywords that are not built, unknown references, and structures that hold themselves."""
+    if isinstance(node, bool):
+        return
+    if not isinstance(node, Mapping):
+        raise SchemaError(f"Not a schema: {node!r}")
+    if unknown := sorted(set(node) - CHECKED - DESCRIBING):
+        raise SchemaError(f"Keywords that are not built: {', '.join(unknown)}")
+    if "$ref" in node:
+        target = node["$ref"].removeprefix(_REF)
+        if not node["$ref"].startswith(_REF) or target not in defs:
+            raise SchemaError(f"Unknown reference {node['$ref']!r}")
+        if target in inside:
+            raise SchemaError(f"Recursive reference {node['$ref']!r}")
+        if _resolve(node, defs):
+            _assert_known(defs[target], defs, (*inside, target))
+    children = [*node.get("properties", {}).values()]
+    children += [node[k] for k in ("items", "additionalProperties") if k in node]
+    for child in children:
+        _assert_known(child, defs, inside)
+
+
 def _resolve(node: Mapping, defs: Mapping) -> Mapping:
-    """Follow local references; a circle or an unknown target stops the walk."""
+    """Follow local references. Those that only lead in a circle say nothing."""
     seen = set()
     while "$ref" in node:
-        target = node["$ref"].removeprefix("#/$defs/")
-        if target in seen or target not in defs or not node["$ref"].startswith("#/$defs/"):
-            return {k: v for k, v in node.items() if k != "$ref"}
+        target = node["$ref"].removeprefix(_REF)
+        if target in seen:
+            return {}
         seen.add(target)
         node = defs[target]
     return node
@@ -68,22 +103,22 @@ def _shown(v: Column) -> Column:
 
 
 class _Compiler:
-    def __init__(self, schema: Mapping, max_depth: int = 12):
+    def __init__(self, schema: Mapping):
         self.defs = schema.get("$defs", {})
-        self.max_depth = max_depth
+        _assert_known(schema, self.defs)
 
     # A node gives struct<v: variant, e: errors, n: notes>.
-    def node(self, spec: Mapping, v: Column, path: Column, depth: int = 0) -> Column:
+    def node(self, spec: Mapping, v: Column, path: Column) -> Column:
         spec = _resolve(spec, self.defs)
         kind = spec.get("type")
-        if depth > self.max_depth or not spec:
+        if not spec:
             return self.result(v, no_errors(), no_notes())
         if kind in ("integer", "number", "boolean"):
             return self.leaf(spec, v, path)
         if kind == "array":
-            return self.array(spec, v, path, depth)
+            return self.array(spec, v, path)
         if kind == "object" or (kind is None and ("properties" in spec or "required" in spec)):
-            return self.object(spec, v, path, depth)
+            return self.object(spec, v, path)
         return self.leaf(spec, v, path)
 
     @staticmethod
@@ -178,9 +213,18 @@ class _Compiler:
         for rule, bad, said in (
             ("minimum", lambda m: number < m, "less than the minimum of"),
             ("maximum", lambda m: number > m, "greater than the maximum of"),
+            ("exclusiveMinimum", lambda m: number <= m, "less than or equal to the minimum of"),
+            ("exclusiveMaximum", lambda m: number >= m, "greater than or equal to the maximum of"),
         ):
             if rule in spec:
                 add(is_number & bad(F.lit(float(spec[rule]))), rule, text_of(_shown(v), f" is {said} {spec[rule]}"))
+        if "const" in spec:
+            want = spec["const"]
+            same = (is_text & (text == want)) if isinstance(want, str) else (~is_text & (_shown(v) == json.dumps(want)))
+            add(~F.coalesce(same, F.lit(False)), "const", text_of(f"{want!r} was expected"))
+        if "pattern" in spec:
+            shown = text_of("'", text, f"' does not match {spec['pattern']!r}")
+            add(is_text & ~F.rlike(text, F.lit(spec["pattern"])), "pattern", shown)
         size, count = F.char_length(text), F.size(items(v))
         for rule, applies, bad, said in (
             ("minLength", is_text, lambda m: size < m, "is too short"),
@@ -192,7 +236,7 @@ class _Compiler:
                 add(applies & bad(F.lit(spec[rule])), rule, text_of(_shown(v), f" {said}"))
         return F.array_compact(F.array(*found)) if found else no_errors()
 
-    def array(self, spec: Mapping, v: Column, path: Column, depth: int) -> Column:
+    def array(self, spec: Mapping, v: Column, path: Column) -> Column:
         child = spec.get("items")
         child = _resolve(child, self.defs) if isinstance(child, Mapping) else None
         if child and child.get("type") == "object" and "tag" in child.get("properties", {}):
@@ -211,7 +255,7 @@ class _Compiler:
                 return self.result(now, own, notes)
             parts = F.transform(
                 F.coalesce(items(now), F.expr("cast(array() as array<variant>)")),
-                lambda x, i: self.node(child, x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), depth + 1),
+                lambda x, i: self.node(child, x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))),
             )
             return let(
                 F.struct(now.alias("now"), parts.alias("p")),
@@ -226,9 +270,9 @@ class _Compiler:
 
         return let(F.struct(v.alias("o"), kind.alias("t"), from_text.alias("c")), with_items)
 
-    def object(self, spec: Mapping, v: Column, path: Column, depth: int) -> Column:
+    def object(self, spec: Mapping, v: Column, path: Column) -> Column:
         def with_fields(fields: Column) -> Column:
-            r = self.fields(spec, fields, path, depth)
+            r = self.fields(spec, fields, path)
             return let(
                 r,
                 lambda s: self.result(
@@ -244,7 +288,16 @@ class _Compiler:
 
         return let(json_type(v), by_type)
 
-    def fields(self, spec: Mapping, fields: Column, path: Column, depth: int = 0) -> Column:
+    @staticmethod
+    def unexpected(fields: Column, known: list[str], path: Column) -> Column:
+        """The error of a closed object that holds other fields than the known ones."""
+        others = F.array_sort(F.filter(F.map_keys(fields), lambda k: ~k.isin(known) if known else F.lit(True)))
+        named = F.array_join(F.transform(others, lambda k: F.concat(F.lit("'"), k, F.lit("'"))), ", ")
+        verb = F.when(F.size(others) == 1, F.lit("was")).otherwise(F.lit("were"))
+        message = F.concat(F.lit("Additional properties are not allowed ("), named, F.lit(" "), verb, F.lit(" unexpected)"))
+        return F.when(F.size(others) > 0, error(path, "additionalProperties", message, False, F.lit("dict")))
+
+    def fields(self, spec: Mapping, fields: Column, path: Column) -> Column:
         """Check the fields of an object held as a map: struct<m: map, e: errors, n: notes>."""
         missing = [
             F.when(
@@ -258,7 +311,7 @@ class _Compiler:
         for name, child in known.items():
             value = F.try_element_at(fields, F.lit(name))
             at = F.concat(path, F.lit(f".{name}"))
-            checked.append((name, F.when(F.map_contains_key(fields, F.lit(name)), self.node(child, value, at, depth + 1))))
+            checked.append((name, F.when(F.map_contains_key(fields, F.lit(name)), self.node(child, value, at))))
         extra = spec.get("additionalProperties")
         rest = None
         if isinstance(extra, Mapping):
@@ -266,7 +319,7 @@ class _Compiler:
             rest = F.transform(
                 F.map_entries(others),
                 lambda kv: F.struct(
-                    kv.key.alias("k"), self.node(extra, kv.value, F.concat(path, F.lit("."), kv.key), depth + 1).alias("r")
+                    kv.key.alias("k"), self.node(extra, kv.value, F.concat(path, F.lit("."), kv.key)).alias("r")
                 ),
             )
         none = F.expr("cast(array() as array<struct<k:string,r:struct<v:variant,e:array<" + ERROR + ">,n:array<" + NOTE + ">>>>)")
@@ -274,6 +327,8 @@ class _Compiler:
         done = F.array_compact(F.array(*named)) if named else none
         if rest is not None:
             done = F.concat(done, rest)
+        if extra is False:
+            missing.append(self.unexpected(fields, list(known), path))
         required = F.array_compact(F.array(*missing)) if missing else no_errors()
 
         def rebuilt(parts: Column) -> Column:
@@ -334,7 +389,7 @@ def check_schema(
     elif kind == "variant":
         root = source
     elif repair:
-        root = repair_json(source)
+        root = F.coalesce(repair_json(source), repair_json(mark_non_finite(source)))
     else:
         root = F.coalesce(F.try_parse_json(source), F.try_parse_json(mark_non_finite(source)))
     work = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, column])], root.alias("_root0"))
@@ -395,7 +450,7 @@ def check_schema(
     if deep:
         work = work.withColumns(
             {
-                f"_d{i}": F.when(F.col(f"_f{i}").isNotNull(), compiler.node(known[n], F.col(f"_f{i}"), F.lit(f"$.{n}"), 1))
+                f"_d{i}": F.when(F.col(f"_f{i}").isNotNull(), compiler.node(known[n], F.col(f"_f{i}"), F.lit(f"$.{n}")))
                 for n, i in deep.items()
             }
         )
@@ -411,7 +466,7 @@ def check_schema(
             F.transform(
                 F.map_entries(others),
                 lambda kv: F.struct(
-                    kv.key.alias("k"), compiler.node(extra, kv.value, F.concat(F.lit("$."), kv.key), 1).alias("r")
+                    kv.key.alias("k"), compiler.node(extra, kv.value, F.concat(F.lit("$."), kv.key)).alias("r")
                 ),
             ),
         )
@@ -432,6 +487,8 @@ def check_schema(
               instance_name(type_name(F.col("_shape"))))
     )
     lists = [F.coalesce(x, no_errors()) for x in found]
+    if extra is False:
+        own.append(compiler.unexpected(entries(doc), list(known), F.lit("$")))
     lists.append(F.array_compact(F.array(*own)) if own else no_errors())
     if kind == "string":
         odd = F.when(F.contains(source, F.lit("NaN")) | F.contains(source, F.lit("Infinity")), _non_finite_errors(doc))

@@ -47,7 +47,10 @@ def _indexed(items: DataFrame, order_by: list[str], limit: int | None, name: Col
     placed = row_positions(packed, order_by, out="_idx").select("_idx", "_name", "_item")
     if limit:
         placed = placed.filter(F.col("_idx") < limit)
-    return placed, placed.count()
+    seen = placed.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_name").alias("names")).first()
+    if seen.n != seen.names:
+        raise GenerationError("Items whose names give one unit_id")
+    return placed, seen.n
 
 
 def _numbers(spark: SparkSession, total: int, max_units: int | None) -> DataFrame:

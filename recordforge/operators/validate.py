@@ -30,12 +30,21 @@ def last_per_key(df: DataFrame, key: str | list[str], order_by: str | list[str])
     return best.select(*keys, "_last.*").select(*df.columns)
 
 
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """The last row per key in the order of the input; NULL keys are dropped."""
+    placed = df.filter(F.col(key).isNotNull()).withColumn("_at", F.monotonically_increasing_id())
+    best = placed.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), "_at").alias("_last"))
+    return best.select(key, "_last.*").select(*df.columns)
+
+
 def premerge(results: DataFrame, inputs: DataFrame, key: str = "unit_id", data: str = "data") -> DataFrame:
     """Add the input fields of the same unit below each result; result fields win. Unmatched results pass.
 
-    `results` has `data` as MAP<STRING, VARIANT>; `inputs` has any columns and one row per key. Adds `input`.
+    `results` has `data` as MAP<STRING, VARIANT>; `inputs` has any columns, and its last row per key counts. Adds `input`.
     """
-    packed = inputs.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), row_as_map(inputs.columns).alias("input"))
+    packed = one_per_key(
+        inputs.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), row_as_map(inputs.columns).alias("input")), "_key"
+    )
     joined = results.join(packed, F.col(key) == F.col("_key"), "left").drop("_key")
     merged = F.when(F.col("input").isNotNull(), overlay(F.col("input"), F.col(data))).otherwise(F.col(data))
     return joined.withColumn(data, merged)
@@ -53,9 +62,7 @@ def enrich_failures(failures: DataFrame, inputs: DataFrame, key: str = "unit_id"
     record and never start with an underscore.
     """
     cols = failures.columns
-    packed = inputs.filter(F.col(key).isNotNull()).select(
-        F.col(key).alias("_key"), F.struct(*inputs.columns).alias("_in")
-    )
+    packed = one_per_key(inputs.select(F.col(key).alias("_key"), F.struct(*inputs.columns).alias("_in")), "_key")
     joined = failures.join(packed, F.col(key) == F.col("_key"), "left")
     raw: list[Column] = [F.col(c) for c in ("raw_response", "_raw_text") if c in cols]
     if "_raw_text" in inputs.columns:
@@ -102,8 +109,8 @@ def validate_step(
 ) -> DataFrame:
     """Judge every unit of a step once: (unit_id, step, status, failure_stage, data, input, errors, warnings, ...).
 
-    `results` has `unit_id, data` (MAP<STRING, VARIANT>) and optional `raw_response, retry_count`; several results of one
-    unit must be resolved before (`last_per_key`). `inputs` has one row per unit. Rules see the fields of `schema` plus
+    `results` has `unit_id, data` (MAP<STRING, VARIANT>) and optional `raw_response, retry_count`. Of several results or
+    inputs of one unit the last in input order counts. Rules see the fields of `schema` plus
     those named in `types`. Inputs without a result become `pipeline_internal` failures by the same outer join that merges
     the inputs, so the whole step is one shuffle join and one stage of projections. `fix` stores the judged table in the
     shared folder, because valid and failed rows are read separately afterwards.
@@ -113,6 +120,7 @@ def validate_step(
         row_as_map(inputs.columns).alias("input"),
         (F.col("retry_count").cast("int") if "retry_count" in inputs.columns else F.lit(None).cast("int")).alias("_in_count"),
     )
+    packed = one_per_key(packed, "_key")
     has_raw, has_count = "raw_response" in results.columns, "retry_count" in results.columns
     sent = results.select(
         "unit_id",
@@ -123,6 +131,7 @@ def validate_step(
         (F.col("retry_count").cast("int") if has_count else F.lit(None).cast("int")).alias("_out_count"),
         F.lit(True).alias("_sent"),
     )
+    sent = one_per_key(sent, "_sent_key")
     both = sent.join(packed, F.col("_sent_key") == F.col("_key"), "full_outer").select(
         F.coalesce("unit_id", "_key").alias("unit_id"),
         F.to_variant_object(
@@ -133,6 +142,19 @@ def validate_step(
         F.coalesce("_in_count", "_out_count", F.lit(0)).alias("retry_count"),
         F.coalesce("_sent", F.lit(False)).alias("_sent"),
     )
+    done = judge(both, schema, spec, step, types, coerce)
+    return settle(done) if fix else done
+
+
+def judge(
+    both: DataFrame,
+    schema: Mapping | None,
+    spec: Mapping | None,
+    step: str,
+    types: Mapping[str, str] | None = None,
+    coerce: bool = True,
+) -> DataFrame:
+    """The row-wise part of `validate_step`: (unit_id, merged, input, raw_response, retry_count, _sent) to verdicts."""
     if schema:
         judged = check_schema(both, schema, "merged", coerce=True).withColumnRenamed("errors", "_schema_errors")
         known = field_types(schema)
@@ -153,7 +175,7 @@ def validate_step(
         .when(bad_schema, F.lit("schema_validation"))
         .when(bad_rules, F.lit("validation"))
     )
-    done = ruled.select(
+    return ruled.select(
         "unit_id",
         F.lit(step).alias("step"),
         F.when(stage.isNull(), F.lit("valid")).otherwise(F.lit("failed")).alias("status"),
@@ -169,7 +191,6 @@ def validate_step(
         "coercions",
         "retry_count",
     )
-    return settle(done) if fix else done
 
 
 def valid_rows(judged: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recordforge.functions.variants import entries
 from recordforge.operators import gates, infer, rules, schema_check, validate
-from recordforge.plans.registry import busy_table, query, table
+from recordforge.plans.registry import query, table
 from recordforge.plans.shared import CENTS, RESPONSE, SCHEMA, responses
 
 
@@ -115,7 +115,7 @@ def schema_nested(spark, sf):
         F.split("text", "\n"),
         lambda x, i: F.struct(i.alias("n"), F.size(F.split(x, " ")).cast("string").alias("words")),
     )
-    docs = busy_table(spark, sf, "documents", "doc_id", "text", "lang", "n_chars").select(
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars").select(
         "doc_id", F.to_json(F.struct(lines.alias("lines"), "lang", F.col("n_chars").cast("string").alias("chars"))).alias("j")
     )
     checked = schema_check.check_schema(docs, NESTED, "j")
@@ -235,7 +235,7 @@ def judged_step(spark, sf, fix: bool = True):
     """The response step judged: responses that are no JSON are lost on the way and come back as failures."""
     read = infer.read_responses(responses(spark, sf), "response", "v").filter("v is not null")
     results = read.select("unit_id", entries(F.col("v")).alias("data"), F.col("response").alias("raw_response"))
-    inputs = busy_table(spark, sf, "orders", "o_orderkey", "o_custkey").selectExpr(
+    inputs = table(spark, sf, "orders").select("o_orderkey", "o_custkey").selectExpr(
         "cast(o_orderkey as string) AS unit_id", "o_custkey AS custkey", "cast(o_orderkey % 3 as int) AS retry_count"
     )
     return validate.validate_step(results, inputs, SCHEMA, STEP_RULES, "price", {"custkey": "bigint"}, fix=fix)

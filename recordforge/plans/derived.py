@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recordforge.functions import rng, text
 from recordforge.operators import derive, infer, prompts, reports, rules, units
-from recordforge.plans.registry import busy_table, query, table
+from recordforge.plans.registry import query, table
 
 CUSTOMER_UNIT = "replace(replace(c_name, ' ', '_'), '/', '-')"
 
@@ -22,7 +22,7 @@ def seed_of(text_sql: str) -> str:
 
 def _walks(spark, sf):
     """Two seeded random walks per customer from 5 until 0 or 10 is reached."""
-    people = busy_table(spark, sf, "customer", "c_name", "c_nationkey")
+    people = table(spark, sf, "customer").select("c_name", "c_nationkey")
     starts = units.repeat(units.direct(people, "c_name").select("unit_id", "c_nationkey"), 2)
     walked = derive.iterate(
         starts,
@@ -193,7 +193,7 @@ def ordered_sql(seed: str, name: str) -> str:
 def random_draws(spark, sf):
     seq = F.array(*[F.lit(s) for s in SEGMENTS])
     key = "c_custkey"
-    return busy_table(spark, sf, "customer", "c_custkey").select(
+    return table(spark, sf, "customer").select("c_custkey").select(
         key,
         rng.choice(key, "pick", seq).alias("picked"),
         rng.integer(key, "dice", F.lit(3), F.lit(18)).alias("dice"),
@@ -272,7 +272,7 @@ def expression_functions(spark, sf):
     """,
 )
 def prompt_render(spark, sf):
-    talk = busy_table(spark, sf, "conversations", "conv_id", "turn", "role", "text").withColumn("unit_id", F.expr("concat('c', conv_id, 't', turn)"))
+    talk = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").withColumn("unit_id", F.expr("concat('c', conv_id, 't', turn)"))
     template = "Style: {{style}}\n{{ role | upper }} (turn {{turn}}) says: {{text}}\n"
     return prompts.render_prompts(talk, template, "reply", {"style": "long", "role": "nobody"}, {"style": "short"})
 
@@ -319,7 +319,7 @@ def answer(unit_id: str, prompt: str) -> dict:
     """,
 )
 def inference_rows(spark, sf):
-    talk = busy_table(spark, sf, "conversations", "conv_id", "turn", "role", "text").withColumn("unit_id", F.expr("concat('c', conv_id, 't', turn)"))
+    talk = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").withColumn("unit_id", F.expr("concat('c', conv_id, 't', turn)"))
     asked = prompts.render_prompts(talk, "{{text}}", "reply")
     back = infer.classify_results(infer.infer(asked, answer), "reply")
     return back.select(

@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordforge.session import spread
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,8 +24,3 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def busy_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """A table for CPU-heavy row work: only the columns used, on all cores."""
-    return spread(table(spark, sf_dir, name).select(*columns))

@@ -187,16 +187,18 @@ def top_errors(spark, sf):
 @query(
     "top_errors_long",
     """
-    SELECT source AS step, message, n, rank FROM (SELECT source, message, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, message) AS rank
-        FROM (SELECT source, CASE WHEN length(t) > 100 THEN left(t, 97) || '...' ELSE t END AS message FROM
-            (SELECT source, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'short ' || lang END AS t FROM documents)) GROUP BY source, message) WHERE rank <= 3
+    SELECT source AS step, CASE WHEN length(t) > 100 THEN left(t, 97) || '...' ELSE t END AS message, n, rank
+    FROM (SELECT source, t, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, t) AS rank
+        FROM (SELECT source, CASE WHEN doc_id % 3 = 0 THEN 'one prefix ' || repeat('x', 100) || (doc_id % 4) WHEN doc_id % 2 = 0 THEN text ELSE 'short ' || lang END AS t
+            FROM documents) GROUP BY source, t) WHERE rank <= 3
     """,
 )
 def top_errors_long(spark, sf):
-    """The first non-empty of several error fields; long texts are cut for display."""
+    """The first non-empty of several error fields; long texts are counted whole and cut for display."""
+    prefix = F.concat(F.lit("one prefix "), F.repeat(F.lit("x"), 100), (F.col("doc_id") % 4).cast("string"))
     rows = table(spark, sf, "documents").select(
         F.col("source").alias("step"),
-        F.when(F.col("doc_id") % 2 == 0, F.lit("")).alias("verification_details"),
+        F.when(F.col("doc_id") % 3 == 0, prefix).when(F.col("doc_id") % 2 == 0, F.lit("")).alias("verification_details"),
         F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("error"),
         F.concat(F.lit("short "), "lang").alias("validation_error"),
     )
@@ -643,7 +645,7 @@ def tokens_per_step(spark, sf):
     return health.tokens_per_step(table(spark, sf, "events").selectExpr("event_type AS step", "user_id AS input_tokens", "event_id % 100 AS output_tokens"))
 
 
-STEP_STATUS = RC + """, a AS (SELECT run, CASE WHEN state = 'VALIDATED' THEN 4 ELSE coalesce(""" + STEP_NO + """, -1) END AS here FROM c),
+STEP_STATUS = RC + """, a AS (SELECT run, CASE WHEN state IN ('VALIDATED', 'FAILED') THEN 4 ELSE coalesce(""" + STEP_NO + """, -1) END AS here FROM c),
     s AS (SELECT * FROM (VALUES ('signup', 0), ('view', 1), ('click', 2), ('purchase', 3)) t(step, step_no)),
     t AS (SELECT run, step, step_no, CASE WHEN bool_and(here > step_no) THEN 'complete' WHEN bool_or(here = step_no) THEN 'in_progress' WHEN bool_or(here > step_no) THEN 'complete' ELSE 'pending' END AS status
         FROM a, s GROUP BY ALL)"""

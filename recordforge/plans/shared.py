@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordforge.plans.registry import busy_table, table
+from recordforge.plans.registry import table
 
 STEPS = ["signup", "view", "click", "purchase"]
 CENTS = "cast(round(o_totalprice * 100) as bigint)"
@@ -102,7 +102,7 @@ def chunks(spark, sf: str) -> DataFrame:
 
 def responses(spark, sf: str) -> DataFrame:
     """(unit_id, k, response) per order."""
-    orders = busy_table(spark, sf, "orders", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
     return orders.selectExpr("cast(o_orderkey as string) AS unit_id", "o_orderkey", "o_orderkey % 10 AS k", f"{RESPONSE} AS response")
 
 

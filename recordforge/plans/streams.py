@@ -12,11 +12,11 @@ from recordforge.streaming import jobs
 
 def _events(spark, sf):
     schema = table(spark, sf, "events").schema
-    return jobs.stream_table(spark, sf, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.stream_table(spark, f"{sf}/events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _orders(spark, sf):
-    return jobs.stream_table(spark, sf, table(spark, sf, "orders").schema, "orders.parquet")
+    return jobs.stream_table(spark, f"{sf}/orders.parquet", table(spark, sf, "orders").schema)
 
 
 def _paths(spark, name):

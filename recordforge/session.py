@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,10 +36,16 @@ def build_session(app: str = "recordforge", master: str | None = None, **conf: o
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; a temporary one only if the session names none."""
+    """The shared folder for checkpoints, which `spark.checkpoint.dir` names.
+
+    Only a session inside one process may go without; it gets a temporary folder. On a cluster that would be another
+    folder on every host, so it is an error.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -70,23 +77,12 @@ def null_on_error(spark: SparkSession):
         spark.conf.set("spark.sql.ansi.enabled", before)
 
 
-def spread(df):
-    """Give CPU-heavy row work one task per core where a scan has fewer splits than that.
-
-    For plain scans only (counting their splits runs nothing). With large inputs there are more splits than cores and
-    nothing is moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def evaluated_once(df, columns: list[str]):
     """Keep later filters on these columns above the projections that compute them.
 
     Pushed down, a filter would repeat the whole computation inside its condition, and again for every helper column it
-    is built from. Optimizer rules do not move filters past a projection with a random value.
+    is built from. Made by a generator with one row, the columns stay above it, while filters on the others pass.
     """
-    marked = df.withColumn("_mark", F.rand(0))
-    return marked.select(
-        *[F.when(F.col("_mark") >= 0, F.col(f"`{c}`")).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns]
-    )
+    made = F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in columns])))
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*[F.col(f"`{c}`") for c in rest], made).select(*[F.col(f"`{c}`") for c in df.columns])

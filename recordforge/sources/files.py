@@ -98,13 +98,14 @@ def step_files(spark: SparkSession, runs_path: str, kind: str, step: str | None
 def read_step_output(
     spark: SparkSession, runs_path: str, kind: str, step: str | None = None, pipeline: list[str] | None = None
 ) -> DataFrame:
-    """Records of one step, by default the last of the pipeline; of all files if that step wrote nothing."""
-    wanted = step or (pipeline[-1] if pipeline else None)
-    if wanted:
-        found = step_files(spark, runs_path, kind, wanted)
-        if step or not found.isEmpty():
-            return found
-    return step_files(spark, runs_path, kind)
+    """Records of one step, by default the last of the pipeline; of all files for a run in which that step wrote nothing."""
+    if step or not pipeline:
+        return step_files(spark, runs_path, kind, step)
+    last = F.col("step") == pipeline[-1]
+    rows = step_files(spark, runs_path, kind)
+    reached = rows.filter(last).select("run").distinct()  # one row per run
+    others = rows.join(reached, "run", "left_anti").select(*rows.columns)
+    return rows.filter(last).unionByName(others)
 
 
 def parse_state(state: Column) -> tuple[Column, Column]:

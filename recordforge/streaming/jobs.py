@@ -25,10 +25,13 @@ def stream_lines(spark: SparkSession, path: str, per_trigger: int | None = None)
     return reader.text(path)
 
 
-def stream_table(spark: SparkSession, path: str, schema: StructType | str, glob: str | None = None) -> DataFrame:
-    """A folder of parquet files as a stream."""
+def stream_table(spark: SparkSession, path: str, schema: StructType | str, per_trigger: int | None = None) -> DataFrame:
+    """A parquet table, one file or a folder of part files, as a stream."""
     reader = spark.readStream.schema(schema)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
+    if per_trigger:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    # As a pattern the path may be a file as well as a folder.
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def stream_results(spark: SparkSession, path: str, vendor: str, per_trigger: int | None = None) -> DataFrame:
