@@ -14,13 +14,15 @@ neighbouring bands, and a set writes combinations for its own band and the next.
 cannot be protected, link only if one is the other plus a token, and write all sets with one token left out.
 
 Texts with equal sets are one node from the start. Documents that share a signature form a list. Links are only needed up to
-components, so lists are not expanded into pairs: first every node is compared with one leader, then with the leaders of the
+components, so lists are not expanded into pairs. Nodes that fit no other node of the list by size and by number of tokens
+held elsewhere leave it. First every node is compared with one leader, then with the leaders of the
 lists that still span several components, then with a second leader, and only pairs of different components that remain are
 compared exhaustively. Each comparison is exact on whole sets.
 
-Frequency classes come from exact counts of all tokens. Frequent are those in at least `total / MOST_FREQUENT` documents, so
-there are at most MOST_FREQUENT of them at any scale, and their table can be broadcast. The order affects speed only, never
-results. Tokens move between tasks in packed arrays, dealt by hash.
+Exact counts of all tokens come first. They tell how many of a set's tokens any other set holds: with fewer than the overlap
+that a link needs, the set takes no further part. They also give the frequency classes: frequent are tokens in at least
+`total / MOST_FREQUENT` sets, so there are at most MOST_FREQUENT at any scale, and their table can be broadcast. The order
+affects speed only, never results. Tokens move between tasks in packed arrays, dealt by hash.
 
 NULL and wordless texts have no tokens, and are components of their own. Fewer than five words are one token. Repeated rows
 are equal texts. An empty table gives an empty result.
@@ -49,6 +51,9 @@ TRIPLES_FROM = 16  # times as frequent as the bound: combinations of three
 BIN_TOKENS = 4_000_000  # tokens that one task counts at a time
 SMALL = 5
 BROADCAST_ROWS = 1_000_000
+CLASSES = 256  # of tokens, by hash, whose counts bound what two sets share
+SLICE_NODES = 2000
+UNITS = 256  # tasks that compare long lists
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -67,7 +72,13 @@ def token_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
 
 def node_of(tokens: np.ndarray) -> int:
     """A 64-bit name of a set."""
-    return int(mix(mix(tokens ^ _SEED).sum(dtype=np.uint64) + np.uint64(len(tokens))).view(np.int64))
+    total = mix(tokens ^ _SEED).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(tokens))
+    return int(mix(total).view(np.int64)[0])
+
+
+def class_counts(tokens: np.ndarray) -> np.ndarray:
+    """Tokens per class; 65535 stands for any larger number."""
+    return np.bincount((tokens >> np.uint64(33)) % np.uint64(CLASSES), minlength=CLASSES).clip(max=65535).astype(np.uint16)
 
 
 def needed(n: int) -> int:
@@ -75,6 +86,36 @@ def needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
+def largest_partner(n, held):
+    """Size of the largest set that one of n tokens, of which other sets hold `held`, can link to: the two share at least
+    PERCENT / (100 + PERCENT) of both sizes, and what they share is held."""
+    return held * (100 + PERCENT) // PERCENT - n
+
+
+def _fit(marks: np.ndarray, sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Which members of the lists (runs of one mark) have a partner there: each within the other's limit."""
+    order = np.lexsort((sizes, marks))
+    own_marks, own_sizes, own_limits = marks[order], sizes[order], limits[order]
+    out = np.zeros(len(marks), bool)
+    for a, b in zip(at := _runs(own_marks), np.append(at[1:], len(marks))):
+        if b - a < 2:
+            continue
+        size, limit = own_sizes[a:b], own_limits[a:b]
+        # The best limits among the smaller sets; the second best where the best is one's own.
+        best = np.maximum.accumulate(limit)
+        leader = np.maximum.accumulate(np.where(limit == best, np.arange(b - a), 0))
+        inside = np.searchsorted(size, limit, "right") - 1
+        ok = inside >= 0
+        at_best = leader[np.maximum(inside, 0)]
+        self_best = at_best == np.arange(b - a)
+        fits = ok & ~self_best & (best[np.maximum(inside, 0)] >= size)
+        for i in np.flatnonzero(ok & self_best):
+            others = limit[: inside[i] + 1]
+            fits[i] = bool(((others >= size[i]) & (np.arange(len(others)) != i)).any())
+        out[order[a:b]] = fits
+    return out
+
+
 def _bands() -> list[int]:
     edges = [1]
     while edges[-1] < 1 << 40:
@@ -180,139 +221,164 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
 
 
-def frequent_tokens(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Keys of the frequent tokens, sorted; their rank by frequency packed with the class (rank * 4 + class); the bins."""
-    bins = max(64, total // BIN_TOKENS)
-    bound = max(LEAST_FREQUENT, total // MOST_FREQUENT)
+def _node_runs(nodes: np.ndarray, values: np.ndarray, bins: int, facts: np.ndarray | None = None) -> pa.RecordBatch:
+    """Values (hashes) with their nodes, dealt by hash: per bin the low halves, and the nodes as runs. `facts` are rows of
+    numbers about the node of each value."""
+    where = _bin(values, bins)
+    order = np.argsort(where, kind="stable")
+    facts = facts[order] if facts is not None else np.zeros((len(order), 0), np.int64)
+    nodes, low, cut = nodes[order], _low(values[order]), np.searchsorted(where[order], np.arange(bins + 1))
+    rows = []
+    for i in np.flatnonzero(cut[1:] > cut[:-1]):
+        own = nodes[cut[i] : cut[i + 1]]
+        at = _runs(own)
+        runs = np.diff(np.append(at, len(own))).astype(np.uint32)
+        told = facts[cut[i] : cut[i + 1]][at]
+        rows.append((int(i), low[cut[i] : cut[i + 1]].tobytes(), own[at].tobytes(), runs.tobytes(), told.tobytes()))
+    columns = list(zip(*rows)) or [()] * 5
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, pa.binary() if k else pa.int64()) for k, c in enumerate(columns)], names=_RUNS
+    )
+
+
+_RUNS = ["bin", "marks", "nodes", "runs", "facts"]
+_RUN_SCHEMA = "bin long, marks binary, nodes binary, runs binary, facts binary"
+
+
+def _read_runs(table: pa.Table, n_facts: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (mark, node) pairs of a bin, in order, and the facts of the nodes."""
+    column = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+    runs = column("runs", np.uint32)
+    marks, nodes = column("marks", np.uint32), np.repeat(column("nodes", np.int64), runs)
+    facts = np.repeat(column("facts", np.int64).reshape(len(runs), n_facts), runs, axis=0)
+    order = np.lexsort((nodes, marks))
+    marks, nodes = marks[order], nodes[order]
+    new = np.concatenate([[True], (marks[1:] != marks[:-1]) | (nodes[1:] != nodes[:-1])])
+    return marks[new], nodes[new], facts[order][new]
+
+
+def shared_tokens(docs: DataFrame, total: int) -> DataFrame:
+    """Rows (name, count, is_token): nodes with the number of their tokens that other nodes hold too, and frequent tokens
+    with the number of their nodes. A name of a token is its bin and the low half of its hash."""
+    bins, bound = _token_bins(total), _frequent_from(total)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = _texts(b)
             for lo, hi in pieces(texts, 8 << 20):
-                sets = [s for s in token_sets(texts[lo:hi]) if len(s)]
-                if not sets:
-                    continue
-                tokens = np.concatenate(sets)
-                keys = (_bin(tokens, bins) << np.uint64(32)) | _low(tokens)
-                keys.sort()
-                at = _runs(keys)
-                counts = np.diff(np.append(at, len(keys))).astype(np.uint32)
-                keys = keys[at]
-                cut = np.searchsorted(keys, np.arange(bins + 1, dtype=np.uint64) << np.uint64(32))
-                found = [i for i in range(bins) if cut[i] < cut[i + 1]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(found, pa.int64()),
-                        pa.array([_low(keys[cut[i] : cut[i + 1]]).tobytes() for i in found], pa.binary()),
-                        pa.array([counts[cut[i] : cut[i + 1]].tobytes() for i in found], pa.binary()),
-                    ],
-                    names=["bin", "keys", "counts"],
-                )
+                sets = {}
+                for s in token_sets(texts[lo:hi]):
+                    if len(s):
+                        sets.setdefault(node_of(s), s)
+                if sets:
+                    nodes = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(s) for s in sets.values()])
+                    yield _node_runs(nodes, np.concatenate(list(sets.values())), bins)
 
     def count(table: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32)
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        at = _runs(keys)
-        sums = np.add.reduceat(counts[order].astype(np.int64), at)
-        often = sums >= bound
+        marks, nodes, _ = _read_runs(table)
+        at = _runs(marks)
+        size = np.diff(np.append(at, len(marks)))
+        with_others, n = np.unique(nodes[np.repeat(size > 1, size)], return_counts=True)
+        often = size >= bound
         base = table.column("bin")[0].as_py() << 32
-        return pa.table({"key": keys[at][often].astype(np.int64) + base, "n": sums[often]})
+        tokens = marks[at][often].astype(np.int64) + base
+        return pa.table(
+            {
+                "name": np.concatenate([with_others, tokens]),
+                "count": np.concatenate([n, size[often]]).astype(np.int64),
+                "is_token": np.arange(len(with_others) + len(tokens)) >= len(with_others),
+            }
+        )
+
+    packed = docs.select("text").mapInArrow(pack, _RUN_SCHEMA)
+    return packed.groupBy("bin").applyInArrow(count, "name long, count long, is_token boolean")
+
 
-    packed = docs.select("text").mapInArrow(pack, "bin long, keys binary, counts binary")
-    often = packed.groupBy("bin").applyInArrow(count, "key long, n long").toArrow()  # at most MOST_FREQUENT rows
-    keys, n = often.column("key").to_numpy(), often.column("n").to_numpy()
-    rank = np.empty(len(keys), np.int64)
-    rank[np.lexsort((keys, n))] = np.arange(len(keys))
-    order = np.argsort(keys)
-    classes = np.where(n >= bound * TRIPLES_FROM, 3, 2)
-    return keys[order].astype(np.uint64), (rank * 4 + classes)[order].astype(np.int32), bins
+def _token_bins(total: int) -> int:
+    return max(16, total // BIN_TOKENS)
 
 
-def shared_lists(docs: DataFrame, total: int) -> DataFrame:
-    """(list, node, leader): nodes that share a signature, each list once per bin; leader is its smallest node."""
-    keys, packed_ranks, token_bins = frequent_tokens(docs, total)
-    shared = docs.sparkSession.sparkContext.broadcast((keys, packed_ranks))
-    bins = max(16, total // (2 * BIN_TOKENS))
+def _frequent_from(total: int) -> int:
+    return max(LEAST_FREQUENT, total // MOST_FREQUENT)
+
+
+def shared_lists(sets: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
+    """(list, node, leader, size, fits, length): nodes that share a signature, each list once per bin; the leader is the
+    one that fits the largest partners; size and largest fitting partner of each node; nodes of the list.
+
+    Nodes that fit no other node of the list are left out. `sets` is (node, held, tokens), `frequent` (name, count) of the frequent tokens, at most MOST_FREQUENT."""
+    often = frequent.toArrow()
+    names, n = often.column("name").to_numpy(), often.column("count").to_numpy()
+    order, rank = np.argsort(names), np.empty(len(names), np.int64)
+    rank[np.lexsort((names, n))] = np.arange(len(names))
+    classes = np.where(np.sort(n) >= _frequent_from(total) * TRIPLES_FROM, 3, 2).astype(np.int8)  # by rank
+    shared = sets.sparkSession.sparkContext.broadcast((names[order].astype(np.uint64), rank[order], classes))
+    token_bins, bins = _token_bins(total), max(16, total // (2 * BIN_TOKENS))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, packed_ranks = shared.value
-        classes = np.zeros(len(keys) + 1, np.int8)
-        classes[packed_ranks >> 2] = packed_ranks & 3
+        names, ranks_of, classes = shared.value
         for b in batches:
-            texts = _texts(b)
-            for lo, hi in pieces(texts, 8 << 20):
-                sets = {}
-                for s in token_sets(texts[lo:hi]):
-                    if len(s) > 2:
-                        sets.setdefault(node_of(s), s)
-                if not sets:
-                    continue
-                tokens = np.concatenate(list(sets.values()))
-                names = (_bin(tokens, token_bins) << np.uint64(32)) | _low(tokens)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, names), len(keys) - 1)
-                    ranks = np.where(keys[at] == names, packed_ranks[at] >> 2, -1)
-                else:
-                    ranks = np.full(len(tokens), -1)
-                made, start = [], 0
-                for s in sets.values():
-                    made.append(signatures(s, ranks[start : start + len(s)], classes))
-                    start += len(s)
-                nodes = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(m) for m in made])
-                marks = np.concatenate(made)
-                where = _bin(marks, bins)
-                order = np.argsort(where, kind="stable")
-                nodes, low, cut = nodes[order], _low(marks[order]), np.searchsorted(where[order], np.arange(bins + 1))
-                rows = []
-                for i in np.flatnonzero(cut[1:] > cut[:-1]):
-                    own = nodes[cut[i] : cut[i + 1]]
-                    at = _runs(own)
-                    runs = np.diff(np.append(at, len(own))).astype(np.uint32)
-                    rows.append((int(i), low[cut[i] : cut[i + 1]].tobytes(), own[at].tobytes(), runs.tobytes()))
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.binary() if k else pa.int64()) for k, c in enumerate(columns)],
-                    names=["bin", "marks", "nodes", "runs"],
-                )
+            nodes, held = b.column("node").to_numpy(), b.column("held").to_numpy()
+            tokens = [np.frombuffer(t, np.uint64) for t in b.column("tokens").to_pylist()]
+            for lo, hi in pieces([t.data for t in tokens], 8 << 20):
+                made = []
+                for s in tokens[lo:hi]:
+                    own = (_bin(s, token_bins) << np.uint64(32)) | _low(s)
+                    at = np.minimum(np.searchsorted(names, own), max(0, len(names) - 1))
+                    ranks = np.where(names[at] == own, ranks_of[at], -1) if len(names) else np.full(len(s), -1)
+                    made.append(signatures(s, ranks, classes))
+                size = np.array([len(t) for t in tokens[lo:hi]])
+                facts = np.stack([size, largest_partner(size, held[lo:hi])], 1)
+                count = [len(m) for m in made]
+                yield _node_runs(np.repeat(nodes[lo:hi], count), np.concatenate(made), bins, np.repeat(facts, count, axis=0))
 
     def lists(table: pa.Table) -> pa.Table:
-        column = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-        marks, nodes = column("marks", np.uint32), np.repeat(column("nodes", np.int64), column("runs", np.uint32))
-        order = np.lexsort((nodes, marks))
-        marks, nodes = marks[order], nodes[order]
-        new = np.concatenate([[True], (marks[1:] != marks[:-1]) | (nodes[1:] != nodes[:-1])])
-        marks, nodes = marks[new], nodes[new]
+        marks, nodes, facts = _read_runs(table, 2)
+        fits = _fit(marks, facts[:, 0], facts[:, 1])
+        marks, nodes, facts = marks[fits], nodes[fits], facts[fits]
         at = _runs(marks)
         size = np.diff(np.append(at, len(marks)))
         # Lists of the same nodes are kept once.
-        name = np.add.reduceat(mix(nodes.view(np.uint64)), at)
+        name = np.add.reduceat(mix(nodes.view(np.uint64)), at) if len(at) else np.zeros(0, np.uint64)
         _, first = np.unique(np.where(size > 1, name, np.uint64(0)), return_index=True)
         kept = first[size[first] > 1]
         inside = np.zeros(len(at), bool)
         inside[kept] = True
         rows = np.repeat(inside, size)
         number = np.repeat(np.arange(len(at)), size)[rows] + (table.column("bin")[0].as_py() << 32)
-        return pa.table({"list": number, "node": nodes[rows], "leader": np.repeat(nodes[at], size)[rows]})
+        leaders = np.zeros(0, np.int64)
+        if len(at):
+            best = np.repeat(np.maximum.reduceat(facts[:, 1], at), size) == facts[:, 1]
+            leaders = np.minimum.reduceat(np.where(best, np.arange(len(marks)), len(marks)), at)
+        return pa.table(
+            {
+                "list": number, "node": nodes[rows], "leader": np.repeat(nodes[leaders], size)[rows],
+                "size": facts[rows, 0], "fits": facts[rows, 1], "length": np.repeat(size, size)[rows],
+            }
+        )
 
-    rows = docs.select("text").mapInArrow(pack, "bin long, marks binary, nodes binary, runs binary")
-    return rows.groupBy("bin").applyInArrow(lists, "list long, node long, leader long")
+    return sets.select("node", "held", "tokens").mapInArrow(pack, _RUN_SCHEMA).groupBy("bin").applyInArrow(lists, "list long, node long, leader long, size long, fits long, length long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, tokens) for wanted (doc_id, node)."""
+    """(node, held, counts, tokens) for wanted (doc_id, node, held); counts of tokens by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [s.tobytes() for s in token_sets(_texts(b))]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "tokens"])
+            # A repeated doc_id may have other texts: only the one that is the node counts.
+            nodes = b.column("node").to_pylist()
+            sets = [s if node_of(s) == n else None for n, s in zip(nodes, token_sets(_texts(b)))]
+            blobs = [
+                pa.array([None if s is None else f(s).tobytes() for s in sets], pa.binary()) for f in (class_counts, np.asarray)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("node"), b.column("held"), *blobs], names=["node", "held", "counts", "tokens"]
+            )
 
     # A small list of ids spares moving all texts; a longer one is joined by shuffling.
     small = wanted.count() <= BROADCAST_ROWS
     found = docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, "doc_id")
-    # A repeated doc_id may have other texts: only the one that is the node counts.
-    sets = found.select("node", "text").mapInArrow(run, "node long, tokens binary")
+    sets = found.select("node", "held", "text").mapInArrow(run, "node long, held long, counts binary, tokens binary")
     return sets.filter("tokens is not null")
 
 
@@ -342,17 +408,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for (doc_id, text)."""
     told = stored(describe(docs), "jaccard-nodes")
     total = told.agg(F.sum("n_shingles")).first()[0] or 0
-    nodes = told.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    lists = stored(shared_lists(docs, total), "jaccard-lists")
-    listed = lists.select("node").distinct()
-    sets = stored(_sets(docs, stored(nodes.join(listed, "node", "left_semi"), "jaccard-wanted")), "jaccard-sets")
+    nodes = told.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
+    counts = stored(shared_tokens(docs, total), "jaccard-tokens")
+    held = counts.filter("not is_token").groupBy("name").agg(F.sum("count").alias("held"))
+    # What two similar sets share, both hold with another: a set with too few such tokens has no links.
+    hopeful = (F.col("held") * 100 >= F.col("n_shingles") * PERCENT) & (F.col("n_shingles") > 2)
+    wanted = nodes.join(held, F.col("node") == F.col("name")).filter(hopeful).select("node", "doc_id", "held")
+    sets = stored(_sets(docs, stored(wanted, "jaccard-wanted")), "jaccard-sets")
+    lists = stored(shared_lists(sets, counts.filter("is_token").select("name", "count"), total), "jaccard-lists")
 
     def compared(pairs: DataFrame) -> DataFrame:
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")
         return stored(_links(ordered.distinct(), sets), "jaccard-links")
 
     links = compared(lists.groupBy("node").agg(F.min("leader").alias("b")).withColumnRenamed("node", "a"))
-    steps: list[Callable[[DataFrame], DataFrame]] = [_to_leader, _to_second_leader, _exhaustive]
+    steps: list[Callable[[DataFrame], DataFrame]] = [_to_leader, _to_second_leader, lambda x: _exhaustive(x, sets)]
     for step in steps:
         parts = stored(components(links), "jaccard-parts")
         open_lists = stored(_open(lists, parts), "jaccard-open")
@@ -371,7 +441,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _open(lists: DataFrame, parts: DataFrame) -> DataFrame:
     """(list, node, leader, part) of the lists that span several components."""
     placed = lists.join(parts, "node", "left").select(
-        "list", "node", "leader", F.coalesce("component", "node").alias("part")
+        "list", "node", "leader", "size", "fits", "length", F.coalesce("component", "node").alias("part")
     )
     spread = placed.groupBy("list").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("list")
     return placed.join(spread, "list", "left_semi")
@@ -387,8 +457,49 @@ def _to_second_leader(lists: DataFrame) -> DataFrame:
     return lists.join(last, "list").filter("part <> l.part").select(F.col("node").alias("a"), F.col("l.node").alias("b"))
 
 
-def _exhaustive(lists: DataFrame) -> DataFrame:
-    """Pairs of different components; a pair with the leader has been compared."""
-    one = lists.filter("node <> leader").select("list", F.col("node").alias("a"), F.col("part").alias("p"))
-    two = lists.filter("node <> leader").select("list", F.col("node").alias("b"), F.col("part").alias("q"))
-    return one.join(two, "list").filter("p < q").select("a", "b").distinct()
+def _exhaustive(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of different components that may be similar; a pair with the leader has been compared.
+
+    Two sets share at most the sum of the smaller counts over hash classes of their tokens. That bound, taken of every pair
+    of a list that fits by size, leaves little more than the similar pairs. A long list is cut into slices, each compared
+    with the whole list.
+    """
+
+    def pairs(table: pa.Table) -> pa.Table:
+        column = lambda c: table.column(c).to_numpy()
+        nodes, at = np.unique(column("node"), return_index=True)
+        where = np.searchsorted(nodes, column("node"))
+        part, size, fits = column("part")[at], column("size")[at], column("fits")[at]
+        counts = np.frombuffer(b"".join(table.column("counts").take(pa.array(at)).to_pylist()), np.uint16).reshape(-1, CLASSES)
+        unit = np.stack([column("list"), column("slice")], 1)
+        order = np.lexsort((unit[:, 1], unit[:, 0]))
+        new = np.flatnonzero(np.concatenate([[True], (unit[order][1:] != unit[order][:-1]).any(1)]))
+        found = [np.zeros(0, np.int64)]
+        for s, e in zip(new, np.append(new[1:], len(order))):
+            own = np.unique(where[order[s:e]])
+            mine = own[nodes[own] % column("slices")[order[s]] == column("slice")[order[s]]]
+            for i in range(0, len(mine), 256):
+                x, y = mine[i : i + 256, None], own[None, :]
+                ok = (part[x] != part[y]) & (size[x] <= fits[y]) & (size[y] <= fits[x])
+                a, b = np.nonzero(ok)
+                a, b = mine[i : i + 256][a], own[b]
+                found.append(np.minimum(a, b) * len(nodes) + np.maximum(a, b))
+            if sum(map(len, found)) > 4_000_000:
+                found = [np.unique(np.concatenate(found))]
+        codes = np.unique(np.concatenate(found))
+        keep = [np.zeros(0, np.int64)]
+        for i in range(0, len(codes), 50_000):
+            a, b = np.divmod(codes[i : i + 50_000], len(nodes))
+            smaller = np.minimum(counts[a], counts[b])
+            most = smaller.sum(1, dtype=np.int64)
+            open_end = (smaller == 65535).any(1)
+            keep.append(codes[i : i + 50_000][open_end | ((100 + PERCENT) * most >= PERCENT * (size[a] + size[b]))])
+        a, b = np.divmod(np.concatenate(keep), max(1, len(nodes)))
+        return pa.table({"a": nodes[a], "b": nodes[b]})
+
+    rest = lists.filter("node <> leader").drop("leader")
+    counts = sets.groupBy("node").agg(F.first("counts").alias("counts"))
+    sliced = rest.withColumn("slices", F.ceil(F.col("length") / SLICE_NODES))
+    rows = sliced.join(counts, "node").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    dealt = rows.withColumn("unit", F.pmod(F.xxhash64("list", "slice"), F.lit(UNITS)))
+    return dealt.groupBy("unit").applyInArrow(pairs, "a long, b long").distinct()
