@@ -7,7 +7,7 @@ widespread of the training texts. A set of training texts are landmarks (Nyströ
 against the rest is solved on the landmark features. Texts are scored in batches: presence matrix times landmark matrix
 times coefficients.
 
-Training uses a bounded sample: at most `per_language` labelled texts of a language, none longer than `longest` characters;
+Training uses a bounded sample: at most `per_language` labelled texts of a language (of MOST_LANGUAGES, the most common), none longer than `longest` characters;
 scores are computed for every text. NULL texts and texts without a letter are `und` with score 0, as is everything if no
 label can be learned from. Ties go to the language that sorts first.
 """
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from recordforge.llm.work import free_name
 
 SIGNS = 64  # alphabet size, including "other letter" and "no letter"
+MOST_LANGUAGES = 1000  # that are learned
 CODES = SIGNS + SIGNS**2 + SIGNS**3
 
 
@@ -111,13 +112,15 @@ def fit(texts: list[str], labels: list[str], n_grams: int = 4096, n_landmarks: i
 
 
 def training_sample(docs: DataFrame, per_language: int, longest: int) -> tuple[list[str], list[str]]:
-    """At most `per_language` texts of each language, picked by hash."""
-    counts = docs.groupBy("lang").count().withColumnRenamed("lang", "l")
+    """At most `per_language` texts of each of the most common languages, picked by hash."""
+    counts = docs.groupBy("lang").count().filter("lang is not null").orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
     # The share thins the rows before any text is moved.
     part = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    thin = docs.join(counts, F.col("lang") == F.col("l")).filter(
+    # At most MOST_LANGUAGES rows; a shuffle would put all texts of a language into one task.
+    thin = docs.join(F.broadcast(counts), "lang").filter(
         (part < F.lit(2.0 * per_language) / F.col("count")) & (F.char_length("text") <= longest)
     )
+    thin = thin.select("lang", "text").distinct()  # copies teach nothing
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
     rows = thin.withColumn("_r", rank).filter(F.col("_r") <= per_language).orderBy("lang", "_r").select("text", "lang").collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
