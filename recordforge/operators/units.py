@@ -41,14 +41,16 @@ def _named(name: Column) -> Column:
     ).otherwise(safe_name(name))
 
 
-def _indexed(items: DataFrame, order_by: list[str], limit: int | None, name: Column) -> tuple[DataFrame, int]:
-    """Items as (`_idx`, `_name`, `_item`) and their number."""
+def _indexed(
+    items: DataFrame, order_by: list[str], limit: int | None, name: Column, unique: bool = False
+) -> tuple[DataFrame, int]:
+    """Items as (`_idx`, `_name`, `_item`) and their number; `unique` refuses items that give one name."""
     packed = items.select(*order_by, _named(name).alias("_name"), F.struct("*").alias("_item"))
     placed = row_positions(packed, order_by, out="_idx").select("_idx", "_name", "_item")
     if limit:
         placed = placed.filter(F.col("_idx") < limit)
     seen = placed.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_name").alias("names")).first()
-    if seen.n != seen.names:
+    if unique and seen.n != seen.names:
         raise GenerationError("Items whose names give one unit_id")
     return placed, seen.n
 
@@ -88,11 +90,11 @@ def permutations(
     return _permute(items, positions, name_field, order_by, limit, max_units)[0]
 
 
-def _permute(items, positions, name_field, order_by, limit, max_units) -> tuple[DataFrame, int]:
+def _permute(items, positions, name_field, order_by, limit, max_units, unique=False) -> tuple[DataFrame, int]:
     if not positions:
         raise GenerationError("positions are required")
     spark = items.sparkSession
-    indexed, n = _indexed(items, order_by or [], limit, item_name(items, name_field, fallback=False))
+    indexed, n = _indexed(items, order_by or [], limit, item_name(items, name_field, fallback=False), unique)
     k = len(positions)
     if n < k:
         raise GenerationError(f"Not enough items ({n}) for {k} positions")
@@ -127,7 +129,7 @@ def cross_product(
     return _cross(groups, positions, name_field, order_by, limit, max_units)[0]
 
 
-def _cross(groups, positions, name_field, order_by, limit, max_units) -> tuple[DataFrame, int]:
+def _cross(groups, positions, name_field, order_by, limit, max_units, unique=False) -> tuple[DataFrame, int]:
     if positions is None:
         sources = {name: name for name in groups}
     elif isinstance(positions, dict):
@@ -142,7 +144,7 @@ def _cross(groups, positions, name_field, order_by, limit, max_units) -> tuple[D
     spark = next(iter(groups.values())).sparkSession
     order_by = order_by or {}
     lists = {
-        key: _indexed(groups[key], order_by.get(key, []), limit, item_name(groups[key], name_field, fallback=True))
+        key: _indexed(groups[key], order_by.get(key, []), limit, item_name(groups[key], name_field, fallback=True), unique)
         for key in dict.fromkeys(sources.values())
     }
     sizes = [lists[key][1] for key in sources.values()]
@@ -242,14 +244,17 @@ def generate_units(
     limit: int | None = None,
     order_by=None,
 ) -> DataFrame:
-    """The three strategies behind one call, then repetition and the unit limit."""
+    """The three strategies behind one call, then repetition and the unit limit.
+
+    Items of a list must give different names; `permutations` and `cross_product` alone do not ask for that.
+    """
     few = max_units if repeat_count == 1 else None
     if strategy == "permutation":
-        base, total = _permute(sources, positions or [], name_field, order_by, limit, few)
+        base, total = _permute(sources, positions or [], name_field, order_by, limit, few, True)
     elif strategy == "cross_product":
-        base, total = _cross(sources, positions, name_field, order_by, limit, few)
+        base, total = _cross(sources, positions, name_field, order_by, limit, few, True)
     elif strategy == "direct":
-        base, total = direct(sources, name_field, positions or [], order_by, limit), None
+        base, total = assert_unique_ids(direct(sources, name_field, positions or [], order_by, limit)), None
     else:
         raise GenerationError(f"Unknown strategy '{strategy}'")
     return repeat(base, repeat_count, max_units, total)
