@@ -19,6 +19,7 @@ import json
 import mmap
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
@@ -36,7 +37,9 @@ from recordforge.llm.work import free_name
 LONGEST_IN_LEXICON = 64  # bytes
 _END = 0x110000  # stands behind every text; no code point
 _SPACE, _LETTER, _NUMBER, _OTHER, _BORDER = range(5)
-_KEEP_MERGED = 200_000  # words whose merges a task remembers
+SHORT = 24  # bytes up to which a word is merged by looking at all its pairs
+_ID_BITS, _NONE = 32, 1 << 64
+_KEEP_MERGED = 400_000  # words whose merges a task remembers
 
 
 @lru_cache(1)
@@ -91,6 +94,8 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a], vocab[b]] = rank, vocab[a + b]
+        # Both ids of a pair as one number, and its rank and new id as one.
+        self.ranked = {a << _ID_BITS | b: rank << _ID_BITS | new for (a, b), (rank, new) in self.merges.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = 1 + max([*vocab.values(), *self.special.values()])
         self.bytes_of: list[bytes] = [b""] * size
@@ -102,6 +107,22 @@ class Vocabulary:
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word: the pair of least rank, and of these the leftmost, is merged until none is left."""
         ids = [self.byte_id[b] for b in word]
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
+        find = self.ranked.get
+        found = [find(a << _ID_BITS | b, _NONE) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) < _NONE:
+            i = found.index(best)
+            ids[i] = best & (1 << _ID_BITS) - 1
+            del ids[i + 1], found[i]
+            if i < len(found):
+                found[i] = find(ids[i] << _ID_BITS | ids[i + 1], _NONE)
+            if i:
+                found[i - 1] = find(ids[i - 1] << _ID_BITS | ids[i], _NONE)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of pairs and links between neighbours, for words of any length."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(*self.merges[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merges]
@@ -279,7 +300,7 @@ class Encoder:
         self.vocabulary, self.lexicon, self.kinds = vocabulary, lexicon, kinds
         names = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.merged: dict[bytes, list[int]] = {}
+        self.merged: dict[bytes, bytes] = {}
 
     def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and the number of each."""
@@ -293,13 +314,13 @@ class Encoder:
         made = []
         for i in unseen:
             if words[i] not in self.merged:
-                self.merged[words[i]] = self.vocabulary.merge(words[i])
+                self.merged[words[i]] = array("i", self.vocabulary.merge(words[i])).tobytes()
             made.append(self.merged[words[i]])
         # Unseen words take places behind the lexicon's.
         base = len(self.lexicon.at) - 1
         place[unseen] = base + np.arange(len(unseen))
-        at = np.concatenate([self.lexicon.at, self.lexicon.at[-1] + np.cumsum([len(m) for m in made])]).astype(np.int64)
-        ids = np.concatenate([self.lexicon.ids, np.array([x for m in made for x in m], np.int64)])
+        at = np.concatenate([self.lexicon.at, self.lexicon.at[-1] + np.cumsum([len(m) // 4 for m in made])]).astype(np.int64)
+        ids = np.concatenate([self.lexicon.ids, np.frombuffer(b"".join(made), np.int32)])
         return _gather(ids, at[place], at[place + 1])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
