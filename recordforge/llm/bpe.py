@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
 from recordforge.llm.textarrays import pieces, span_hashes
-from recordforge.llm.work import free_name
+from recordforge.llm.work import free_name, stored
 
 LONGEST_IN_LEXICON = 64  # bytes
 _END = 0x110000  # stands behind every text; no code point
@@ -371,7 +371,7 @@ def load(path: str) -> dict:
 
 
 def frequent_words(docs: DataFrame, text: str, most: int) -> list[bytes]:
-    """The most frequent words of all texts."""
+    """The most frequent words of all texts, at most `most`."""
     shared = docs.sparkSession.sparkContext.broadcast(kinds_of_points())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +386,18 @@ def frequent_words(docs: DataFrame, text: str, most: int) -> list[bytes]:
                 )
 
     counted = docs.select(text).mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [bytes(r["w"]) for r in counted.orderBy(F.desc("n"), "w").limit(most).collect()]
+    # Steps of an eighth of a power of two: few, and whole steps are taken, so only what is wanted comes to the driver.
+    stepped = stored(counted.withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "bpe-words")
+    sizes = sorted(((r["step"], r["count"]) for r in stepped.groupBy("step").count().collect()), reverse=True)
+    least, total = None, 0
+    for step, n in sizes:
+        total += n
+        if total > most:
+            break
+        least = step
+    if least is None:
+        return []
+    return [bytes(r["w"]) for r in stepped.filter(F.col("step") >= least).select("w").collect()]
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", lexicon_size: int = 65_536) -> DataFrame:
