@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordforge.llm import bpe, chat, jaccard, language, mixing, quality, repeats, rules, sharding, topk
+from recordforge.llm import (
+    bpe, chat, codes, jaccard, language, mixing, pieces, quality, repeats, rules, sharding, topk, variants,
+)
 from recordforge.llm.work import documents, n_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +200,121 @@ def preference_pairs(spark, sf_dir):
         F.lit("]"),
     )
     return pairs.withColumns({c: shown(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
+def _sql_rounds(rounds: int) -> str:
+    """Codebooks c1, c2, ... of SQL, each from the one before; `a` assigns with integers d * 16 + entry."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"""
+    a{i} as materialized (
+      select r, part, min(d * 16 + entry)::bigint as best from (
+        select p.r, p.part, c.entry, sum((p.x - c.x) * (p.x - c.x))::bigint as d
+        from p join c{i} c using (part, pos) group by all) group by all)""")
+        if i < rounds:
+            out.append(f"""
+    c{i + 1} as materialized (
+      select c.part, c.entry, c.pos, coalesce(m.x, c.x) as x from c{i} c left join (
+        select part, best % 16 as entry, pos, ((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*))::bigint as x
+        from p join a{i} using (r, part) group by all) m using (part, entry, pos))""")
+    return ",".join(out)
+
+
+@query(
+    "op11_vector_codes",
+    f"""
+    with k as materialized (
+      select row_number() over (order by vec_id nulls last, embedding) - 1 as r, vec_id, label,
+             list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v, len(embedding) // 8 as width
+      from embeddings where embedding is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+    p as materialized (
+      select r, (i - 1) // width as part, (i - 1) % width as pos, v[i] as x
+      from (select r, width, v, unnest(range(1, len(v) + 1)) as i from k)),
+    c0 as materialized (select part, r as entry, pos, x from p where r < 16),
+    {_sql_rounds(6)},
+    e as materialized (
+      select r, string_agg(printf('%02x', best % 16), '' order by part) as code, sum(best // 16)::bigint as error
+      from a6 group by r),
+    s as (select sha256(string_agg(x::varchar, ',' order by part, entry, pos)) as codebooks_sha256 from c6)
+    select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256
+    from k join e using (r), s
+    """,
+)
+def vector_codes(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    coded, books = codes.compress(table)
+    told = codes.with_group_sum(coded.drop("embedding"), "label", "error", "label_error")
+    return told.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def piece_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op12_piece_round_trip")
+def piece_round_trip(spark, sf_dir):
+    coded = pieces.encode(documents(spark, sf_dir, "doc_id", "text"), piece_file())
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def _crc_table() -> list[int]:
+    """The table of crc32, by its rule."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+@query(
+    "op13_spelling_variants",
+    f"""
+    with runs as materialized (
+      select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n from (
+        select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents)
+      where length(run) >= 7 group by all),
+    named as materialized (
+      select run, n, hex(encode(concat(coalesce(doc_id::varchar, ''), ':', run))) as bytes from runs),
+    hashed as materialized (
+      select run, n, xor(4294967295, list_reduce(
+        list_prepend(4294967295::bigint, list_transform(range(1, length(bytes), 2), lambda i: ('0x' || bytes[i:i + 1])::bigint)),
+        lambda c, b: xor(c >> 8, ({_crc_table()}::bigint[])[xor(c & 255, b) + 1]))) as h from named),
+    words as materialized (
+      select word, sum(n)::bigint as n from (
+        select case when h % 31 = 0 then run[:(h % length(run))::int] || run[(h % length(run))::int + 2:] else run end as word, n
+        from hashed)
+      where length(word) >= 7 group by word having sum(n) >= 2),
+    cut as materialized (
+      select word, n, i, word[:i - 1] || word[i + 1:] as rest
+      from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+    near as materialized (
+      select a.word, a.n, b.word as other, b.n as other_n from cut a join cut b
+        on a.rest = b.rest and a.i = b.i and a.word <> b.word
+      union select a.word, a.n, w.word, w.n from cut a join words w on a.rest = w.word
+      union select w.word, w.n, a.word, a.n from cut a join words w on a.rest = w.word),
+    told as materialized (
+      select word, count(*) as n_near, max(other_n) as most, min((-other_n, encode(other))) as best
+      from near group by word),
+    forms as materialized (
+      select w.word, w.n, coalesce(n_near, 0)::bigint as n_near,
+             case when most >= 10 * w.n then decode(best[2]) end as form, case when most >= 10 * w.n then most end as form_n
+      from words w left join told using (word)),
+    paths as (
+      with recursive path(word, place, steps) as (
+        select word, word, 0 from forms
+        union all select p.word, f.form, p.steps + 1 from path p join forms f on p.place = f.word where f.form is not null)
+      select word, max_by(place, steps) as root from path group by word)
+    select word, form, root, n, n_near, form_n from forms join paths using (word)
+    """,
+)
+def spelling_variants(spark, sf_dir):
+    return variants.spelling_variants(documents(spark, sf_dir, "doc_id", "text"))
