@@ -13,16 +13,21 @@ The number of subgroups follows the set's size; sizes are cut into bands in rati
 neighbouring bands, and a set writes combinations for its own band and the next. Sets of 3 to 5 tokens, where combinations
 cannot be protected, link only if one is the other plus a token, and write all sets with one token left out.
 
-Texts with equal sets are one node from the start. Documents that share a signature form a list. Links are only needed up to
-components, so lists are not expanded into pairs. Nodes that fit no other node of the list by size and by number of tokens
-held elsewhere leave it. First every node is compared with one leader, then with the leaders of the
-lists that still span several components, then with a second leader, and only pairs of different components that remain are
-compared exhaustively. Each comparison is exact on whole sets.
+Texts with equal sets are one node from the start. Nodes that share a signature form a list; nodes that fit no other node of
+the list by size and by number of tokens held elsewhere leave it. Lists with the same leader, the node that fits the largest
+partners, become one circle: copies of one text share many signatures, and so meet once instead of once per list.
+
+Links are only needed up to components, so circles are not expanded into pairs. First every node is compared with one leader.
+Circles that still span several components are then settled as a whole: each gets the token sets of its nodes, counts what
+its nodes share by products of incidence matrices, and hands on only links that join two components, which are fewer than
+its nodes. A circle with more than CIRCLE_TOKENS tokens is cut into blocks, and every two blocks meet in a task. Each
+comparison is exact on whole sets.
 
 Exact counts of all tokens come first. They tell how many of a set's tokens any other set holds: with fewer than the overlap
 that a link needs, the set takes no further part. They also give the frequency classes: frequent are tokens in at least
 `total / MOST_FREQUENT` sets, so there are at most MOST_FREQUENT at any scale, and their table can be broadcast. The order
-affects speed only, never results. Tokens move between tasks in packed arrays, dealt by hash.
+affects speed only, never results. Tokens move between tasks in packed arrays, dealt by hash over a number of partitions that
+follows the total.
 
 NULL and wordless texts have no tokens, and are components of their own. Fewer than five words are one token. Repeated rows
 are equal texts. An empty table gives an empty result.
@@ -31,7 +36,7 @@ are equal texts. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -50,10 +55,8 @@ LEAST_FREQUENT = 32
 TRIPLES_FROM = 16  # times as frequent as the bound: combinations of three
 BIN_TOKENS = 4_000_000  # tokens that one task counts at a time
 SMALL = 5
-BROADCAST_ROWS = 1_000_000
-CLASSES = 256  # of tokens, by hash, whose counts bound what two sets share
-SLICE_NODES = 2000
-UNITS = 256  # tasks that compare long lists
+CIRCLE_TOKENS = 4_000_000  # that one task compares at a time
+UNIT_TOKENS = 1_000_000  # of circles that share a task, on average
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -76,11 +79,6 @@ def node_of(tokens: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
-def class_counts(tokens: np.ndarray) -> np.ndarray:
-    """Tokens per class; 65535 stands for any larger number."""
-    return np.bincount((tokens >> np.uint64(33)) % np.uint64(CLASSES), minlength=CLASSES).clip(max=65535).astype(np.uint16)
-
-
 def needed(n: int) -> int:
     """Tokens that a set of n shares with any set it links to, at least."""
     return -(-PERCENT * n // 100)
@@ -265,7 +263,7 @@ def shared_tokens(docs: DataFrame, total: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = _texts(b)
-            for lo, hi in pieces(texts, 8 << 20):
+            for lo, hi in pieces(texts, 2 << 20):
                 sets = {}
                 for s in token_sets(texts[lo:hi]):
                     if len(s):
@@ -290,7 +288,7 @@ def shared_tokens(docs: DataFrame, total: int) -> DataFrame:
             }
         )
 
-    packed = docs.select("text").mapInArrow(pack, _RUN_SCHEMA)
+    packed = docs.select("text").mapInArrow(pack, _RUN_SCHEMA).repartition(bins, "bin")
     return packed.groupBy("bin").applyInArrow(count, "name long, count long, is_token boolean")
 
 
@@ -302,11 +300,11 @@ def _frequent_from(total: int) -> int:
     return max(LEAST_FREQUENT, total // MOST_FREQUENT)
 
 
-def shared_lists(sets: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
-    """(list, node, leader, size, fits, length): nodes that share a signature, each list once per bin; the leader is the
-    one that fits the largest partners; size and largest fitting partner of each node; nodes of the list.
+def circles(sets: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
+    """(node, leader) for nodes that share a signature, where the leader of a list is the node that fits the largest
+    partners. Nodes that fit no other node of the list are left out.
 
-    Nodes that fit no other node of the list are left out. `sets` is (node, held, tokens), `frequent` (name, count) of the frequent tokens, at most MOST_FREQUENT."""
+    `sets` is (node, held, tokens), `frequent` (name, count) of the frequent tokens, at most MOST_FREQUENT."""
     often = frequent.toArrow()
     names, n = often.column("name").to_numpy(), often.column("count").to_numpy()
     order, rank = np.argsort(names), np.empty(len(names), np.int64)
@@ -320,7 +318,7 @@ def shared_lists(sets: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
         for b in batches:
             nodes, held = b.column("node").to_numpy(), b.column("held").to_numpy()
             tokens = [np.frombuffer(t, np.uint64) for t in b.column("tokens").to_pylist()]
-            for lo, hi in pieces([t.data for t in tokens], 8 << 20):
+            for lo, hi in pieces([t.data for t in tokens], 4 << 20):
                 made = []
                 for s in tokens[lo:hi]:
                     own = (_bin(s, token_bins) << np.uint64(32)) | _low(s)
@@ -338,47 +336,31 @@ def shared_lists(sets: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
         marks, nodes, facts = marks[fits], nodes[fits], facts[fits]
         at = _runs(marks)
         size = np.diff(np.append(at, len(marks)))
-        # Lists of the same nodes are kept once.
-        name = np.add.reduceat(mix(nodes.view(np.uint64)), at) if len(at) else np.zeros(0, np.uint64)
-        _, first = np.unique(np.where(size > 1, name, np.uint64(0)), return_index=True)
-        kept = first[size[first] > 1]
-        inside = np.zeros(len(at), bool)
-        inside[kept] = True
-        rows = np.repeat(inside, size)
-        number = np.repeat(np.arange(len(at)), size)[rows] + (table.column("bin")[0].as_py() << 32)
-        leaders = np.zeros(0, np.int64)
-        if len(at):
-            best = np.repeat(np.maximum.reduceat(facts[:, 1], at), size) == facts[:, 1]
-            leaders = np.minimum.reduceat(np.where(best, np.arange(len(marks)), len(marks)), at)
-        return pa.table(
-            {
-                "list": number, "node": nodes[rows], "leader": np.repeat(nodes[leaders], size)[rows],
-                "size": facts[rows, 0], "fits": facts[rows, 1], "length": np.repeat(size, size)[rows],
-            }
-        )
+        if not len(at):
+            return pa.table({"node": nodes, "leader": nodes})
+        best = np.repeat(np.maximum.reduceat(facts[:, 1], at), size) == facts[:, 1]
+        leaders = nodes[np.minimum.reduceat(np.where(best, np.arange(len(marks)), len(marks)), at)]
+        pairs = np.unique(np.stack([nodes, np.repeat(leaders, size)], 1)[np.repeat(size > 1, size)], axis=0)
+        return pa.table({"node": pairs[:, 0], "leader": pairs[:, 1]})
 
-    return sets.select("node", "held", "tokens").mapInArrow(pack, _RUN_SCHEMA).groupBy("bin").applyInArrow(lists, "list long, node long, leader long, size long, fits long, length long")
+    packed = sets.select("node", "held", "tokens").mapInArrow(pack, _RUN_SCHEMA).repartition(bins, "bin")
+    return packed.groupBy("bin").applyInArrow(lists, "node long, leader long").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, held, counts, tokens) for wanted (doc_id, node, held); counts of tokens by class."""
+    """(node, held, tokens) for wanted (doc_id, node, held)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # A repeated doc_id may have other texts: only the one that is the node counts.
             nodes = b.column("node").to_pylist()
-            sets = [s if node_of(s) == n else None for n, s in zip(nodes, token_sets(_texts(b)))]
-            blobs = [
-                pa.array([None if s is None else f(s).tobytes() for s in sets], pa.binary()) for f in (class_counts, np.asarray)
-            ]
+            blobs = [s.tobytes() if node_of(s) == n else None for n, s in zip(nodes, token_sets(_texts(b)))]
             yield pa.RecordBatch.from_arrays(
-                [b.column("node"), b.column("held"), *blobs], names=["node", "held", "counts", "tokens"]
+                [b.column("node"), b.column("held"), pa.array(blobs, pa.binary())], names=["node", "held", "tokens"]
             )
 
-    # A small list of ids spares moving all texts; a longer one is joined by shuffling.
-    small = wanted.count() <= BROADCAST_ROWS
-    found = docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, "doc_id")
-    sets = found.select("node", "held", "text").mapInArrow(run, "node long, held long, counts binary, tokens binary")
+    found = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "held", "text")
+    sets = found.mapInArrow(run, "node long, held long, tokens binary")
     return sets.filter("tokens is not null")
 
 
@@ -415,21 +397,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hopeful = (F.col("held") * 100 >= F.col("n_shingles") * PERCENT) & (F.col("n_shingles") > 2)
     wanted = nodes.join(held, F.col("node") == F.col("name")).filter(hopeful).select("node", "doc_id", "held")
     sets = stored(_sets(docs, stored(wanted, "jaccard-wanted")), "jaccard-sets")
-    lists = stored(shared_lists(sets, counts.filter("is_token").select("name", "count"), total), "jaccard-lists")
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")
-        return stored(_links(ordered.distinct(), sets), "jaccard-links")
-
-    links = compared(lists.groupBy("node").agg(F.min("leader").alias("b")).withColumnRenamed("node", "a"))
-    steps: list[Callable[[DataFrame], DataFrame]] = [_to_leader, _to_second_leader, lambda x: _exhaustive(x, sets)]
-    for step in steps:
-        parts = stored(components(links), "jaccard-parts")
-        open_lists = stored(_open(lists, parts), "jaccard-open")
-        if open_lists.isEmpty():
-            break
-        links = links.union(compared(step(open_lists)))
+    members = stored(circles(sets, counts.filter("is_token").select("name", "count"), total), "jaccard-circles")
+    pairs = members.filter("node <> leader").groupBy("node").agg(F.min("leader").alias("leader"))
+    ordered = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    links = stored(_links(ordered.distinct(), sets), "jaccard-links")
     parts = stored(components(links), "jaccard-parts")
+    undecided = stored(_undecided(members, parts, sets), "jaccard-undecided")
+    if not undecided.isEmpty():
+        links = links.union(stored(_settled(undecided, sets), "jaccard-links"))
+        parts = stored(components(links), "jaccard-parts")
     placed = nodes.join(parts, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = placed.join(smallest, "component").select("node", "component_id")
@@ -438,68 +414,108 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return filled.union(empty)
 
 
-def _open(lists: DataFrame, parts: DataFrame) -> DataFrame:
-    """(list, node, leader, part) of the lists that span several components."""
-    placed = lists.join(parts, "node", "left").select(
-        "list", "node", "leader", "size", "fits", "length", F.coalesce("component", "node").alias("part")
+def _undecided(members: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(leader, node, part, size) of the circles that span several components."""
+    sizes = sets.select("node", (F.length("tokens") / 8).cast("long").alias("size"))
+    placed = members.join(parts, "node", "left").select("node", "leader", F.coalesce("component", "node").alias("part"))
+    spread = placed.groupBy("leader").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q")
+    return placed.join(spread.select("leader"), "leader", "left_semi").join(sizes, "node")
+
+
+class Circle:
+    """Nodes of one circle, or of two blocks of one, with their token sets and components."""
+
+    def __init__(self, tokens: list[np.ndarray], parts: np.ndarray):
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        owner = np.repeat(np.arange(len(tokens)), self.size)
+        _, which, held = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+        n = len(tokens)
+        # Tokens of many nodes are columns of a dense matrix, the others lists of nodes; those of one node are not shared.
+        dense = held >= max(8, n // 4)
+        column = np.cumsum(dense) - 1
+        at = dense[which]
+        self.dense = np.zeros((n, int(dense.sum())), np.float32)
+        self.dense[owner[at], column[which[at]]] = 1
+        at = (held[which] > 1) & ~at
+        self.owner, self.token = owner[at], which[at]  # in order of owners
+        self.first = np.searchsorted(self.owner, np.arange(n + 1))
+        order = np.argsort(self.token, kind="stable")
+        self.holders = self.owner[order]
+        self.held_from = np.searchsorted(self.token[order], np.arange(len(held) + 1))
+        self.parts = np.unique(parts, return_inverse=True)[1]
+
+    def shared(self, lo: int, hi: int, rows: np.ndarray) -> np.ndarray:
+        """Tokens that rows[lo:hi] share with every node."""
+        own = rows[lo:hi]
+        out = self.dense[own] @ self.dense.T
+        runs = self.first[own + 1] - self.first[own]
+        row = np.repeat(np.arange(len(own)), runs)
+        token = self.token[_spans(self.first[own], runs)]
+        count = self.held_from[token + 1] - self.held_from[token]
+        cell = np.repeat(row, count) * len(self.size) + self.holders[_spans(self.held_from[token], count)]
+        return out.astype(np.int64) + np.bincount(cell, minlength=out.size).reshape(out.shape)
+
+    def links(self) -> list[tuple[int, int]]:
+        """Pairs of similar nodes that join components; after them no similar nodes are in different components."""
+        label, found = self.parts.copy(), []
+        main = np.bincount(label).argmax()
+        rows = np.flatnonzero(label != main)
+        for lo in range(0, len(rows), 256):
+            hi = lo + 256
+            shared = self.shared(lo, hi, rows)
+            own = rows[lo:hi, None]
+            similar = (100 + PERCENT) * shared >= PERCENT * (self.size[own] + self.size[None, :])
+            x, y = np.nonzero(similar & (label[own] != label[None, :]))
+            x = rows[lo:hi][x]
+            while len(x):
+                # One pair of every two components, joined one after the other; then those that are still apart.
+                _, at = np.unique(label[x] * (len(label) + 1) + label[y], return_index=True)
+                for i, j in zip(x[at].tolist(), y[at].tolist()):
+                    a, b = label[i], label[j]
+                    if a != b:
+                        label[label == b] = a
+                        found.append((i, j))
+                apart = label[x] != label[y]
+                x, y = x[apart], y[apart]
+        return found
+
+
+def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every span, one after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+def _settled(undecided: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join components inside circles (leader, node, part, size)."""
+
+    def settle(table: pa.Table) -> pa.Table:
+        tokens = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
+        nodes, parts = table.column("node").to_numpy(), table.column("part").to_numpy()
+        members: dict[tuple, list[int]] = defaultdict(list)
+        for i, own in enumerate(table.column("circles").to_pylist()):
+            for c in own:
+                members[c["leader"], c["x"], c["y"]].append(i)
+        found = []
+        for own in members.values():
+            made = Circle([tokens[i] for i in own], parts[own]).links() if len(own) > 1 else []
+            found += [(nodes[own[i]], nodes[own[j]]) for i, j in made]
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    weight = undecided.groupBy("leader").agg(F.sum("size").alias("weight"))
+    blocks = weight.select("leader", F.ceil(F.col("weight") / CIRCLE_TOKENS).cast("int").alias("blocks"))
+    total = undecided.agg(F.sum("size")).first()[0]
+    units = max(16, total // UNIT_TOKENS)
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cut = undecided.join(blocks, "leader").select("leader", "node", "part", "blocks", block.alias("block"))
+    # A block meets every block, itself included, once: as the first or as the second of two.
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda other: F.struct("leader", F.least("block", other).alias("x"), F.greatest("block", other).alias("y")),
     )
-    spread = placed.groupBy("list").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("list")
-    return placed.join(spread, "list", "left_semi")
-
-
-def _to_leader(lists: DataFrame) -> DataFrame:
-    own = lists.filter("node = leader").select("list", F.col("part").alias("leader_part"))
-    return lists.join(own, "list").filter("part <> leader_part").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-
-
-def _to_second_leader(lists: DataFrame) -> DataFrame:
-    last = lists.groupBy("list").agg(F.max_by(F.struct("node", "part"), F.xxhash64("node")).alias("l"))
-    return lists.join(last, "list").filter("part <> l.part").select(F.col("node").alias("a"), F.col("l.node").alias("b"))
-
-
-def _exhaustive(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different components that may be similar; a pair with the leader has been compared.
-
-    Two sets share at most the sum of the smaller counts over hash classes of their tokens. That bound, taken of every pair
-    of a list that fits by size, leaves little more than the similar pairs. A long list is cut into slices, each compared
-    with the whole list.
-    """
-
-    def pairs(table: pa.Table) -> pa.Table:
-        column = lambda c: table.column(c).to_numpy()
-        nodes, at = np.unique(column("node"), return_index=True)
-        where = np.searchsorted(nodes, column("node"))
-        part, size, fits = column("part")[at], column("size")[at], column("fits")[at]
-        counts = np.frombuffer(b"".join(table.column("counts").take(pa.array(at)).to_pylist()), np.uint16).reshape(-1, CLASSES)
-        unit = np.stack([column("list"), column("slice")], 1)
-        order = np.lexsort((unit[:, 1], unit[:, 0]))
-        new = np.flatnonzero(np.concatenate([[True], (unit[order][1:] != unit[order][:-1]).any(1)]))
-        found = [np.zeros(0, np.int64)]
-        for s, e in zip(new, np.append(new[1:], len(order))):
-            own = np.unique(where[order[s:e]])
-            mine = own[nodes[own] % column("slices")[order[s]] == column("slice")[order[s]]]
-            for i in range(0, len(mine), 256):
-                x, y = mine[i : i + 256, None], own[None, :]
-                ok = (part[x] != part[y]) & (size[x] <= fits[y]) & (size[y] <= fits[x])
-                a, b = np.nonzero(ok)
-                a, b = mine[i : i + 256][a], own[b]
-                found.append(np.minimum(a, b) * len(nodes) + np.maximum(a, b))
-            if sum(map(len, found)) > 4_000_000:
-                found = [np.unique(np.concatenate(found))]
-        codes = np.unique(np.concatenate(found))
-        keep = [np.zeros(0, np.int64)]
-        for i in range(0, len(codes), 50_000):
-            a, b = np.divmod(codes[i : i + 50_000], len(nodes))
-            smaller = np.minimum(counts[a], counts[b])
-            most = smaller.sum(1, dtype=np.int64)
-            open_end = (smaller == 65535).any(1)
-            keep.append(codes[i : i + 50_000][open_end | ((100 + PERCENT) * most >= PERCENT * (size[a] + size[b]))])
-        a, b = np.divmod(np.concatenate(keep), max(1, len(nodes)))
-        return pa.table({"a": nodes[a], "b": nodes[b]})
-
-    rest = lists.filter("node <> leader").drop("leader")
-    counts = sets.groupBy("node").agg(F.first("counts").alias("counts"))
-    sliced = rest.withColumn("slices", F.ceil(F.col("length") / SLICE_NODES))
-    rows = sliced.join(counts, "node").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    dealt = rows.withColumn("unit", F.pmod(F.xxhash64("list", "slice"), F.lit(UNITS)))
-    return dealt.groupBy("unit").applyInArrow(pairs, "a long, b long").distinct()
+    dealt = cut.select("node", "part", F.explode(meets).alias("circle"))
+    named = dealt.withColumn("unit", F.pmod(F.xxhash64("circle.leader", "circle.x", "circle.y"), F.lit(units)))
+    # The tokens of a node travel once per unit.
+    once = named.groupBy("unit", "node", "part").agg(F.collect_set("circle").alias("circles"))
+    full = once.join(sets.select("node", "tokens"), "node").repartition(units, "unit")
+    return full.groupBy("unit").applyInArrow(settle, "a long, b long").distinct()

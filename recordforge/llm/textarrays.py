@@ -18,7 +18,6 @@ LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 class Words(NamedTuple):
@@ -34,7 +33,7 @@ class Words(NamedTuple):
         return slice(int(self.first[doc]), int(self.first[doc + 1]))
 
 
-def pieces(texts: list[bytes | None], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def pieces(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` bytes each; a longer text stands alone."""
     start, size = 0, 0
     for i, t in enumerate(texts):
@@ -53,10 +52,10 @@ def split(texts: list[bytes | None], lower: bool = False) -> Words:
     if lower:
         data = LOWER[data]
     space = SPACE[data]
-    before = np.empty_like(space)
-    before[:1], before[1:] = True, space[:-1]
-    starts = np.flatnonzero(~space & before)
-    ends = np.flatnonzero(space & ~before)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(data) and not space[0]:
+        edges = np.concatenate([[0], edges])
+    starts, ends = edges[::2], edges[1::2]
     text_starts = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) + 1 for p in parts], out=text_starts[1:])
     return Words(data, starts, ends, np.searchsorted(starts, text_starts), text_starts)
@@ -69,22 +68,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        up, down = np.full(n, _BASE), np.full(n, _INVERSE)
-        up[0] = down[0] = 1
-        _powers[:] = [np.cumprod(up), np.cumprod(down)]
-    return _powers[0], _powers[1]
+def _power_table(base: np.uint64) -> np.ndarray:
+    powers = np.full(BLOCK, base)
+    powers[0] = 1
+    return np.cumprod(powers)
+
+
+BLOCK = 1 << 15  # values that are hashed at a time, so the tables of powers have a fixed size
+_UP, _DOWN = _power_table(_BASE), _power_table(_INVERSE)
+
+
+def _long_span(values: np.ndarray) -> np.ndarray:
+    """The hash of one span of any length, block by block."""
+    total, power = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for lo in range(0, len(values), BLOCK):
+        own = values[lo : lo + BLOCK].astype(np.uint64) + np.uint64(1)
+        total += power * (own * _UP[: len(own)]).sum(dtype=np.uint64)
+        power = power * _UP[-1] * _BASE
+    return total
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of values: a polynomial in them, from sums over the whole array."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _power_table(len(values))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """A 64-bit hash of each span of values: a polynomial in them. Spans are in order and do not overlap.
+
+    Spans that lie within a block of values are read off the running sums of the block; longer ones are hashed alone.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = int(np.searchsorted(ends, base + BLOCK, "right"))
+        if to <= at:
+            out[at : at + 1] = _long_span(values[base : ends[at]])
+            at += 1
+            continue
+        first, last = starts[at:to] - base, ends[at:to] - base
+        own = values[base : base + int(last[-1])]
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum((own.astype(np.uint64) + np.uint64(1)) * _UP[: len(own)], out=sums[1:])
+        out[at:to] = (sums[last] - sums[first]) * _DOWN[first]
+        at = to
+    return mix(out)
 
 
 def word_hashes(words: Words) -> np.ndarray:
