@@ -19,10 +19,11 @@ import json
 import mmap
 import os
 import unicodedata
+import uuid
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
-from typing import NamedTuple
+from typing import NamedTuple, TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,17 @@ from tokenizers.pre_tokenizers import ByteLevel
 from recordforge.llm.textarrays import pieces, span_hashes
 from recordforge.llm.work import free_name, stored
 
+T = TypeVar("T")
 LONGEST_IN_LEXICON = 64  # bytes
 _END = 0x110000  # stands behind every text; no code point
 _SPACE, _LETTER, _NUMBER, _OTHER, _BORDER = range(5)
 SHORT = 24  # bytes up to which a word is merged by looking at all its pairs
 _ID_BITS, _NONE = 32, 1 << 64
-_KEEP_MERGED = 400_000  # words whose merges a task remembers
+_KEEP_MERGED = 200_000  # words whose merges a process remembers
+_KEEP_COUNTS = 200_000  # words that a task counts before it hands them on
+BLOCK = 1 << 20  # characters of a text that are cut at a time
+GROUP = 1 << 20  # characters of several texts that are cut at a time
+_SOLID = regex.compile(r"[^\s\x1c-\x1f\x85](?= )")
 
 
 @lru_cache(1)
@@ -290,6 +296,30 @@ def cut_words(texts: list[str], kinds: np.ndarray) -> Cut:
     return Cut(different, which, text)
 
 
+def blocks(text: str) -> Iterator[str]:
+    """A text in parts of about BLOCK characters. Words hold a space only at their start, so it may be cut before a space
+    that follows a solid character."""
+    start = 0
+    while start < len(text):
+        found = _SOLID.search(text, start + BLOCK) if start + BLOCK < len(text) else None
+        end = found.end() if found else len(text)
+        yield text[start:end]
+        start = end
+
+
+def grouped(parts: Iterator[T], size: Callable[[T], int]) -> Iterator[list[T]]:
+    """Parts in order, in groups of about GROUP characters."""
+    group, total = [], 0
+    for part in parts:
+        group.append(part)
+        total += size(part)
+        if total >= GROUP:
+            yield group
+            group, total = [], 0
+    if group:
+        yield group
+
+
 def _segments(text: str, special: regex.Pattern | None) -> list[str]:
     """Texts between special tokens, and the tokens: at odd places."""
     return special.split(text) if special and special.search(text) else [text]
@@ -323,24 +353,32 @@ class Encoder:
         ids = np.concatenate([self.lexicon.ids, np.frombuffer(b"".join(made), np.int32)])
         return _gather(ids, at[place], at[place + 1])
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and the number of each."""
-        parts, owner, special = [], [], []
+    def _parts(self, texts: list[str | None]) -> Iterator[tuple[int, str, int]]:
+        """(text, part of it, -1 or special id) in order."""
         for i, t in enumerate(texts):
             for k, segment in enumerate(_segments(t or "", self.special)):
-                special.append(self.vocabulary.special[segment] if k % 2 else -1)
-                parts.append("" if k % 2 else segment)
-                owner.append(i)
-        cut = cut_words(parts, self.kinds)
-        ids, count = self._ids(cut.different)
-        starts = np.cumsum(count) - count
-        ids, _ = _gather(ids, starts[cut.which], (starts + count)[cut.which])
-        per_part = np.bincount(cut.text, weights=count[cut.which], minlength=len(parts)).astype(np.int64)
-        marks = np.array(special)
-        if (marks >= 0).any():
-            ids = np.insert(ids, np.cumsum(per_part)[marks >= 0], marks[marks >= 0])
-            per_part += marks >= 0
-        return ids, np.bincount(owner, weights=per_part, minlength=len(texts)).astype(np.int64)
+                if k % 2:
+                    yield i, "", self.vocabulary.special[segment]
+                else:
+                    yield from ((i, part, -1) for part in blocks(segment))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the number of each."""
+        out, total = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        for group in grouped(self._parts(texts), lambda p: len(p[1])):
+            owner, parts, special = zip(*group)
+            cut = cut_words(parts, self.kinds)
+            ids, count = self._ids(cut.different)
+            starts = np.cumsum(count) - count
+            ids, _ = _gather(ids, starts[cut.which], (starts + count)[cut.which])
+            per_part = np.bincount(cut.text, weights=count[cut.which], minlength=len(parts)).astype(np.int64)
+            marks = np.array(special)
+            if (marks >= 0).any():
+                ids = np.insert(ids, np.cumsum(per_part)[marks >= 0], marks[marks >= 0])
+                per_part += marks >= 0
+            np.add.at(total, np.array(owner), per_part)
+            out.append(ids.astype(np.int32))
+        return np.concatenate(out), total
 
 
 def _gather(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -365,6 +403,18 @@ class Decoder:
         return [whole[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
 
+_held: dict[str, tuple[Encoder, Decoder]] = {}  # of the file in use, once per process
+
+
+def _coders(key: str, parts: Callable[[], tuple]) -> tuple[Encoder, Decoder]:
+    if key not in _held:
+        _held.clear()
+        spec, packed, kinds = parts()
+        vocabulary = Vocabulary(spec)
+        _held[key] = Encoder(vocabulary, Lexicon.mapped(packed), kinds), Decoder(vocabulary)
+    return _held[key]
+
+
 def load(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         return json.load(f)
@@ -374,16 +424,23 @@ def frequent_words(docs: DataFrame, text: str, most: int) -> list[bytes]:
     """The most frequent words of all texts, at most `most`."""
     shared = docs.sparkSession.sparkContext.broadcast(kinds_of_points())
 
+    def batch(counts: dict[bytes, int]) -> pa.RecordBatch:
+        columns = [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["w", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo, hi in pieces(texts, 4 << 20):
-                cut = cut_words([t or "" for t in texts[lo:hi]], shared.value)
-                n = np.bincount(cut.which, minlength=len(cut.different))
-                short = [i for i, w in enumerate(cut.different) if len(w) <= LONGEST_IN_LEXICON]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([cut.different[i] for i in short], pa.binary()), pa.array(n[short], pa.int64())], names=["w", "n"]
-                )
+        counts: dict[bytes, int] = {}
+        parts = (part for b in batches for t in b.column(0) for part in blocks(t.as_py() or ""))
+        for group in grouped(parts, len):
+            cut = cut_words(group, shared.value)
+            n = np.bincount(cut.which, minlength=len(cut.different)).tolist()
+            for w, k in zip(cut.different, n):
+                if len(w) <= LONGEST_IN_LEXICON:
+                    counts[w] = counts.get(w, 0) + k
+            if len(counts) >= _KEEP_COUNTS:
+                yield batch(counts)
+                counts.clear()
+        yield batch(counts)
 
     counted = docs.select(text).mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
     # Steps of an eighth of a power of two: few, and whole steps are taken, so only what is wanted comes to the driver.
@@ -408,19 +465,20 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", lexicon_size: in
     lexicon = compile_lexicon({w: vocabulary.merge(w) for w in words})
     shared = docs.sparkSession.sparkContext.broadcast((spec, lexicon.pack(), kinds_of_points()))  # both of bounded size
 
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spec, packed, kinds = shared.value
-        vocabulary = Vocabulary(spec)
-        encoder, decoder = Encoder(vocabulary, Lexicon.mapped(packed), kinds), Decoder(vocabulary)
+        encoder, decoder = _coders(key, lambda: shared.value)
         for b in batches:
             texts = b.column(text).to_pylist()
-            for lo, hi in pieces(texts, 2 << 20):
+            for lo, hi in pieces(texts):
                 ids, count = encoder.encode(texts[lo:hi])
                 ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
                 decoded = pa.array(decoder.decode(ids, count), pa.string())
                 own = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*own.columns, lists, decoded], names=names)
+        pa.default_memory_pool().release_unused()
 
     names = [*docs.columns, free_name(docs, "ids"), free_name(docs, "decoded")]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
