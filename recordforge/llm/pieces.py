@@ -299,8 +299,9 @@ class Decoder:
 
     def decode(self, ids: array) -> str:
         whole = b"".join(map(self.bytes_of.__getitem__, ids))
-        if self.front and ids and whole[:1] == b" " and self.types[ids[0]] == NORMAL:
-            whole = whole[1:]
+        if self.front and whole[:1] == b" ":
+            shown = next(i for i in ids if self.types[i] != CONTROL)
+            whole = whole[self.types[shown] == NORMAL :]
         try:
             return whole.decode()
         except UnicodeDecodeError:

@@ -115,3 +115,67 @@ def targets(sizes: dict, weights=(5, 2, 1), most: int = 3) -> dict:
         out |= {k: float(most * sizes[k]) for k in above}
         free -= above
     return out
+
+
+def vector_codes(rows: list[tuple[int | None, list[float] | None]]) -> tuple[list[tuple], list[list[list[int]]]]:
+    """((vec_id, code, error) of the usable vectors in order of id, codebooks), component by component."""
+    from fractions import Fraction
+    from math import floor, isfinite
+
+    kept = [(i, v) for i, v in rows if v and all(x is not None and isfinite(x) for x in v)]
+    kept.sort(key=lambda r: (r[0] is None, r[0], r[1]))
+    width = len(kept[0][1]) // 8 if kept else 0
+    parts = [[[floor(Fraction(x) * 4096) for x in v[p * width : (p + 1) * width]] for p in range(8)] for _, v in kept]
+    books = [[parts[e][p] for e in range(min(16, len(kept)))] for p in range(8)]
+
+    def nearest(part, book):
+        return min((sum((a - b) ** 2 for a, b in zip(part, entry)), e) for e, entry in enumerate(book))
+
+    for _ in range(6):
+        for p in range(8):
+            members = defaultdict(list)
+            for own in parts:
+                members[nearest(own[p], books[p])[1]].append(own[p])
+            books[p] = [
+                [sum(c) // len(members[e]) for c in zip(*members[e])] if members[e] else entry for e, entry in enumerate(books[p])
+            ]
+    out = []
+    for (i, _), own in zip(kept, parts):
+        found = [nearest(own[p], books[p]) for p in range(8)]
+        out.append((i, "".join(f"{e:02x}" for _, e in found), sum(d for d, _ in found)))
+    return out, books
+
+
+def spelling_variants(rows: list[tuple[int | None, str | None]]) -> dict[str, tuple]:
+    """(form, root, n, n_near, form_n) by word."""
+    import zlib
+
+    count: dict[str, int] = defaultdict(int)
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= 7:
+                count[run] += 1
+    count = {w: n for w, n in count.items() if n >= 2}
+
+    def near(a: str, b: str) -> bool:
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    of = {w: [v for v in count if near(w, v)] for w in count}
+    form = {}
+    for w, others in of.items():
+        best = min(others, key=lambda v: (-count[v], v), default=None)
+        form[w] = best if best is not None and count[best] >= 10 * count[w] else None
+    out = {}
+    for w in count:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, count[w], len(of[w]), count.get(form[w]))
+    return out
