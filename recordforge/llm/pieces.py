@@ -41,7 +41,7 @@ UNKNOWN_TEXT = " ⁇ "
 CHUNK = 1 << 19  # characters of a text at a time
 BATCH = 1 << 20  # characters of the texts of an output batch
 LONGEST_KEPT = 64
-KEEP_WORDS, KEEP_PAIRS = 300_000, 400_000
+KEEP_WORDS, KEEP_PAIRS = 200_000, 400_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -182,15 +182,19 @@ def merge_halves(piece: str, score_of: dict[str, float]) -> tuple[str, str] | No
 
 
 class _Words(dict):
-    """Ids by word, as packed 32-bit integers; missing words are encoded."""
+    """Ids by word, as packed 32-bit integers; missing words are encoded. Words that were not asked for since the one but
+    last time that the table was full are forgotten."""
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        made = array("i", self.encode(word)).tobytes()
+        made = self.older.get(word)
+        if made is None:
+            made = array("i", self.encode(word)).tobytes()
         if len(word) <= LONGEST_KEPT:
             if len(self) >= KEEP_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = made
         return made
@@ -237,26 +241,29 @@ class Encoder:
             else:
                 until_right, b = t.rank[b], t.left[b]
 
-    def _fits(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= KEEP_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.compatible(a, b)
+    def _tested(self, a: int, b: int, key: int) -> bool:
+        if len(self.pairs) >= KEEP_PAIRS:
+            self.pairs.clear()
+        known = self.pairs[key] = self.compatible(a, b)
         return known
 
-    def last_tokens(self, word: str) -> array:
+    def last_tokens(self, word: str) -> list[int]:
         """The last token of each prefix of 1, 2, ... characters; -1 after a character that no piece holds."""
-        last = array("i", [-1]) * (len(word) + 1)
-        pairs, fits, sizes = self.pairs, self._fits, self.sizes
+        last = [-1] * (len(word) + 1)
+        known, sizes, n = self.pairs.get, self.sizes, len(self.sizes)
         for end, token in self.automaton.iter(word):
-            if last[end + 1] < 0:
-                before = end + 1 - sizes[token]
-                a = last[before]
+            end += 1
+            if last[end] < 0:
+                a = last[end - sizes[token]]
                 # Nothing is merged with the start or with a character that no piece holds.
-                if a < 0 or fits(a, token):
-                    last[end + 1] = token
+                if a >= 0:
+                    key = a * n + token
+                    fits = known(key)
+                    if fits is None:
+                        fits = self._tested(a, token, key)
+                    if not fits:
+                        continue
+                last[end] = token
         return last
 
     def encode_word(self, word: str) -> list[int]:
@@ -264,8 +271,8 @@ class Encoder:
         ids, sizes = self.tables.ids, self.sizes
         while at:
             token = last[at]
-            if token >= 0 and ids[token] >= 0:
-                out.append(ids[token])
+            if token >= 0 and (i := ids[token]) >= 0:
+                out.append(i)
                 at -= sizes[token]
             else:
                 at -= 1
