@@ -36,7 +36,7 @@ are equal texts. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -348,44 +348,25 @@ def circles(sets: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, held, tokens) for wanted (doc_id, node, held)."""
+    """(node, held, size, tokens) for wanted (doc_id, node, held)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # A repeated doc_id may have other texts: only the one that is the node counts.
             nodes = b.column("node").to_pylist()
-            blobs = [s.tobytes() if node_of(s) == n else None for n, s in zip(nodes, token_sets(_texts(b)))]
+            sets = [s if node_of(s) == n else None for n, s in zip(nodes, token_sets(_texts(b)))]
+            sizes = pa.array([None if s is None else len(s) for s in sets], pa.int64())
+            blobs = pa.array([None if s is None else s.tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [b.column("node"), b.column("held"), pa.array(blobs, pa.binary())], names=["node", "held", "tokens"]
+                [b.column("node"), b.column("held"), sizes, blobs], names=["node", "held", "size", "tokens"]
             )
 
-    found = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "held", "text")
-    sets = found.mapInArrow(run, "node long, held long, tokens binary")
+    # By shuffle at every size, so what the join costs does not jump when the list of ids outgrows a broadcast.
+    found = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").select("node", "held", "text")
+    sets = found.mapInArrow(run, "node long, held long, size long, tokens binary")
     return sets.filter("tokens is not null")
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar enough, compared on whole sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y)
-                if min(len(x), len(y)) * 100 < PERCENT * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                merged = np.sort(np.concatenate([x, y]), kind="stable")
-                shared = int((merged[1:] == merged[:-1]).sum())
-                keep.append(100 * shared >= PERCENT * (both - shared))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep))
-
-    first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    second = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for (doc_id, text)."""
     told = stored(describe(docs), "jaccard-nodes")
@@ -398,11 +379,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = nodes.join(held, F.col("node") == F.col("name")).filter(hopeful).select("node", "doc_id", "held")
     sets = stored(_sets(docs, stored(wanted, "jaccard-wanted")), "jaccard-sets")
     members = stored(circles(sets, counts.filter("is_token").select("name", "count"), total), "jaccard-circles")
-    pairs = members.filter("node <> leader").groupBy("node").agg(F.min("leader").alias("leader"))
-    ordered = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    links = stored(_links(ordered.distinct(), sets), "jaccard-links")
+    sizes = sets.select("node", "size").groupBy("node").agg(F.first("size").alias("size"))
+    links = stored(_starred(members, sizes, sets), "jaccard-links")
     parts = stored(components(links), "jaccard-parts")
-    undecided = stored(_undecided(members, parts, sets), "jaccard-undecided")
+    undecided = stored(_undecided(members, parts, sizes), "jaccard-undecided")
     if not undecided.isEmpty():
         links = links.union(stored(_settled(undecided, sets), "jaccard-links"))
         parts = stored(components(links), "jaccard-parts")
@@ -414,9 +394,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return filled.union(empty)
 
 
-def _undecided(members: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
+def _starred(members: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes and one leader each, the smallest of theirs."""
+    own = members.filter("node <> leader").groupBy("node").agg(F.min("leader").alias("leader")).join(sizes, "node")
+    stars = own.groupBy("leader").agg(F.ceil(F.sum("size") / CIRCLE_TOKENS).alias("blocks"), F.sum("size").alias("weight"))
+    stars = stored(stars, "jaccard-stars")
+    circle = lambda block: F.struct("leader", block.alias("x"), block.alias("y")).alias("circle")
+    of_node = own.join(stars, "leader").select("node", circle(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    # The leader meets every block of its nodes.
+    of_leader = stars.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("x")).select(
+        F.col("leader").alias("node"), circle(F.col("x"))
+    )
+    total = stars.agg(F.sum("weight")).first()[0] or 0
+
+    def links(nodes: np.ndarray, tokens: list[np.ndarray], parts: np.ndarray, leader: int) -> list[tuple[int, int]]:
+        lead = int(np.flatnonzero(nodes == leader)[0])
+        size = np.array([len(t) for t in tokens], np.int64)
+        known = tokens[lead]
+        whole = np.concatenate(tokens)
+        hit = known[np.minimum(np.searchsorted(known, whole), len(known) - 1)] == whole
+        shared = np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
+        similar = (100 + PERCENT) * shared >= PERCENT * (size + size[lead])
+        return [(i, lead) for i in np.flatnonzero(similar).tolist() if nodes[i] != leader]
+
+    return _met(of_node.union(of_leader).withColumn("part", F.col("node")), sets, total, links)
+
+
+def _undecided(members: DataFrame, parts: DataFrame, sizes: DataFrame) -> DataFrame:
     """(leader, node, part, size) of the circles that span several components."""
-    sizes = sets.select("node", (F.length("tokens") / 8).cast("long").alias("size"))
     placed = members.join(parts, "node", "left").select("node", "leader", F.coalesce("component", "node").alias("part"))
     spread = placed.groupBy("leader").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q")
     return placed.join(spread.select("leader"), "leader", "left_semi").join(sizes, "node")
@@ -485,8 +490,9 @@ def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
 
 
-def _settled(undecided: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that join components inside circles (leader, node, part, size)."""
+def _met(dealt: DataFrame, sets: DataFrame, total: int, links: Callable) -> DataFrame:
+    """Links (a, b) found by `links` in the circles of (node, part, circle), where `total` tokens meet."""
+    units = max(16, total // UNIT_TOKENS)
 
     def settle(table: pa.Table) -> pa.Table:
         tokens = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
@@ -496,16 +502,25 @@ def _settled(undecided: DataFrame, sets: DataFrame) -> DataFrame:
             for c in own:
                 members[c["leader"], c["x"], c["y"]].append(i)
         found = []
-        for own in members.values():
-            made = Circle([tokens[i] for i in own], parts[own]).links() if len(own) > 1 else []
-            found += [(nodes[own[i]], nodes[own[j]]) for i, j in made]
+        for (leader, _, _), own in members.items():
+            if len(own) > 1:
+                made = links(nodes[own], [tokens[i] for i in own], parts[own], leader)
+                found += [(nodes[own[i]], nodes[own[j]]) for i, j in made]
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    named = dealt.withColumn("unit", F.pmod(F.xxhash64("circle.leader", "circle.x", "circle.y"), F.lit(units)))
+    # The tokens of a node travel once per unit.
+    once = named.groupBy("unit", "node", "part").agg(F.collect_set("circle").alias("circles"))
+    full = once.join(sets.select("node", "tokens").hint("merge"), "node").repartition(units, "unit")
+    return full.groupBy("unit").applyInArrow(settle, "a long, b long").distinct()
+
+
+def _settled(undecided: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join components inside circles (leader, node, part, size)."""
     weight = undecided.groupBy("leader").agg(F.sum("size").alias("weight"))
     blocks = weight.select("leader", F.ceil(F.col("weight") / CIRCLE_TOKENS).cast("int").alias("blocks"))
     total = undecided.agg(F.sum("size")).first()[0]
-    units = max(16, total // UNIT_TOKENS)
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cut = undecided.join(blocks, "leader").select("leader", "node", "part", "blocks", block.alias("block"))
     # A block meets every block, itself included, once: as the first or as the second of two.
@@ -514,8 +529,4 @@ def _settled(undecided: DataFrame, sets: DataFrame) -> DataFrame:
         lambda other: F.struct("leader", F.least("block", other).alias("x"), F.greatest("block", other).alias("y")),
     )
     dealt = cut.select("node", "part", F.explode(meets).alias("circle"))
-    named = dealt.withColumn("unit", F.pmod(F.xxhash64("circle.leader", "circle.x", "circle.y"), F.lit(units)))
-    # The tokens of a node travel once per unit.
-    once = named.groupBy("unit", "node", "part").agg(F.collect_set("circle").alias("circles"))
-    full = once.join(sets.select("node", "tokens"), "node").repartition(units, "unit")
-    return full.groupBy("unit").applyInArrow(settle, "a long, b long").distinct()
+    return _met(dealt, sets, total, lambda nodes, tokens, parts, leader: Circle(tokens, parts).links())
