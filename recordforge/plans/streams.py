@@ -28,7 +28,7 @@ def _paths(spark, name):
 def stream_throughput(spark, sf):
     out, mark = _paths(spark, "throughput")
     jobs.upserts(jobs.throughput(_events(spark, sf), "ts", "1 hour", by=["event_type"]), out, mark)
-    made = jobs.latest(spark, out, ["start", "event_type"])
+    made = jobs.latest(spark, out, jobs.newest(["start", "event_type"]))
     return made.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
@@ -42,7 +42,7 @@ def stream_throughput(spark, sf):
 def stream_failure_rate(spark, sf):
     out, mark = _paths(spark, "rate")
     jobs.upserts(jobs.failure_rate(_events(spark, sf), "ts", F.col("event_type") == "error", "6 hours", "1 hour"), out, mark)
-    made = jobs.latest(spark, out, ["start"])
+    made = jobs.latest(spark, out, jobs.newest(["start"]))
     return made.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", "failed", F.round("rate", 9).alias("rate"))
 
 
@@ -107,16 +107,17 @@ def stream_retry_budget(spark, sf):
         f"cast(CASE WHEN event_type = 'error' THEN {FAIL_COUNT} ELSE 0 END AS int) AS retry_count",
         "event_type <> 'error' AS ok",
     )
-    jobs.upserts(jobs.retry_budget(attempts), out, mark)
-    return jobs.latest(spark, out, ["step", "unit_id"]).select("step", "unit_id", "retry_count", "decision")
+    jobs.upserts(jobs.retry_budget(attempts), out, mark, jobs.merge_budget())
+    return jobs.latest(spark, out, jobs.merge_budget()).select("step", "unit_id", "retry_count", "decision")
 
 
 @query("stream_last_level", "SELECT user_id, arg_max(event_type, ts) AS last_level FROM events GROUP BY user_id")
 def stream_last_level(spark, sf):
     out, mark = _paths(spark, "level")
     log = _events(spark, sf).withColumnRenamed("event_type", "level")
-    jobs.upserts(jobs.last_level(log, ["user_id"]), out, mark)
-    return jobs.latest(spark, out, ["user_id"]).select("user_id", "last_level")
+    merge = jobs.merge_level(["user_id"])
+    jobs.upserts(jobs.last_level(log, ["user_id"]), out, mark, merge)
+    return jobs.latest(spark, out, merge).select("user_id", "last_level")
 
 
 @query(

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from recordforge.operators.order import running_sum
 from recordforge.operators.rules import check_rules
 from recordforge.operators.schema_check import check_schema, field_types, typed_fields
 from recordforge.operators.validate import last_per_key
+from recordforge.sources import folders
 from recordforge.sources.vendors import parse_batch_results
 
 BATCH = "batch"
@@ -30,8 +32,11 @@ def stream_table(spark: SparkSession, path: str, schema: StructType | str, per_t
     reader = spark.readStream.schema(schema)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    # As a pattern the path may be a file as well as a folder.
-    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+    if not folders.is_file(spark, path):
+        return reader.parquet(folders.literal(path))
+    # A single file is the only one of its name in its folder.
+    folder, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", folders.literal(name)).parquet(folders.literal(folder or "."))
 
 
 def stream_results(spark: SparkSession, path: str, vendor: str, per_trigger: int | None = None) -> DataFrame:
@@ -47,11 +52,15 @@ def finish(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> N
     query.awaitTermination()
 
 
-def each_batch(df: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+def each_batch(
+    df: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
+) -> StreamingQuery:
+    """Run `work` on every micro-batch of what is there; the finished query tells how each went."""
     query = (
         df.writeStream.outputMode(mode).foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return query
 
 
 def _put(df: DataFrame, path: str, batch: int) -> None:
@@ -59,14 +68,64 @@ def _put(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch}")
 
 
-def upserts(df: DataFrame, path: str, checkpoint: str) -> None:
-    """Store the changed rows of an aggregation per micro-batch; `latest` reads the current state."""
-    each_batch(df, lambda rows, n: _put(rows, path, n), checkpoint, mode="update")
+Merge = Callable[[DataFrame], DataFrame]
 
 
-def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """The newest stored row per key."""
-    return last_per_key(spark.read.parquet(path), list(keys), BATCH).drop(BATCH)
+def newest(keys: Sequence[str]) -> Merge:
+    """Of several stored rows per key the one of the last micro-batch."""
+    return lambda rows: last_per_key(rows, list(keys), BATCH)
+
+
+def upserts(df: DataFrame, path: str, checkpoint: str, merge: Merge | None = None, every: int = 16) -> StreamingQuery:
+    """Store the changed rows of an aggregation per micro-batch; `latest` reads the current state.
+
+    With `merge`, every so many micro-batches all stored rows become one compacted table, so a reader opens that table and
+    at most `every` small ones, however long the stream has run.
+    """
+
+    def work(rows: DataFrame, n: int) -> None:
+        _put(rows, path, n)
+        if merge and n % every == every - 1:
+            _compact(rows.sparkSession, path, n, merge)
+
+    return each_batch(df, work, checkpoint, mode="update")
+
+
+COMPACTED = "compacted="
+
+
+def _stored(spark: SparkSession, path: str) -> tuple[list[str], dict[int, str], dict[int, str]]:
+    """The folders to read, all batches by number, and the finished compacted tables by their last batch."""
+    found = folders.children(spark, path)
+    numbered = lambda mark: {int(e.name[len(mark) :]): e.path for e in found if e.name.startswith(mark)}
+    batches, tables = numbered(f"{BATCH}="), numbered(COMPACTED)
+    tables = {n: p for n, p in tables.items() if folders.exists(spark, f"{p}/_SUCCESS")}
+    last = max(tables, default=-1)
+    open_batches = [p for n, p in sorted(batches.items()) if n > last]
+    return ([tables[last]] if tables else []) + open_batches, batches, tables
+
+
+def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Stored rows with their batch; a compacted table holds the column itself."""
+    parts = []
+    for p in paths:
+        rows, name = spark.read.parquet(folders.literal(p)), p.rstrip("/").rpartition("/")[2]
+        parts.append(rows if name.startswith(COMPACTED) else rows.withColumn(BATCH, F.lit(int(name.partition("=")[2]))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _compact(spark: SparkSession, path: str, n: int, merge: Merge) -> None:
+    paths, batches, tables = _stored(spark, path)
+    if n not in tables:
+        merge(_read(spark, paths)).write.mode("overwrite").parquet(f"{path}/{COMPACTED}{n}")
+    for k, p in [*batches.items(), *tables.items()]:
+        if k < n or p == batches.get(k):
+            folders.remove(spark, p)
+
+
+def latest(spark: SparkSession, path: str, merge: Merge) -> DataFrame:
+    """The stored rows, merged."""
+    return merge(_read(spark, _stored(spark, path)[0])).drop(BATCH, "_span")
 
 
 def stream_validate(
@@ -149,24 +208,59 @@ def overdue(submitted: DataFrame, finished: DataFrame, key: str, minutes: int, d
     return a.join(b, match, "leftOuter").filter("finished_at is null").select(key, "submitted_at")
 
 
-def retry_budget(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
-    """Decision per (step, unit) over all attempts so far: resolved, retry or permanent.
+def facts(df: DataFrame, keys: Sequence[str], found: Sequence[Column], keep: str = "1 hour") -> DataFrame:
+    """Facts per key over rows that arrive within the same span of time, to be merged when they are read.
 
-    A success in any attempt clears the unit, no matter when it arrives. Attempts are combined on the map side, so a unit
-    with many attempts is no hot spot. Write with `upserts`.
+    The spans follow arrival time, so no row can come too late, however old it is, and a span leaves the state as soon as
+    the next one has begun: the state holds the keys of one span, not all keys that ever were. What is found must be of
+    the kind that can be found again from its results (largest, newest, any). Equal keys are combined before they are
+    shuffled, so a hot key is no hot spot. Write with `upserts`, read with `latest` and a merge of the same kind.
     """
-    seen = attempts.groupBy("step", "unit_id").agg(
-        F.max(F.coalesce("retry_count", F.lit(0))).alias("retry_count"), F.max(F.col("ok").cast("int")).alias("_ok")
-    )
-    decision = (
-        F.when(F.col("_ok") == 1, F.lit("resolved")).when(F.col("retry_count") < max_retries, F.lit("retry")).otherwise(F.lit("permanent"))
-    )
-    return seen.select("step", "unit_id", "retry_count", decision.alias("decision"))
+    arrived = df.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", "0 seconds")
+    grouped = arrived.groupBy(F.window("_arrived", keep).alias("_span"), *keys).agg(*found)
+    return grouped.withColumn("_span", F.col("_span.start"))
+
+
+def retry_budget(attempts: DataFrame, max_retries: int = 3, keep: str = "1 hour") -> DataFrame:
+    """Decision per (step, unit): resolved, retry or permanent, from the attempts that arrived in one span of time.
+
+    A success in any attempt clears the unit, no matter when it arrives: `merge_budget` takes all spans together.
+    """
+    found = [F.max(F.coalesce("retry_count", F.lit(0))).alias("retry_count"), F.bool_or(F.coalesce("ok", F.lit(False))).alias("resolved")]
+    seen = facts(attempts, ["step", "unit_id"], found, keep)
+    return seen.withColumn("decision", _decision(F.col("resolved"), max_retries))
+
 
+def _decision(resolved: Column, max_retries: int) -> Column:
+    open_unit = F.when(F.col("retry_count") < max_retries, F.lit("retry")).otherwise(F.lit("permanent"))
+    return F.when(resolved, F.lit("resolved")).otherwise(open_unit).alias("decision")
 
-def last_level(log: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
-    """Level and time of the newest event per run. Write with `upserts`."""
-    return log.groupBy(*by).agg(F.max("ts").alias("last_ts"), F.max_by("level", "ts").alias("last_level"))
+
+def merge_budget(max_retries: int = 3) -> Merge:
+    def merge(rows: DataFrame) -> DataFrame:
+        all_seen = rows.groupBy("step", "unit_id").agg(
+            F.max("retry_count").alias("retry_count"), F.bool_or("resolved").alias("resolved"),
+            F.max("_span").alias("_span"), F.max(BATCH).alias(BATCH),
+        )
+        return all_seen.withColumn("decision", _decision(F.col("resolved"), max_retries))
+
+    return merge
+
+
+def last_level(log: DataFrame, by: Sequence[str] = ("run",), keep: str = "1 hour") -> DataFrame:
+    """Level and time of the newest event per run, among those that arrived in one span of time; `merge_level` takes all
+    spans together. A run that has ended is in no later span, and so leaves the state."""
+    return facts(log, by, [F.max("ts").alias("last_ts"), F.max_by("level", "ts").alias("last_level")], keep)
+
+
+def merge_level(by: Sequence[str] = ("run",)) -> Merge:
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*by).agg(
+            F.max("last_ts").alias("last_ts"), F.max_by("last_level", "last_ts").alias("last_level"),
+            F.max("_span").alias("_span"), F.max(BATCH).alias(BATCH),
+        )
+
+    return merge
 
 
 def cost_cap(
@@ -174,26 +268,28 @@ def cost_cap(
 ) -> None:
     """Keep results of each run until its cost reaches the cap; the one that crosses is kept.
 
-    The total per run is carried from micro-batch to micro-batch in a small table. Inside a batch the running sum is
-    spread over all tasks, so one dominant run is no hot spot.
+    The totals are a table with one row per run, written anew with every micro-batch from the one before, which is all that
+    is read of it. Two of these tables are kept, so a micro-batch can be repeated. Inside a batch the running sum is spread
+    over all tasks, so one dominant run is no hot spot.
     """
 
     def work(rows: DataFrame, n: int) -> None:
         spark = rows.sparkSession
+        totals = {int(e.name.partition("=")[2]): e.path for e in folders.children(spark, totals_path) if "=" in e.name}
+        before = max((k for k in totals if k < n), default=None)
         local = running_sum(rows, F.col(cost), order_by, run, out="_in_batch")
-        before = None
-        try:
-            before = spark.read.parquet(totals_path).filter(F.col(BATCH) < n)
-        except AnalysisException as e:
-            if not any(x in str(e) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
-                raise
+        spent = rows.groupBy(*run).agg(F.sum(cost).alias("spent"))
         if before is None:
             carried = local.withColumn("_before", F.lit(0.0))
         else:
-            sums = before.groupBy(*run).agg(F.sum("spent").alias("_before"))
-            carried = local.join(sums, run, "left").withColumn("_before", F.coalesce("_before", F.lit(0.0)))
+            known = spark.read.parquet(folders.literal(totals[before])).select(*run, F.col("spent").alias("_before"))
+            carried = local.join(known, run, "left").withColumn("_before", F.coalesce("_before", F.lit(0.0)))
+            spent = spent.unionByName(known.withColumnRenamed("_before", "spent")).groupBy(*run).agg(F.sum("spent").alias("spent"))
         kept = carried.withColumn("running_cost", F.col("_before") + F.col("_in_batch")).filter(F.col("running_cost") - F.col(cost) < cap)
         _put(kept.drop("_before", "_in_batch"), path, n)
-        _put(rows.groupBy(*run).agg(F.sum(cost).alias("spent")), totals_path, n)
+        _put(spent, totals_path, n)
+        for k, p in totals.items():
+            if before is not None and k < before:
+                folders.remove(spark, p)
 
     each_batch(results, work, checkpoint)
