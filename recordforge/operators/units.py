@@ -1,8 +1,12 @@
 """Units from item lists: permutations, cross products, direct rows, repetitions and chunks.
 
-A combination is addressed by its number. `spark.range` yields the numbers evenly over the cluster, arithmetic turns each
-into one index per position, and equi-joins fetch the items. So only wanted combinations are ever produced, in the order
-of nested loops, and `max_units` is a shorter range.
+A product grows out of its largest list. The other lists are packed into blocks of items; a number names an item of the
+largest list and one block of each other list, `spark.range` yields these numbers evenly over the cluster, and equi-joins
+fetch the item and the blocks. Only then are the blocks opened, so what moves between tasks is the numbers and the lists,
+never the product. The place of a unit in the order of nested loops follows from the indexes of its items, and `max_units`
+cuts the lists before anything is multiplied.
+
+Joined names are tested on the lists (`ambiguous_names`), not on the units made of them.
 """
 
 from __future__ import annotations
@@ -15,9 +19,11 @@ from pyspark.sql import functions as F
 from recordforge.functions.rng import hash_seed
 from recordforge.functions.text import safe_name
 from recordforge.operators.order import row_positions
+from recordforge.session import settle
 
 POS = "_unit_pos"
 ROWS_PER_TASK = 2_000_000
+BLOCK_ITEMS = 4096
 
 
 class GenerationError(ValueError):
@@ -55,27 +61,126 @@ def _indexed(
     return placed, seen.n
 
 
-def _numbers(spark: SparkSession, total: int, max_units: int | None) -> DataFrame:
-    if total >= 2**63:
-        raise GenerationError(f"{total} combinations exceed the 64-bit range")
-    wanted = min(total, max_units) if max_units else total
-    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(wanted / ROWS_PER_TASK))
-    return spark.range(0, wanted, 1, tasks).withColumnRenamed("id", POS)
-
+def _product(
+    lists: list[tuple[DataFrame, int]], positions: list[str], below: list[int], wanted: int, distinct: bool
+) -> DataFrame:
+    """(unit_id, positions, POS) of the combinations with a place below `wanted`.
 
-def _digit(below: int, size: int) -> Column:
-    """The digit of the combination number for one position."""
-    return F.expr(f"pmod({POS} div {below}L, {size}L)")
+    `below` is the number of combinations per item of each position; `distinct` takes every item once at most.
+    """
+    spark, k = lists[0][0].sparkSession, len(lists)
+    # A place below `wanted` leaves only the first items of a list possible.
+    sizes = [min(n, -(-wanted // b) + (i if distinct else 0)) for i, ((_, n), b) in enumerate(zip(lists, below))]
+    base = max(range(k), key=lambda i: sizes[i])
+    others = sorted((i for i in range(k) if i != base), key=lambda i: -sizes[i])
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(wanted / ROWS_PER_TASK))
+    per_block = {i: max(1, min(sizes[i], BLOCK_ITEMS)) for i in others}
+    blocks = {i: -(-sizes[i] // per_block[i]) for i in others}
+    outer = sizes[base] * math.prod(blocks.values())
+    for i in others:
+        if 0 < outer < tasks:  # smaller blocks, so that all tasks have work
+            per_block[i] = max(1, sizes[i] // (blocks[i] * -(-tasks // outer)))
+            outer, blocks[i] = outer // blocks[i], -(-sizes[i] // per_block[i])
+            outer *= blocks[i]
+    if max(outer, wanted) >= 2**63:
+        raise GenerationError(f"{wanted} combinations exceed the 64-bit range")
+    units = spark.range(0, outer, 1, max(1, min(tasks, outer)))
+    radix = 1
+    for i in [base, *others]:
+        n = sizes[i] if i == base else blocks[i]
+        units = units.withColumn(f"_at{i}", F.expr(f"pmod(id div {radix}L, {max(1, n)}L)"))
+        radix *= max(1, n)
+    entry = F.struct("_idx", "_name", "_item")
+    one = lists[base][0].filter(F.col("_idx") < sizes[base]).select(F.col("_idx").alias(f"_at{base}"), entry.alias(f"_e{base}"))
+    units = units.join(one, f"_at{base}")
+    for i in others:
+        packed = (
+            lists[i][0].filter(F.col("_idx") < sizes[i])
+            .select(F.expr(f"_idx div {per_block[i]}L").alias(f"_at{i}"), entry.alias("e"))
+            .groupBy(f"_at{i}").agg(F.collect_list("e").alias(f"_b{i}"))
+        )
+        units = units.join(packed, f"_at{i}")
+    index = lambda i: F.col(f"_e{i}._idx")
+    opened = [base]
+    for i in others:
+        units = units.withColumn(f"_e{i}", F.explode(f"_b{i}")).drop(f"_b{i}")
+        if distinct:
+            for j in opened:
+                units = units.filter(index(i) != index(j))
+        opened.append(i)
+    place = F.lit(0).cast("long")
+    for i in range(k):
+        digit = index(i)
+        if distinct:  # how many free items were skipped
+            for j in range(i):
+                digit = digit - F.when(index(j) < index(i), 1).otherwise(0)
+        place = place + digit * F.lit(below[i])
+    unit_id = F.concat_ws("-", *[F.col(f"_e{i}._name") for i in range(k)]).alias("unit_id")
+    made = units.select(unit_id, *[F.col(f"_e{i}._item").alias(p) for i, p in enumerate(positions)], place.alias(POS))
+    return made.filter(F.col(POS) < wanted)
+
+
+def ambiguous_names(lists: list[DataFrame]) -> bool:
+    """Whether two choices of one name per list, joined by `-`, can give one text. Names of a list are different.
+
+    Two choices are followed side by side from the first place where they differ. One is ahead of the other by some text,
+    which must be the end of a name: so all that can be ahead are ends of names at a `-`, and one more name of the other
+    choice either lies within that text or goes beyond it. Both are equi-joins between ends and beginnings of names; a
+    search over the ends stops after at most two names per list. If the choices meet after the same number of names, equal
+    names may follow, and the joined text is ambiguous.
+    """
+    counted = [x.agg(F.min(_words("_name")).alias("a"), F.max(_words("_name")).alias("b")).first() for x in lists]
+    if all(c.a == c.b for c in counted):
+        return False  # every list has names of one number of parts
+    parts = None
+    for i, names in enumerate(lists):
+        cuts = F.explode(F.sequence(F.lit(1), _words("_name")))
+        words = F.split("_name", "-")
+        made = names.select(F.lit(i).alias("place"), words.alias("w"), cuts.alias("n")).select(
+            "place",
+            F.array_join(F.slice("w", F.lit(1), F.col("n")), "-").alias("head"),
+            # What is left behind the head; NULL if it is the whole name.
+            F.when(F.col("n") < F.size("w"), F.array_join(F.slice("w", F.col("n") + 1, F.size("w")), "-")).alias("tail"),
+        )
+        parts = made if parts is None else parts.union(made)
+    parts = settle(parts)
+    whole = parts.filter("tail is null").select("place", F.col("head").alias("name"))
+    longer = parts.filter("tail is not null")
+    # ahead: names taken by the choice that is ahead, behind: by the other, rest: the text between them (NULL for none).
+    ahead = longer.join(whole.withColumnRenamed("name", "head"), ["place", "head"]).select(
+        (F.col("place") + 1).alias("ahead"), (F.col("place") + 1).alias("behind"), F.col("tail").alias("rest")
+    )
+    seen = None
+    for _ in range(2 * len(lists)):
+        ahead = ahead.distinct() if seen is None else ahead.distinct().join(seen, ["ahead", "behind", "rest"], "left_anti")
+        ahead = settle(ahead)
+        if ahead.isEmpty():
+            return False
+        seen = ahead if seen is None else seen.union(ahead)
+        rest = F.split("rest", "-")
+        heads = ahead.select("ahead", F.col("behind").alias("place"), "rest", F.explode(F.sequence(F.lit(1), F.size(rest))).alias("n"))
+        heads = heads.select(
+            "ahead", "place",
+            F.array_join(F.slice(rest, F.lit(1), F.col("n")), "-").alias("name"),
+            F.when(F.col("n") < F.size(rest), F.array_join(F.slice(rest, F.col("n") + 1, F.size(rest)), "-")).alias("left"),
+        )
+        within = heads.join(whole, ["place", "name"]).select("ahead", (F.col("place") + 1).alias("behind"), F.col("left").alias("rest"))
+        beyond = ahead.select("ahead", F.col("behind").alias("place"), F.col("rest").alias("head")).join(longer, ["place", "head"])
+        beyond = beyond.select((F.col("place") + 1).alias("ahead"), F.col("ahead").alias("behind"), F.col("tail").alias("rest"))
+        within = settle(within)
+        if not within.filter("rest is null and ahead = behind").isEmpty():
+            return True
+        # Level, but with different numbers of names: whatever the one with fewer takes next is ahead.
+        level = within.filter("rest is null").select(F.greatest("ahead", "behind").alias("more"), F.least("ahead", "behind").alias("place"))
+        onward = level.distinct().join(whole, "place").select(
+            (F.col("place") + 1).alias("ahead"), F.col("more").alias("behind"), F.col("name").alias("rest")
+        )
+        ahead = within.filter("rest is not null").union(beyond).union(onward)
+    return False
 
 
-def _fetch(units: DataFrame, positions: list[str], sources: list[DataFrame]) -> DataFrame:
-    for i, (pos, source) in enumerate(zip(positions, sources)):
-        side = source.select(
-            F.col("_idx").alias(f"_i{i}"), F.col("_name").alias(f"_n{i}"), F.col("_item").alias(pos)
-        )
-        units = units.join(side, f"_i{i}")
-    unit_id = F.concat_ws("-", *[f"_n{i}" for i in range(len(positions))]).alias("unit_id")
-    return units.select(unit_id, *positions, POS)
+def _words(name: str) -> Column:
+    return F.size(F.split(name, "-"))
 
 
 def permutations(
@@ -93,24 +198,16 @@ def permutations(
 def _permute(items, positions, name_field, order_by, limit, max_units, unique=False) -> tuple[DataFrame, int]:
     if not positions:
         raise GenerationError("positions are required")
-    spark = items.sparkSession
     indexed, n = _indexed(items, order_by or [], limit, item_name(items, name_field, fallback=False), unique)
     k = len(positions)
     if n < k:
         raise GenerationError(f"Not enough items ({n}) for {k} positions")
-    units = _numbers(spark, math.perm(n, k), max_units)
-    # The number in mixed radix n, n-1, ... says how many free items to skip at each position.
-    for i in range(k):
-        skip = _digit(math.perm(n - i - 1, k - i - 1), n - i)
-        taken = [F.col(f"_i{j}") for j in range(i)]
-        if taken:
-            at = F.aggregate(
-                F.array_sort(F.array(*taken)), skip, lambda acc, used: acc + F.when(acc >= used, 1).otherwise(0)
-            )
-        else:
-            at = skip
-        units = units.withColumn(f"_i{i}", at)
-    return _fetch(units, positions, [indexed] * k), math.perm(n, k)
+    total = math.perm(n, k)
+    wanted = min(total, max_units) if max_units else total
+    units = _product([(indexed, n)] * k, positions, [math.perm(n - i - 1, k - i - 1) for i in range(k)], wanted, True)
+    if unique and ambiguous_names([indexed] * k):
+        assert_unique_ids(units)  # items may be taken once only, so the units themselves must tell
+    return units, total
 
 
 def cross_product(
@@ -141,17 +238,22 @@ def _cross(groups, positions, name_field, order_by, limit, max_units, unique=Fal
             raise GenerationError(f"No group '{key}' for position '{pos}'; there are {sorted(groups)}")
     if not sources:
         raise GenerationError("positions are required")
-    spark = next(iter(groups.values())).sparkSession
     order_by = order_by or {}
     lists = {
         key: _indexed(groups[key], order_by.get(key, []), limit, item_name(groups[key], name_field, fallback=True), unique)
         for key in dict.fromkeys(sources.values())
     }
-    sizes = [lists[key][1] for key in sources.values()]
-    units = _numbers(spark, math.prod(sizes), max_units)
-    for i, size in enumerate(sizes):
-        units = units.withColumn(f"_i{i}", _digit(max(1, math.prod(sizes[i + 1 :])), max(1, size)))
-    return _fetch(units, list(sources), [lists[key][0] for key in sources.values()]), math.prod(sizes)
+    chosen = [lists[key] for key in sources.values()]
+    sizes = [n for _, n in chosen]
+    total = math.prod(sizes)
+    wanted = min(total, max_units) if max_units else total
+    below = [max(1, math.prod(sizes[i + 1 :])) for i in range(len(sizes))]
+    units = _product(chosen, list(sources), below, wanted, False)
+    if unique and total and ambiguous_names([names for names, _ in chosen]):
+        if wanted == total:
+            raise GenerationError("Item names that give one unit_id when they are joined")
+        assert_unique_ids(units)  # the units that clash may lie beyond the limit
+    return units, total
 
 
 def direct(
