@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordforge.functions.jsonfix import repair_json, unwrap_response
 from recordforge.functions.variants import as_type, entries, instance_name, items, json_type, let, type_name
-from recordforge.session import evaluated_once
+from recordforge.session import evaluated_once, settle
 
 ERROR = "struct<path:string,rule:string,message:string,validator:string,validator_value:string,instance_type:string>"
 NOTE = "struct<path:string,from:string,to:string>"
@@ -352,14 +353,43 @@ def mark_non_finite(text: Column) -> Column:
     return F.regexp_replace(text, NON_FINITE, f'$1"{NON_FINITE_MARK}$2"')
 
 
+# Fixed pattern: strings, structural signs and other scalars of a JSON text.
+_TOKEN = r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+'
+
+
 def _non_finite_errors(root: Column) -> Column:
-    hits = F.filter(F.map_entries(entries(root)), lambda kv: F.to_json(kv.value).contains(NON_FINITE_MARK))
-    return F.transform(
-        hits,
-        lambda kv: error(
-            F.concat(F.lit("$."), kv.key), "non_finite_number", F.concat(F.lit("Non-finite number at $."), kv.key)
-        ),
-    )
+    """One error per marked number at any depth: a fold over the signs of the text with a stack of the steps that lead
+    to the current place. A step is `.name` in an object and `[number]` in an array."""
+    tokens = F.regexp_extract_all(F.to_json(root), F.lit(_TOKEN), F.lit(0))
+    steps = "cast(array() as array<string>)"
+    hit = "struct<path:string,value:string>"
+    start = F.struct(F.expr(steps).alias("at"), F.lit(False).alias("name_next"), F.expr(f"cast(array() as array<{hit}>)").alias("hits"))
+
+    def read(s: Column, t: Column) -> Column:
+        at, hits = s["at"], s["hits"]
+        top = F.try_element_at(at, F.lit(-1))
+        below = F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0)))
+        in_array = F.coalesce(top.startswith("["), F.lit(False))
+        put = lambda under, step: F.concat(under, F.array(step))
+        next_item = F.concat(F.lit("["), (F.regexp_extract(top, "[0-9]+", 0).cast("int") + 1).cast("string"), F.lit("]"))
+        text = as_type(F.try_parse_json(t), "string")
+        marked = t.startswith(f'"{NON_FINITE_MARK}')
+        new_at = (
+            F.when(t == "{", put(at, F.lit("."))).when(t == "[", put(at, F.lit("[0]")))
+            .when(t.isin("}", "]"), below).when((t == ",") & in_array, put(below, next_item))
+            .when(s["name_next"] & t.startswith('"'), put(below, F.concat(F.lit("."), text))).otherwise(at)
+        )
+        name_next = F.when(t == "{", F.lit(True)).when(t == ",", ~in_array).when(t.isin(":", "["), F.lit(False)).otherwise(s["name_next"])
+        found = F.struct(F.concat(F.lit("$"), F.array_join(at, "")).alias("path"), text.alias("value"))
+        new_hits = F.when(marked & ~s["name_next"], F.concat(hits, F.array(found))).otherwise(hits)
+        return F.struct(new_at.alias("at"), name_next.alias("name_next"), new_hits.alias("hits"))
+
+    def told(h: Column) -> Column:
+        sign = F.substr(h["value"], F.lit(len(NON_FINITE_MARK) + 1))
+        shown = F.when(sign == "NaN", F.lit("nan")).when(sign == "Infinity", F.lit("inf")).otherwise(F.lit("-inf"))
+        return error(h["path"], "non_finite_number", F.concat(F.lit("Non-finite number at "), h["path"], F.lit(": "), shown))
+
+    return F.transform(F.aggregate(tokens, start, read)["hits"], told)
 
 
 def field(data: Column, name: str, kind: str = "variant") -> Column:
@@ -377,13 +407,19 @@ def check_schema(
     `is_valid`. Text that is no JSON gives one `schema_json_parse` error and NULL data. Invalid rows keep their data for a
     retry. `coerce=False` keeps the values as they came while still judging the coerced ones.
 
-    Top-level fields are spread over helper columns in a few projections, so each value is read, typed and coerced once
-    by generated code; only nested values go through array functions.
+    Fields of the root and of objects in objects are spread over helper columns in a few projections, each read from the
+    document by its whole path, so every value is read, typed and coerced once by generated code. Objects are then put
+    together from the deepest up, one projection per level, so the plan grows with the number of fields, whatever the depth.
+    Only what lies in arrays goes through array functions. A number that JSON cannot hold gives one error at its own path,
+    and no others there.
     """
     kind = df.schema[column].dataType.typeName()
-    source = F.col(column)
+    source = F.col(f"`{column}`")
     compiler = _Compiler(schema)
     keep = [c for c in df.columns if c not in (out, "errors", "coercions", "is_valid")]
+    p = "_"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
     if kind == "map":
         root = F.to_variant_object(source)
     elif kind == "variant":
@@ -392,133 +428,206 @@ def check_schema(
         root = F.coalesce(repair_json(source), repair_json(mark_non_finite(source)))
     else:
         root = F.coalesce(F.try_parse_json(source), F.try_parse_json(mark_non_finite(source)))
-    work = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, column])], root.alias("_root0"))
+    work = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, column])], root.alias(f"{p}root0"))
     required = list(schema.get("required", []))
+    doc = F.col(f"{p}root0")
     if required:
-        wrapped = field(F.col("_root0"), "response", "string")
+        wrapped = field(doc, "response", "string")
         missing = F.lit(False)
         for name in required:
-            missing = missing | field(F.col("_root0"), name).isNull()
-        opened = F.to_variant_object(unwrap_response(entries(F.col("_root0")), required))
-        work = work.withColumn("_root", F.when(wrapped.isNotNull() & missing, opened).otherwise(F.col("_root0")))
+            missing = missing | field(doc, name).isNull()
+        opened = F.to_variant_object(unwrap_response(entries(doc), required))
+        work = work.withColumn(f"{p}root", F.when(wrapped.isNotNull() & missing, opened).otherwise(doc))
     else:
-        work = work.withColumnRenamed("_root0", "_root")
-    doc = F.col("_root")
-
-    known = {n: _resolve(spec, compiler.defs) for n, spec in schema.get("properties", {}).items()}
-    nested = {n for n, spec in known.items() if spec.get("type") in ("array", "object") or "properties" in spec}
-    flat = {n: f"{i}" for i, n in enumerate(known) if n not in nested}
-    deep = {n: f"{i}" for i, n in enumerate(known) if n in nested}
-    work = work.withColumns({f"_f{i}": field(doc, n) for n, i in (flat | deep).items()} | {"_shape": F.schema_of_variant(doc)})
-    work = work.withColumns({f"_s{i}": F.schema_of_variant(f"_f{i}") for i in flat.values()})
+        work = work.withColumnRenamed(f"{p}root0", f"{p}root")
+    doc = F.col(f"{p}root")
+    spots = _spots(schema, compiler.defs)
+    top = spots[0]
+    flat = [x for x in spots if x.kind == "flat"]
+    objects = [x for x in spots if x.kind == "object"]
+    col = lambda letter, x: F.col(f"{p}{letter}{x.number}")
+    work = work.withColumns({f"{p}f{x.number}": _at_path(doc, x.names) for x in spots[1:]} | {f"{p}f0": doc})
+    work = work.withColumns({f"{p}s{x.number}": F.schema_of_variant(col("f", x)) for x in flat + objects})
     # The value as text and as number, read once for coercion and all checks.
+    typed = lambda x, no, t: F.when(no(col("s", x)), as_type(col("f", x), t))
     work = work.withColumns(
-        {f"_t{i}": type_name(F.col(f"_s{i}")) for i in flat.values()}
-        | {f"_x{i}": F.when(F.col(f"_s{i}") == "STRING", as_type(F.col(f"_f{i}"), "string")) for i in flat.values()}
-        | {
-            f"_y{i}": F.when(~F.col(f"_s{i}").isin("STRING", "BOOLEAN", "VOID"), as_type(F.col(f"_f{i}"), "double"))
-            for i in flat.values()
-        }
+        {f"{p}t{x.number}": type_name(col("s", x)) for x in flat + objects}
+        | {f"{p}x{x.number}": typed(x, lambda s: s == "STRING", "string") for x in flat}
+        | {f"{p}y{x.number}": typed(x, lambda s: ~s.isin("STRING", "BOOLEAN", "VOID"), "double") for x in flat}
     )
-    part = lambda letter, n: F.col(f"_{letter}{flat[n]}")
-    native = {n: compiler.coerced_scalar(known[n], part("f", n), part("t", n), part("x", n), part("y", n)) for n in flat}
+    native = {x.number: compiler.coerced_scalar(x.spec, *(col(c, x) for c in "ftxy")) for x in flat}
     native = {n: c for n, c in native.items() if c is not None}
-    work = work.withColumns({f"_k{flat[n]}": c for n, c in native.items()})
-    coerced = {n: part("k", n).cast("variant") for n in native}
-    work = work.withColumns({f"_c{flat[n]}": c for n, c in coerced.items()})
-    new_types = {n: known[n].get("type", "string") for n in coerced}
+    work = work.withColumns({f"{p}k{n}": c for n, c in native.items()})
+    work = work.withColumns({f"{p}c{n}": F.col(f"{p}k{n}").cast("variant") for n in native})
+    new_types = {x.number: x.spec.get("type", "string") for x in flat if x.number in native}
     work = work.withColumns(
-        {f"_v{flat[n]}": F.coalesce(part("c", n), part("f", n)) for n in coerced}
-        | {f"_u{flat[n]}": F.when(part("k", n).isNotNull(), F.lit(new_types[n])).otherwise(part("t", n)) for n in coerced}
+        {f"{p}v{x.number}": F.coalesce(col("c", x), col("f", x)) for x in flat if x.number in native}
+        | {
+            f"{p}u{x.number}": F.when(col("k", x).isNotNull(), F.lit(new_types[x.number])).otherwise(col("t", x))
+            for x in flat
+            if x.number in native
+        }
     )
-    found, notes, changed = [], [], []
-    for name, spec in known.items():
-        at = F.lit(f"$.{name}")
-        if name in flat:
-            text, number = part("x", name), part("y", name)
-            v, t = (part("v", name), part("u", name)) if name in coerced else (part("f", name), part("t", name))
-            if name in coerced and new_types[name] in ("integer", "number"):
-                number = F.coalesce(part("k", name).cast("double"), number)
-            elif name in coerced and new_types[name] == "string":
-                text = F.coalesce(part("k", name), text)
-            found.append(F.when(t.isNotNull(), compiler.checks(spec, v, t, at, text, number)))
-            if name in coerced:
-                c = part("c", name)
-                notes.append(F.when(c.isNotNull(), F.array(compiler.note(at, part("f", name), c))))
-                changed.append(F.when(c.isNotNull(), F.struct(F.lit(name).alias("k"), c.alias("v"))))
-    extra = schema.get("additionalProperties")
-    if deep:
-        work = work.withColumns(
-            {
-                f"_d{i}": F.when(F.col(f"_f{i}").isNotNull(), compiler.node(known[n], F.col(f"_f{i}"), F.lit(f"$.{n}")))
-                for n, i in deep.items()
-            }
-        )
-        for n, i in deep.items():
-            found.append(F.col(f"_d{i}.e"))
-            notes.append(F.col(f"_d{i}.n"))
-            changed.append(F.when(F.size(f"_d{i}.n") > 0, F.struct(F.lit(n).alias("k"), F.col(f"_d{i}.v").alias("v"))))
-    rest = None
-    if isinstance(extra, Mapping):
-        others = F.map_filter(entries(doc), lambda k, _: ~k.isin(list(known)) if known else F.lit(True))
-        work = work.withColumn(
-            "_x",
-            F.transform(
-                F.map_entries(others),
-                lambda kv: F.struct(
-                    kv.key.alias("k"), compiler.node(extra, kv.value, F.concat(F.lit("$."), kv.key)).alias("r")
-                ),
-            ),
-        )
-        found.append(F.flatten(F.transform("_x", lambda p: p.r.e)))
-        notes.append(F.flatten(F.transform("_x", lambda p: p.r.n)))
-        rest = F.transform(F.filter("_x", lambda p: F.size(p.r.n) > 0), lambda p: F.struct(p.k.alias("k"), p.r.v.alias("v")))
-
-    is_object = F.col("_shape").startswith("OBJECT")
-    own = [
-        F.when(
-            (F.col(f"_f{(flat | deep)[n]}") if n in known else field(doc, n)).isNull(),
-            error("$", "required", f"'{n}' is a required property", required, F.lit("dict")),
-        )
-        for n in required
-    ]
-    bad_root = F.when(doc.isNull(), error("$", "json_parse", "Invalid JSON")).otherwise(
-        error("$", "type", F.concat(_shown(doc), F.lit(" is not of type 'object'")), "object",
-              instance_name(type_name(F.col("_shape"))))
+    work = work.withColumns(
+        {
+            f"{p}d{x.number}": F.when(col("f", x).isNotNull(), compiler.node(x.spec, col("f", x), F.lit(x.path)))
+            for x in spots
+            if x.kind == "lambda"
+        }
+        | {f"{p}r{x.number}": _extra_fields(compiler, x, col("f", x)) for x in objects if isinstance(x.extra, Mapping)}
     )
-    lists = [F.coalesce(x, no_errors()) for x in found]
-    if extra is False:
-        own.append(compiler.unexpected(entries(doc), list(known), F.lit("$")))
-    lists.append(F.array_compact(F.array(*own)) if own else no_errors())
+
+    def judged(x: _Spot) -> tuple[Column, Column | None, Column]:
+        """Errors, coercions, and the new value (NULL if it is the old one) of a field below an object."""
+        at = F.lit(x.path)
+        if x.kind == "object":
+            return col("e", x), col("n", x), col("w", x)
+        if x.kind == "lambda":
+            changed = F.when(F.size(col("d", x)["n"]) > 0, col("d", x)["v"])
+            return col("d", x)["e"], col("d", x)["n"], changed
+        text, number, v, t = col("x", x), col("y", x), col("f", x), col("t", x)
+        if x.number not in native:
+            return F.when(t.isNotNull(), compiler.checks(x.spec, v, t, at, text, number)), None, F.lit(None).cast("variant")
+        v, t = col("v", x), col("u", x)
+        if new_types[x.number] in ("integer", "number"):
+            number = F.coalesce(col("k", x).cast("double"), number)
+        elif new_types[x.number] == "string":
+            text = F.coalesce(col("k", x), text)
+        note = F.when(col("c", x).isNotNull(), F.array(compiler.note(at, col("f", x), col("c", x))))
+        return F.when(t.isNotNull(), compiler.checks(x.spec, v, t, at, text, number)), note, col("c", x)
+
+    for depth in range(max(x.depth for x in objects), -1, -1):
+        made, new_values = {}, {}
+        for x in objects:
+            if x.depth != depth:
+                continue
+            own = [
+                F.when(_at_path(doc, (*x.names, n)).isNull(), error(x.path, "required", f"'{n}' is a required property", x.required, F.lit("dict")))
+                for n in x.required
+            ]
+            if x.extra is False:
+                own.append(compiler.unexpected(entries(col("f", x)), x.known, F.lit(x.path)))
+            lists = [F.array_compact(F.array(*own))] if own else []
+            # At the root what is missing comes last, and simple fields come before others.
+            order = sorted(x.children, key=lambda i: spots[i].kind != "flat") if x is top else x.children
+            children = [judged(spots[i]) for i in order]
+            below = [c[0] for c in children]
+            lists = [*below, *lists] if x is top else [*lists, *below]
+            notes = [c[1] for c in children if c[1] is not None]
+            changed = [F.when(c[2].isNotNull(), F.struct(F.lit(spots[i].names[-1]).alias("k"), c[2].alias("v"))) for c, i in zip(children, order) if c[1] is not None]
+            new = F.array_compact(F.array(*changed)) if changed else None
+            if isinstance(x.extra, Mapping):
+                rest = col("r", x)
+                found = F.flatten(F.transform(rest, lambda q: q.r.e))
+                lists.insert(len(lists) - bool(own) if x is top else len(lists), found)
+                notes.append(F.flatten(F.transform(rest, lambda q: q.r.n)))
+                more = F.transform(F.filter(rest, lambda q: F.size(q.r.n) > 0), lambda q: F.struct(q.k.alias("k"), q.r.v.alias("v")))
+                new = F.concat(new, more) if new is not None else more
+            is_object = col("t", x) == "object"
+            all_errors = F.concat(*[F.coalesce(e, no_errors()) for e in lists]) if lists else no_errors()
+            if x is top:
+                bad = F.when(doc.isNull(), error("$", "json_parse", "Invalid JSON")).otherwise(
+                    error("$", "type", F.concat(_shown(doc), F.lit(" is not of type 'object'")), "object", instance_name(col("t", x)))
+                )
+                made[f"{p}e0"] = F.when(is_object, all_errors).otherwise(F.array(bad))
+            else:
+                own_checks = compiler.checks(x.spec, col("f", x), col("t", x), F.lit(x.path))
+                made[f"{p}e{x.number}"] = F.when(is_object, F.concat(own_checks, all_errors)).when(col("t", x).isNotNull(), own_checks)
+            made[f"{p}n{x.number}"] = F.when(is_object, F.concat(*[F.coalesce(n, no_notes()) for n in notes])) if notes else no_notes()
+            made[f"{p}g{x.number}"] = F.when(is_object, new) if notes else F.lit(None)
+            new_values[f"{p}w{x.number}"] = (
+                F.when(F.size(col("g", x)) > 0, let(F.map_from_entries(col("g", x)), _over(col("f", x))))
+                if notes
+                else F.lit(None).cast("variant")
+            )
+        work = work.withColumns(made).withColumns(new_values)
+    errors = col("e", top)
     if kind == "string":
-        odd = F.when(F.contains(source, F.lit("NaN")) | F.contains(source, F.lit("Infinity")), _non_finite_errors(doc))
-        lists.insert(0, F.coalesce(odd, no_errors()))
-    work = work.withColumn("_e", F.when(is_object, F.concat(*lists)).otherwise(F.array(bad_root)))
-    work = work.withColumn(
-        "_n", F.when(is_object, F.concat(*[F.coalesce(x, no_notes()) for x in notes])) if notes else no_notes()
-    )
-    data = doc
-    if coerce and notes:
-        new = F.array_compact(F.array(*changed)) if changed else None
-        if rest is not None:
-            new = F.concat(new, rest) if new is not None else rest
-        patched = let(
-            F.map_from_entries(new),
-            lambda m: F.to_variant_object(
-                F.map_concat(F.map_filter(entries(doc), lambda k, _: ~F.map_contains_key(m, k)), m)
-            ),
-        )
-        data = F.when(F.size("_n") > 0, patched).otherwise(doc)
+        odd = F.contains(source, F.lit("NaN")) | F.contains(source, F.lit("Infinity"))
+        work = work.withColumn(f"{p}odd", F.when(odd & (col("t", top) == "object"), _non_finite_errors(doc)))
+        mine = F.transform(f"{p}odd", lambda e: e.path)
+        others = F.filter(errors, lambda e: ~F.array_contains(mine, e.path))
+        errors = F.when(F.size(f"{p}odd") > 0, F.concat(F.col(f"{p}odd"), others)).otherwise(errors)
+    work = work.withColumn(f"{p}errors", errors)
+    data = F.coalesce(col("w", top), doc) if coerce else doc
     done = work.select(
         *[F.col(f"`{c}`") for c in keep],
-        F.when(is_object, data).alias(out),
-        F.col("_e").alias("errors"),
-        F.coalesce("_n", no_notes()).alias("coercions"),
-        (F.size("_e") == 0).alias("is_valid"),
+        F.when(col("t", top) == "object", data).alias(out),
+        F.col(f"{p}errors").alias("errors"),
+        F.coalesce(col("n", top), no_notes()).alias("coercions"),
+        (F.size(f"{p}errors") == 0).alias("is_valid"),
     )
     return evaluated_once(done, [out, "errors", "coercions", "is_valid"])
 
 
+class _Spot(NamedTuple):
+    """A place of the document that is the same in every row: the root, or a field below objects only."""
+
+    number: int
+    names: tuple[str, ...]
+    spec: Mapping
+    kind: str  # object, flat, or lambda for what may hold arrays
+    children: list[int]
+
+    @property
+    def path(self) -> str:
+        return "$" + "".join(f".{n}" for n in self.names)
+
+    @property
+    def depth(self) -> int:
+        return len(self.names)
+
+    @property
+    def required(self) -> list[str]:
+        return list(self.spec.get("required", []))
+
+    @property
+    def known(self) -> list[str]:
+        return list(self.spec.get("properties", {}))
+
+    @property
+    def extra(self):
+        return self.spec.get("additionalProperties")
+
+
+def _spots(schema: Mapping, defs: Mapping) -> list[_Spot]:
+    """All places, the root first; parents stand before their children."""
+    out = [_Spot(0, (), schema, "object", [])]
+    for x in out:  # grows while it is read
+        if x.kind != "object":
+            continue
+        for name, child in x.spec.get("properties", {}).items():
+            spec = _resolve(child, defs)
+            kind = spec.get("type")
+            if kind == "object" or (kind is None and ("properties" in spec or "required" in spec)):
+                how = "object"
+            else:
+                how = "lambda" if kind == "array" else "flat"
+            out.append(_Spot(len(out), (*x.names, name), spec, how, []))
+            x.children.append(len(out) - 1)
+    return out
+
+
+def _at_path(doc: Column, names: tuple[str, ...]) -> Column:
+    quoted = [n.replace("\\", "\\\\").replace("'", "\\'") for n in names]
+    return F.try_variant_get(doc, "$" + "".join(f"['{n}']" for n in quoted), "variant")
+
+
+def _over(v: Column):
+    """A body for `let` that puts a map of new fields into the object v."""
+    kept = lambda m: F.map_filter(entries(v), lambda k, _: ~F.map_contains_key(m, k))
+    return lambda m: F.to_variant_object(F.map_concat(kept(m), m))
+
+
+def _extra_fields(compiler: _Compiler, x: _Spot, v: Column) -> Column:
+    """(k, r) for the fields of an object that its properties do not name: the name and what the schema for others says."""
+    others = F.map_filter(entries(v), lambda k, _: ~k.isin(x.known) if x.known else F.lit(True))
+    return F.transform(
+        F.map_entries(others),
+        lambda kv: F.struct(kv.key.alias("k"), compiler.node(x.extra, kv.value, F.concat(F.lit(f"{x.path}."), kv.key)).alias("r")),
+    )
+
+
 def field_types(schema: Mapping) -> dict[str, str]:
     """Spark types for the top-level properties of a schema."""
     names = {"integer": "bigint", "number": "double", "boolean": "boolean", "string": "string", "object": "variant"}
@@ -543,13 +652,15 @@ def typed_fields(df: DataFrame, types: Mapping[str, str], data: str = "data") ->
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid and failed rows of one checked table. Write or settle the table first if both are used."""
-    return checked.filter("is_valid"), checked.filter("not is_valid")
+    """Valid and failed rows of one checked table, which is judged once for both."""
+    once = settle(checked)
+    return once.filter("is_valid"), once.filter("not is_valid")
 
 
 def strict(checked: DataFrame) -> DataFrame:
-    """All rows if every one is valid, else none. Looks for one invalid row first."""
-    return checked if checked.filter("not is_valid").isEmpty() else checked.limit(0)
+    """All rows if every one is valid, else none."""
+    once = settle(checked)
+    return once if once.filter("not is_valid").isEmpty() else once.limit(0)
 
 
 def check_summary(checked: DataFrame) -> DataFrame:
