@@ -97,8 +97,8 @@ def unit_diff(a: DataFrame, b: DataFrame, unit_id: str | None = None) -> DataFra
 
 
 def sample_units(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n units picked by a hash of their id: random-looking, and the same on every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), "unit_id"), "unit_id").limit(n)
+    """n units picked by a digest of seed and id: random-looking, and the same on every run and in every engine."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "unit_id")), "unit_id").limit(n)
 
 
 def watch_deltas(snapshots: DataFrame, keys: Sequence[str] = ("run", "step")) -> DataFrame:

@@ -14,11 +14,13 @@ from recordforge.functions.jsonfix import repair_json
 from recordforge.functions.variants import entries, json_type, overlay
 from recordforge.operators.order import lay_out, previous_value, row_positions, running_sum
 from recordforge.session import evaluated_once
+from recordforge.sources import folders
 
 RESPONSE_SCHEMA = (
     "unit_id string, raw_text string, error string, error_type string, "
     "input_tokens bigint, output_tokens bigint, model string, finish_reason string, attempts int"
 )
+COLUMNS = [c.split()[0] for c in RESPONSE_SCHEMA.split(", ")]
 # Texts that mark an authentication or billing problem, in lower case.
 AUTH_MARKS = [
     "401",
@@ -64,6 +66,20 @@ def infer(
     timeouts are tried again with growing pauses; when tries run out the row carries the error. AuthFailed ends the job.
     """
 
+    call = _caller(fn, max_tries, first_wait, wait_factor)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [call(u, p) for u, p in zip(batch["unit_id"], batch["prompt"])]
+            yield pd.DataFrame(rows, columns=COLUMNS)
+
+    work = prompts.select("unit_id", "prompt")
+    if partitions:
+        work = work.repartition(partitions)
+    return work.mapInPandas(run, RESPONSE_SCHEMA)
+
+
+def _caller(fn: Callable[[str, str], dict], max_tries: int, first_wait: float, wait_factor: float) -> Callable[[str, str], tuple]:
     def call(unit_id: str, prompt: str) -> tuple:
         wait = first_wait
         for attempt in range(1, max_tries + 1):
@@ -82,17 +98,53 @@ def infer(
                 return (unit_id, None, str(e), "error", 0, 0, None, None, attempt)
         return last
 
-    columns = [c.split()[0] for c in RESPONSE_SCHEMA.split(", ")]
+    return call
+
+
+KEY = "prompt_key"
+
+
+def infer_once(
+    prompts: DataFrame,
+    fn: Callable[[str, str], dict],
+    log: str,
+    waves: int = 1,
+    partitions: int | None = None,
+    max_tries: int = 3,
+    first_wait: float = 1.0,
+    wait_factor: float = 2.0,
+) -> DataFrame:
+    """Like `infer`, but every answer is paid once: answers go to a log in a shared folder, and are read from there.
+
+    The log is keyed by a digest of unit and prompt. A second run calls only what has no answer yet, and reading the result
+    calls nothing. Work is done in `waves`, each a job that appends to the log, so a job that fails loses no more than its
+    own wave. Calls that ended in an error stay in the log too and are made again by the next run; the result has the
+    answer of a prompt if there is one, else its error. Repeated rows share one call.
+    """
+    spark = prompts.sparkSession
+    keyed = prompts.select("unit_id", "prompt", F.sha2(F.concat_ws("\x00", "unit_id", "prompt"), 256).alias(KEY))
+    schema = f"{KEY} string, {RESPONSE_SCHEMA}"
+    call = _caller(fn, max_tries, first_wait, wait_factor)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [call(u, p) for u, p in zip(batch["unit_id"], batch["prompt"])]
-            yield pd.DataFrame(rows, columns=columns)
-
-    work = prompts.select("unit_id", "prompt")
-    if partitions:
-        work = work.repartition(partitions)
-    return work.mapInPandas(run, RESPONSE_SCHEMA)
+            rows = [(k, *call(u, p)) for k, u, p in zip(batch[KEY], batch["unit_id"], batch["prompt"])]
+            yield pd.DataFrame(rows, columns=[KEY, *COLUMNS])
+
+    def logged() -> DataFrame:
+        if not folders.exists(spark, log):
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(folders.literal(log))
+
+    for wave in range(waves):
+        answered = logged().filter("error is null").select(KEY)
+        own = keyed.filter(F.pmod(F.xxhash64(KEY), F.lit(waves)) == wave).dropDuplicates([KEY])
+        missing = own.join(answered, KEY, "left_anti")
+        missing = missing.repartition(partitions) if partitions else missing
+        missing.mapInPandas(run, schema).write.mode("append").parquet(log)
+    best = F.min_by(F.struct(*COLUMNS[1:]), F.col("error").isNotNull()).alias("r")
+    answers = logged().groupBy(KEY).agg(best)
+    return keyed.join(answers, KEY).select("unit_id", "r.*")
 
 
 def read_responses(df: DataFrame, column: str, out: str = "parsed", safe: bool = False) -> DataFrame:

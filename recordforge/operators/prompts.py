@@ -22,9 +22,15 @@ def context(df: DataFrame, config: Mapping[str, object] | None = None, global_co
     return df.withColumns(extra) if extra else df
 
 
-def _truncated(text: Column, most: int) -> Column:
-    """Texts up to `most` characters stay; longer ones lose what is beyond, with dots within the limit."""
-    return F.when(F.char_length(text) > most, F.concat(F.left(text, F.lit(max(0, most - 3))), F.lit("..."))).otherwise(text)
+LEEWAY = 5  # fixed value: characters beyond the limit that do not yet make a text too long
+DOTS = "..."
+
+
+def truncated(text: Column, most: int) -> Column:
+    """Texts up to `most` characters and a little more stay; longer ones end at a word, with dots within the limit."""
+    start = F.left(text, F.lit(max(0, most - len(DOTS))))
+    whole_words = F.when(F.contains(start, F.lit(" ")), F.regexp_replace(start, "(?s) [^ ]*$", "")).otherwise(start)
+    return F.when(F.char_length(text) > most + LEEWAY, F.concat(whole_words, F.lit(DOTS))).otherwise(text)
 
 
 def _plain(text: str) -> Column:
@@ -51,7 +57,7 @@ def compile_template(template: str, schema: StructType | None = None) -> Column:
         text = F.initcap(value.cast("string")) if isinstance(kind, BooleanType) else value.cast("string")
         if m.group(2):
             name, _, most = m.group(2).partition("(")
-            text = _truncated(text, int(most.rstrip(") "))) if most else FILTERS[name](text)
+            text = truncated(text, int(most.rstrip(") "))) if most else FILTERS[name](text)
         parts.append(F.coalesce(text.cast("string"), F.lit("None")))
         at = m.end()
     if at < len(template):

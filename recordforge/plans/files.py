@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordforge.functions.variants import as_type
 from recordforge.operators import reports
 from recordforge.plans.registry import query, table
 from recordforge.plans.shared import STEPS, outputs
@@ -168,14 +167,6 @@ def jsonl_keyed(spark, sf):
     return files.read_jsonl_keyed(spark, path).select("unit_id", F.try_variant_get("record", "$.event_id", "bigint").alias("event_id"))
 
 
-@query("items_from_document", "SELECT 'lines' AS source, count(*)::BIGINT AS n, min(part) AS first_item FROM (SELECT unnest(string_split(text, chr(10))) AS part FROM documents)")
-def items_from_document(spark, sf):
-    """Item lists inside JSON documents, one per row of the table."""
-    docs = table(spark, sf, "documents").select(F.to_json(F.struct(F.split("text", "\n").alias("items"))).alias("value"))
-    items = docs.select(F.explode(as_type(F.try_variant_get(F.try_parse_json("value"), "$.items", "variant"), "array<string>")).alias("item"))
-    return items.agg(F.lit("lines").alias("source"), F.count(F.lit(1)).alias("n"), F.min("item").alias("first_item"))
-
-
 @query(
     "step_tables",
     "SELECT event_type AS step, count(*)::BIGINT AS n, max(event_id) AS last_id FROM events WHERE event_type = 'purchase' GROUP BY 1",
@@ -237,16 +228,19 @@ def units_written(spark, sf):
 @query(
     "units_extracted",
     """
-    SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN '' ELSE lang || '_' || source || '_' || doc_id || '.txt' END AS filename, md5(text) AS body,
-        CASE WHEN doc_id % 13 = 0 THEN 'empty_filename' END AS error FROM documents
+    SELECT lang || '_' || source || '_' || doc_id || '.txt' AS filename, md5(text) AS body, 0::BIGINT + (SELECT count(*) FROM documents WHERE doc_id % 13 = 0) AS errors
+    FROM documents WHERE doc_id % 13 <> 0
     """,
 )
 def units_extracted(spark, sf):
-    """File names and contents of single-file extraction."""
+    """One file per unit in a shared folder, read back; an empty name and a name of two units are errors."""
+    path = work_dir(spark, "extracted")
     docs = table(spark, sf, "documents").withColumn("unit_id", F.col("doc_id"))
     name = "CASE WHEN doc_id % 13 = 0 THEN '' ELSE concat(lang, '/', source, '\\\\', doc_id, '.txt') END"
-    made = sinks.extracted(docs, name, "text")
-    return made.select(F.col("unit_id").alias("doc_id"), "filename", F.md5("content").alias("body"), "error")
+    errors = sinks.extract_units(docs, name, "text", path).first().errors
+    return spark.read.text(path, wholetext=True).select(
+        F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("filename"), F.md5("value").alias("body"), F.lit(errors).alias("errors")
+    )
 
 
 @query(

@@ -465,13 +465,6 @@ def unit_diff(spark, sf):
     return compare.unit_diff(*_two_runs(spark, sf))
 
 
-@query("sample_divergent")
-def sample_divergent(spark, sf):
-    """Some divergent units, picked by hash (a sampling operator; its order is this engine's own hash)."""
-    made = compare.compare_units(*_two_runs(spark, sf), ["result", "customer"])
-    return compare.sample_units(made.filter("outcome = 'divergent'"), 20).select("unit_id", "outcome")
-
-
 @query(
     "watch_deltas",
     """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from recordforge.functions.variants import as_type, json_type
 from recordforge.operators.validate import last_per_key
+from recordforge.sources import folders
 
 # Fixed patterns: chunk folders, step files and log lines.
 STEP_FILE = r"/([^/]+)/chunks/([^/]+)/(.+)_(validated|failures|results|prompts)\.jsonl(\.gz)?$"
@@ -25,13 +28,29 @@ MANIFEST_SCHEMA = """
 """
 
 
+GZ = ".gz"
+
+
+def existing(spark: SparkSession, path: str) -> str | None:
+    """The file, its compressed twin if only that is there, or nothing."""
+    return next((p for p in (path, path + GZ) if folders.exists(spark, p)), None)
+
+
 def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """(value, file) per line; a path that does not exist gives no rows."""
+    """(value, file) per line; a path that does not exist is read from its `.gz` twin, and gives no rows without one.
+
+    A path may hold a pattern, which is left to the reader.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    plain = [p for p in paths if not set("*?[{") & set(p)]
+    found = [p for p in paths if p not in plain] + [folders.literal(q) for p in plain if (q := existing(spark, p))]
+    if not found:
+        return spark.createDataFrame([], "value string, file string")
     reader = spark.read.option("recursiveFileLookup", "true") if glob else spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     try:
-        return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+        return reader.text(found).select("value", F.col("_metadata.file_path").alias("file"))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -65,17 +84,22 @@ def read_jsonl_keyed(spark: SparkSession, path: str | list[str], key: str = "uni
 
 def read_items(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
     """Items of a JSON document that is a list, or a list under `key`, as (`idx`, `item` VARIANT)."""
-    doc = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"))
-    source = F.try_variant_get("doc", f"$.{key}", "variant") if key else F.col("doc")
+    return document_items(spark.read.text(path, wholetext=True), "value", key).drop("value")
+
+
+def document_items(docs: DataFrame, column: str, key: str | None = None) -> DataFrame:
+    """`docs` with (`idx`, `item`) for each item of the JSON document in a column; a document without a list is an error."""
+    doc = F.try_parse_json(column)
+    source = F.try_variant_get(doc, f"$.{key}", "variant") if key else doc
     kind = json_type(source)
     where = f"'{key}'" if key else "the document"
     checked = (
-        F.when(F.col("doc").isNull(), F.raise_error(F.lit("The source is not JSON")))
+        F.when(doc.isNull(), F.raise_error(F.lit("The source is not JSON")))
         .when(kind.isNull(), F.raise_error(F.lit(f"Key {where} not found in the source")))
         .when(kind != "array", F.raise_error(F.concat(F.lit(f"{where} must be a list, got "), kind)))
         .otherwise(as_type(source, "array<variant>"))
     )
-    return doc.select(F.posexplode(checked).alias("idx", "item"))
+    return docs.select("*", F.posexplode(checked).alias("idx", "item"))
 
 
 def item_columns(items: DataFrame, schema: str) -> DataFrame:
@@ -98,14 +122,29 @@ def step_files(spark: SparkSession, runs_path: str, kind: str, step: str | None
 def read_step_output(
     spark: SparkSession, runs_path: str, kind: str, step: str | None = None, pipeline: list[str] | None = None
 ) -> DataFrame:
-    """Records of one step, by default the last of the pipeline; of all files for a run in which that step wrote nothing."""
-    if step or not pipeline:
-        return step_files(spark, runs_path, kind, step)
-    last = F.col("step") == pipeline[-1]
-    rows = step_files(spark, runs_path, kind)
-    reached = rows.filter(last).select("run").distinct()  # one row per run
-    others = rows.join(reached, "run", "left_anti").select(*rows.columns)
-    return rows.filter(last).unionByName(others)
+    """(run, chunk, step, record) of one step, by default the last of the pipeline; of all files for a run in which that
+    step wrote nothing. Of a file and its compressed twin the plain one counts.
+
+    Folders are listed before any file is opened, so only wanted files are read.
+    """
+    found: dict[tuple[str, str, str], str] = {}
+    for e in folders.files_below(spark, runs_path):
+        at = re.search(STEP_FILE, e.path)
+        if at and at[4] == kind and (step is None or at[3] == step):
+            place = at.group(1, 2, 3)
+            if place not in found or not at[5]:
+                found[place] = e.path
+    if pipeline and not step:
+        reached = {run for run, _, s in found if s == pipeline[-1]}
+        found = {k: p for k, p in found.items() if k[0] not in reached or k[2] == pipeline[-1]}
+    return locate(_records(spark, list(found.values()))).select("run", "chunk", "step", "record")
+
+
+def _records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    if not paths:
+        return spark.createDataFrame([], "value string, file string").select(F.try_parse_json("value").alias("record"), "file")
+    lines = spark.read.text([folders.literal(p) for p in paths]).select("value", F.col("_metadata.file_path").alias("file"))
+    return lines.select(F.try_parse_json("value").alias("record"), "file").filter(F.col("record").isNotNull())
 
 
 def parse_state(state: Column) -> tuple[Column, Column]:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import gzip as gz
-import os
+import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordforge.operators.units import assign_chunks
+from recordforge.session import settle
 
 
 def write_units(units: DataFrame, path: str, chunk_size: int = 100, order_by: list[str] | None = None, compression: str | None = None) -> None:
@@ -51,20 +54,40 @@ def extracted(units: DataFrame, filename: str | Column, content: str | Column) -
 def extract_units(units: DataFrame, filename: str | Column, content: str | Column, path: str, gzip: bool = False) -> DataFrame:
     """Write one file per unit into a folder that all executors share; returns counts of extracted and errors.
 
-    Names are content-addressed by unit, so a task that runs again writes the same files again.
+    Names that several units have are errors, so no file replaces another. A file is written beside its place under a name
+    of its own and then put there, so a task that runs again or twice leaves neither doubles nor halves. Any store that
+    pyarrow knows by its address can hold the folder.
     """
-    work = extracted(units, filename, content)
-    os.makedirs(path, exist_ok=True)
-
-    def save(rows: Iterable) -> None:
-        for r in rows:
-            target = os.path.join(path, r.filename + (".gz" if gzip else ""))
-            data = r.content.encode()
-            with open(target, "wb") as f:
-                f.write(gz.compress(data, mtime=0) if gzip else data)
-
-    work.filter("error is null").select("filename", "content").foreachPartition(save)
-    return extract_counts(work)
+    work = settle(extracted(units, filename, content))
+    fine = F.col("error").isNull()
+    shared = work.filter(fine).groupBy("filename").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    work = work.join(shared, "filename", "left").withColumn(
+        "error", F.when(fine & F.col("_n").isNotNull(), F.lit("duplicate_filename")).otherwise(F.col("error"))
+    )
+    work = work.drop("_n")
+    extracted_count = write_files(work.filter(F.col("error").isNull()), path, gzip)
+    bad = work.filter(F.col("error").isNotNull()).agg(F.count(F.lit(1)).alias("errors"))
+    return bad.select(F.lit(extracted_count).cast("long").alias("extracted"), "errors")
+
+
+def write_files(rows: DataFrame, path: str, gzip: bool = False) -> int:
+    """Write `content` of every row into the file `filename` below a folder; returns their number. Names are different."""
+    ending = ".gz" if gzip else ""
+
+    def save(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(path)
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                folder, _, last = f"{base}/{name}".rpartition("/")
+                store.create_dir(folder, recursive=True)
+                data = text.encode()
+                beside = f"{folder}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(beside, compression=None) as f:
+                    f.write(gz.compress(data, mtime=0) if gzip else data)
+                store.move(beside, f"{folder}/{last}{ending}")
+            yield b.select([0])
+
+    return rows.select("filename", "content").mapInArrow(save, "filename string").count()
 
 
 def extract_counts(work: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def test_repeated_results_do_not_multiply(spark):
 def test_templates_are_strict(spark):
     row = spark.createDataFrame([("u", True, "abcdefgh", 0.5)], "unit_id string, flag boolean, name string, x double")
     said = lambda t: prompts.render_prompts(row, t).first().prompt
-    assert said("{{ flag }} {{ name | truncate(6) }} {{ name | truncate(8) }} {{name|upper}}") == "True abc... abcdefgh ABCDEFGH"
+    assert said("{{ flag }} {{ name | truncate(6) }} {{ name | truncate(2) }} {{name|upper}}") == "True abcdefgh ... ABCDEFGH"
     for bad in ("{% if flag %}x{% endif %}", "{{ name | reverse }}", "{{ name", "{# note #}"):
         with pytest.raises(ValueError):
             said(bad)
