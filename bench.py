@@ -57,6 +57,8 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-"),
             "spark.sql.files.minPartitionNum": cpus,
+            # The tables come in one part each, which is one task for work on rows.
+            "spark.recordforge.tasks": cpus,
             "spark.ui.showConsoleProgress": "false",
         },
     )

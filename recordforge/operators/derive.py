@@ -101,14 +101,16 @@ def iterate(
     until: Callable[[Callable[[str], Column]], Column],
     max_iter: int = 1000,
     step: str = "",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Run `body` per row until `until` holds, at most `max_iter` rounds; the condition is checked after each round.
 
     `init` gives the state fields once. `body(get, draws)` returns new values of state fields; unnamed fields stay. A row
     that reaches the limit is kept and marked in `_metadata.timeout`. The loop is a fold over a number array inside one
-    task: no shuffle, no Python.
+    task: no shuffle, no Python. `tasks` spreads the rows first, for input that comes in fewer parts than there are cores.
     """
     fields = list(init)
+    df = df.repartition(tasks) if tasks else df
     start_row = df.withColumn(SEED, rng.default_seed(df.columns, step))
     first = [(F.expr(e) if isinstance(e, str) else e).alias(n) for n, e in init.items()]
     start = F.struct(*first, F.lit(0).alias("_rounds"), F.lit(False).alias("_done"))

@@ -399,7 +399,13 @@ def field(data: Column, name: str, kind: str = "variant") -> Column:
 
 
 def check_schema(
-    df: DataFrame, schema: Mapping, column: str, coerce: bool = True, repair: bool = False, out: str = "data"
+    df: DataFrame,
+    schema: Mapping,
+    column: str,
+    coerce: bool = True,
+    repair: bool = False,
+    out: str = "data",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Check a JSON column against a schema whose root is an object.
 
@@ -410,9 +416,11 @@ def check_schema(
     Fields of the root and of objects in objects are spread over helper columns in a few projections, each read from the
     document by its whole path, so every value is read, typed and coerced once by generated code. Objects are then put
     together from the deepest up, one projection per level, so the plan grows with the number of fields, whatever the depth.
-    Only what lies in arrays goes through array functions. A number that JSON cannot hold gives one error at its own path,
+    Only what lies in arrays goes through array functions. `tasks` spreads the rows first, for input that comes in fewer
+    parts than there are cores. A number that JSON cannot hold gives one error at its own path,
     and no others there.
     """
+    df = df.repartition(tasks) if tasks else df
     kind = df.schema[column].dataType.typeName()
     source = F.col(f"`{column}`")
     compiler = _Compiler(schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from recordforge.operators.rules import check_rules, finding
 from recordforge.operators.schema_check import check_schema, field, field_types, no_errors, no_notes, typed_fields
 from recordforge.session import settle
 
+# Fixed value: the message of a record that came to nothing.
 LOST = "Record lost during validation pipeline"
 
 
@@ -30,21 +31,42 @@ def last_per_key(df: DataFrame, key: str | list[str], order_by: str | list[str])
     return best.select(*keys, "_last.*").select(*df.columns)
 
 
-def one_per_key(df: DataFrame, key: str) -> DataFrame:
-    """The last row per key in the order of the input; NULL keys are dropped."""
-    placed = df.filter(F.col(key).isNotNull()).withColumn("_at", F.monotonically_increasing_id())
-    best = placed.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), "_at").alias("_last"))
-    return best.select(key, "_last.*").select(*df.columns)
+def one_per_key(df: DataFrame, key: str, order: str | None = None, unique: bool = False) -> DataFrame:
+    """One row per key; NULL keys are dropped.
 
+    The row with the largest `order` (a column that is taken away) counts, and of equals, or without an order, the one
+    whose values are last as text: so the choice depends on the rows alone, not on how they are spread or on tasks that ran
+    again. `unique` says that keys are different, which spares the shuffle.
+    """
+    kept = df.filter(F.col(key).isNotNull())
+    columns = [c for c in df.columns if c != order]
+    if unique:
+        return kept.select(*columns)
+    row = F.struct(*[c for c in columns if c != key])
+    rank = F.struct(*([F.col(order)] if order else []), F.to_json(row))
+    best = kept.groupBy(key).agg(F.max_by(row, rank).alias("_last"))
+    return best.select(key, "_last.*").select(*columns)
+
+
+def _order(order_by: Sequence[str] | None) -> list[Column]:
+    return [F.struct(*order_by).alias("_rank")] if order_by else []
 
-def premerge(results: DataFrame, inputs: DataFrame, key: str = "unit_id", data: str = "data") -> DataFrame:
+
+def premerge(
+    results: DataFrame,
+    inputs: DataFrame,
+    key: str = "unit_id",
+    data: str = "data",
+    order_by: Sequence[str] | None = None,
+    unique: bool = False,
+) -> DataFrame:
     """Add the input fields of the same unit below each result; result fields win. Unmatched results pass.
 
-    `results` has `data` as MAP<STRING, VARIANT>; `inputs` has any columns, and its last row per key counts. Adds `input`.
+    `results` has `data` as MAP<STRING, VARIANT>; `inputs` has any columns, and one row per key counts, as `one_per_key`
+    chooses it (`order_by` are columns of `inputs`). Adds `input`.
     """
-    packed = one_per_key(
-        inputs.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), row_as_map(inputs.columns).alias("input")), "_key"
-    )
+    packed = inputs.select(F.col(key).alias("_key"), row_as_map(inputs.columns).alias("input"), *_order(order_by))
+    packed = one_per_key(packed, "_key", "_rank" if order_by else None, unique)
     joined = results.join(packed, F.col(key) == F.col("_key"), "left").drop("_key")
     merged = F.when(F.col("input").isNotNull(), overlay(F.col("input"), F.col(data))).otherwise(F.col(data))
     return joined.withColumn(data, merged)
@@ -55,14 +77,17 @@ def passed_gate(rows: DataFrame, passed: DataFrame, key: str = "unit_id") -> Dat
     return rows.join(passed.select(key).distinct(), key, "left_semi")
 
 
-def enrich_failures(failures: DataFrame, inputs: DataFrame, key: str = "unit_id") -> DataFrame:
+def enrich_failures(
+    failures: DataFrame, inputs: DataFrame, key: str = "unit_id", order_by: Sequence[str] | None = None, unique: bool = False
+) -> DataFrame:
     """Put the step's input into each failure record, keep the raw text and retry count, lift upstream fields.
 
     A raw text comes from the failed output, then the failure, then the input. Lifted fields never replace a field of the
     record and never start with an underscore.
     """
     cols = failures.columns
-    packed = one_per_key(inputs.select(F.col(key).alias("_key"), F.struct(*inputs.columns).alias("_in")), "_key")
+    packed = inputs.select(F.col(key).alias("_key"), F.struct(*inputs.columns).alias("_in"), *_order(order_by))
+    packed = one_per_key(packed, "_key", "_rank" if order_by else None, unique)
     joined = failures.join(packed, F.col(key) == F.col("_key"), "left")
     raw: list[Column] = [F.col(c) for c in ("raw_response", "_raw_text") if c in cols]
     if "_raw_text" in inputs.columns:
@@ -106,11 +131,14 @@ def validate_step(
     types: Mapping[str, str] | None = None,
     coerce: bool = True,
     fix: bool = True,
+    results_order: Sequence[str] | None = None,
+    inputs_order: Sequence[str] | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Judge every unit of a step once: (unit_id, step, status, failure_stage, data, input, errors, warnings, ...).
 
     `results` has `unit_id, data` (MAP<STRING, VARIANT>) and optional `raw_response, retry_count`. Of several results or
-    inputs of one unit the last in input order counts. Rules see the fields of `schema` plus
+    inputs of one unit one counts, as `one_per_key` chooses it. Rules see the fields of `schema` plus
     those named in `types`. Inputs without a result become `pipeline_internal` failures by the same outer join that merges
     the inputs, so the whole step is one shuffle join and one stage of projections. `fix` stores the judged table in the
     shared folder, because valid and failed rows are read separately afterwards.
@@ -119,8 +147,9 @@ def validate_step(
         F.col("unit_id").alias("_key"),
         row_as_map(inputs.columns).alias("input"),
         (F.col("retry_count").cast("int") if "retry_count" in inputs.columns else F.lit(None).cast("int")).alias("_in_count"),
+        *_order(inputs_order),
     )
-    packed = one_per_key(packed, "_key")
+    packed = one_per_key(packed, "_key", "_rank" if inputs_order else None, unique)
     has_raw, has_count = "raw_response" in results.columns, "retry_count" in results.columns
     sent = results.select(
         "unit_id",
@@ -130,8 +159,9 @@ def validate_step(
         (F.col("raw_response") if has_raw else F.lit(None).cast("string")).alias("raw_response"),
         (F.col("retry_count").cast("int") if has_count else F.lit(None).cast("int")).alias("_out_count"),
         F.lit(True).alias("_sent"),
+        *_order(results_order),
     )
-    sent = one_per_key(sent, "_sent_key")
+    sent = one_per_key(sent, "_sent_key", "_rank" if results_order else None, unique)
     both = sent.join(packed, F.col("_sent_key") == F.col("_key"), "full_outer").select(
         F.coalesce("unit_id", "_key").alias("unit_id"),
         F.to_variant_object(

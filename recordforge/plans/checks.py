@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recordforge.functions.variants import entries
 from recordforge.operators import gates, infer, rules, schema_check, validate
-from recordforge.plans.registry import query, table
+from recordforge.plans.registry import query, table, tasks
 from recordforge.plans.shared import CENTS, RESPONSE, SCHEMA, responses
 
 
@@ -44,7 +44,7 @@ def json_repair(spark, sf):
     """,
 )
 def schema_check_rows(spark, sf):
-    checked = schema_check.check_schema(responses(spark, sf), SCHEMA, "response", repair=True)
+    checked = schema_check.check_schema(responses(spark, sf), SCHEMA, "response", repair=True, tasks=tasks(spark))
     typed = schema_check.typed_fields(checked, schema_check.field_types(SCHEMA))
     return typed.select(
         "o_orderkey",
@@ -118,7 +118,7 @@ def schema_nested(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars").select(
         "doc_id", F.to_json(F.struct(lines.alias("lines"), "lang", F.col("n_chars").cast("string").alias("chars"))).alias("j")
     )
-    checked = schema_check.check_schema(docs, NESTED, "j")
+    checked = schema_check.check_schema(docs, NESTED, "j", tasks=tasks(spark))
     return checked.select("doc_id", F.size("errors").alias("n_errors"), F.size("coercions").alias("n_coercions"))
 
 

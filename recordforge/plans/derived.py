@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recordforge.functions import rng, text
 from recordforge.operators import derive, infer, prompts, reports, rules, units
-from recordforge.plans.registry import query, table
+from recordforge.plans.registry import query, table, tasks
 
 CUSTOMER_UNIT = "replace(replace(c_name, ' ', '_'), '/', '-')"
 
@@ -30,6 +30,7 @@ def _walks(spark, sf):
         body=lambda get, draw: {"place": get("place") + F.when(draw.random("turn") < 0.5, -1).otherwise(1)},
         until=lambda get: (get("place") <= 0) | (get("place") >= 10),
         step="walk",
+        tasks=tasks(spark),
     )
     outcome = F.when(F.col("place") <= 0, F.lit("fell_in_water")).when(F.col("place") >= 10, F.lit("reached_ship"))
     return walked.withColumns({"outcome": outcome, "steps": F.col("_metadata.iterations"), "timeout": F.col("_metadata.timeout")})

@@ -24,3 +24,9 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tasks(spark: SparkSession) -> int | None:
+    """The number of tasks that the caller wants for heavy work on rows; by default as many as the input has parts."""
+    wanted = spark.conf.get("spark.recordforge.tasks", None)
+    return int(wanted) if wanted else None

@@ -123,8 +123,9 @@ def _compact(spark: SparkSession, path: str, n: int, merge: Merge) -> None:
             folders.remove(spark, p)
 
 
-def latest(spark: SparkSession, path: str, merge: Merge) -> DataFrame:
-    """The stored rows, merged."""
+def latest(spark: SparkSession, path: str, merge: Merge | Sequence[str]) -> DataFrame:
+    """The stored rows, merged; with keys instead of a merge the newest stored row per key."""
+    merge = merge if callable(merge) else newest(merge)
     return merge(_read(spark, _stored(spark, path)[0])).drop(BATCH, "_span")
 
 

@@ -100,8 +100,8 @@ def test_stream_equals_batch_over_many_micro_batches(spark, tmp_path):
     rows.repartition(6).write.parquet(src)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
     jobs.upserts(jobs.retry_budget(stream), str(tmp_path / "out"), str(tmp_path / "mark"))
-    got = jobs.latest(spark, str(tmp_path / "out"), ["step", "unit_id"]).select("step", "unit_id", "retry_count", "decision")
-    want = jobs.retry_budget(rows)
+    got = jobs.latest(spark, str(tmp_path / "out"), jobs.merge_budget()).select("step", "unit_id", "retry_count", "decision")
+    want = jobs.retry_budget(rows).select("step", "unit_id", "retry_count", "decision")
     assert sorted(got.collect()) == sorted(want.collect())
 
 
@@ -113,3 +113,23 @@ def test_stream_cost_cap_carries_over_micro_batches(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
     jobs.cost_cap(stream, 150.0, "cost", ["id"], ["run"], str(tmp_path / "out"), str(tmp_path / "sum"), str(tmp_path / "mark"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 150
+
+
+def test_one_row_per_key_depends_on_the_rows_alone(spark):
+    rows = [("a", 1, "x"), ("a", 3, "b"), ("a", 2, "z"), ("b", 5, "q"), (None, 9, "n")]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "k string, n int, t string").repartition(parts)
+        assert sorted(map(tuple, validate.one_per_key(df, "k").collect())) == [("a", 3, "b"), ("b", 5, "q")]
+        ranked = df.withColumn("_r", F.col("t"))
+        assert sorted(map(tuple, validate.one_per_key(ranked, "k", "_r").collect())) == [("a", 2, "z"), ("b", 5, "q")]
+    once = spark.createDataFrame([("a", 1), (None, 2)], "k string, n int")
+    assert validate.one_per_key(once, "k", unique=True).collect() == [("a", 1)]
+    assert "Exchange" not in validate.one_per_key(once, "k", unique=True)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_inputs_in_the_order_asked_for(spark):
+    sent = results(spark, [("a", '{"score": 5}')])
+    inputs = spark.createDataFrame([("a", 1, 9), ("a", 2, 8)], "unit_id string, base int, at int")
+    for order, base in (("at", 1), ("base", 2)):
+        judged = validate.validate_step(sent, inputs, None, {"rules": [{"name": "r", "expr": "base > 0"}]}, "s", {"base": "int"}, inputs_order=[order])
+        assert [r.b for r in judged.select(F.try_variant_get("data", "$.base", "int").alias("b")).collect()] == [base]
