@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
 from recordforge.llm.textarrays import pieces, span_hashes
-from recordforge.llm.work import free_name, stored
+from recordforge.llm.work import free_name, give_back_memory, stored
 
 T = TypeVar("T")
 LONGEST_IN_LEXICON = 64  # bytes
@@ -41,6 +41,7 @@ _END = 0x110000  # stands behind every text; no code point
 _SPACE, _LETTER, _NUMBER, _OTHER, _BORDER = range(5)
 SHORT = 24  # bytes up to which a word is merged by looking at all its pairs
 _ID_BITS, _NONE = 32, 1 << 64
+NO_PAIR = (1 << 63) - 1
 _KEEP_MERGED = 200_000  # words whose merges a process remembers
 _KEEP_COUNTS = 200_000  # words that a task counts before it hands them on
 BLOCK = 1 << 20  # characters of a text that are cut at a time
@@ -150,6 +151,79 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
 
+class PairTable:
+    """Ranks of pairs of ids in arrays: an open table in which a pair stands at its hash or just behind."""
+
+    BITS = 20
+
+    def __init__(self, ranked: dict[int, int]):
+        keys = np.array(list(ranked), np.int64)
+        size = 1 << self.BITS
+        if 4 * len(keys) > size:
+            raise ValueError("more merges than the table of pairs holds")
+        self.keys, self.values = np.full(size + 64, -1, np.int64), np.full(size + 64, NO_PAIR, np.int64)
+        self.longest = 0
+        for at, key, value in zip(self._home(keys).tolist(), keys.tolist(), ranked.values()):
+            k = at
+            while self.keys[k] >= 0:
+                k += 1
+            self.longest = max(self.longest, k - at)
+            self.keys[k], self.values[k] = key, value
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and new id of each pair as one number, NO_PAIR for pairs that are not merged or hold no id."""
+        keys = a.astype(np.int64) << _ID_BITS | b
+        home = self._home(keys)
+        out = np.where(self.keys[home] == keys, self.values[home], NO_PAIR)
+        open_ones = np.flatnonzero((self.keys[home] != keys) & (self.keys[home] >= 0))
+        for step in range(1, self.longest + 1):
+            if not len(open_ones):
+                break
+            at = home[open_ones] + step
+            hit = self.keys[at] == keys[open_ones]
+            out[open_ones[hit]] = self.values[at[hit]]
+            open_ones = open_ones[~hit & (self.keys[at] >= 0)]
+        out[(a < 0) | (b < 0)] = NO_PAIR
+        return out
+
+    def merge(self, words: list[bytes], byte_id: np.ndarray) -> list[bytes]:
+        """Packed ids of short words: in every round each word has its pair of least rank, and of these the leftmost, merged."""
+        n, width = len(words), max(map(len, words))
+        data = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+        ids = byte_id[data]
+        ids[np.arange(width) >= np.array([len(w) for w in words])[:, None]] = -1
+        ids = np.concatenate([ids, np.full((n, 1), -1, np.int32)], 1)  # a border for shifts
+        ranks = self.find(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width)
+        done = np.empty((n, width), np.int32)
+        rows = np.arange(n)
+        place = np.arange(width)
+        while len(rows):
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(rows)), at]
+            live = best < NO_PAIR
+            done[rows[~live]] = ids[~live, :-1]
+            rows, ids, ranks, at, best = rows[live], ids[live], ranks[live], at[live], best[live]
+            if not len(rows):
+                break
+            own = np.arange(len(rows))
+            ids[own, at] = best & (1 << _ID_BITS) - 1
+            shift = place[None, :] + (place[None, :] > at[:, None])
+            ids[:, :-1] = np.take_along_axis(ids, shift, 1)
+            shift = np.minimum(shift, width - 1)
+            ranks = np.take_along_axis(ranks, shift, 1)
+            ranks[own, at] = self.find(ids[own, at], ids[own, at + 1])
+            ranks[:, -1] = NO_PAIR
+            left = np.maximum(at - 1, 0)
+            before = at > 0
+            ranks[own[before], left[before]] = self.find(ids[own, left], ids[own, at])[before]
+        count = ((done >= 0).sum(1) * 4).tolist()
+        packed, step = done.tobytes(), 4 * width
+        return [packed[i * step : i * step + c] for i, c in enumerate(count)]
+
+
 class Lexicon(NamedTuple):
     """A minimal acyclic transducer in flat arrays.
 
@@ -330,7 +404,9 @@ class Encoder:
         self.vocabulary, self.lexicon, self.kinds = vocabulary, lexicon, kinds
         names = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
+        self.pairs, self.byte_id = PairTable(vocabulary.ranked), np.array(vocabulary.byte_id, np.int32)
         self.merged: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and the number of each."""
@@ -339,13 +415,7 @@ class Encoder:
         starts = np.append(0, ends[:-1])[: len(ends)]
         place = self.lexicon.find(data, starts, ends)
         unseen = np.flatnonzero(place < 0).tolist()
-        if len(self.merged) > _KEEP_MERGED:
-            self.merged.clear()
-        made = []
-        for i in unseen:
-            if words[i] not in self.merged:
-                self.merged[words[i]] = array("i", self.vocabulary.merge(words[i])).tobytes()
-            made.append(self.merged[words[i]])
+        made = self._merged([words[i] for i in unseen])
         # Unseen words take places behind the lexicon's.
         base = len(self.lexicon.at) - 1
         place[unseen] = base + np.arange(len(unseen))
@@ -353,6 +423,27 @@ class Encoder:
         ids = np.concatenate([self.lexicon.ids, np.frombuffer(b"".join(made), np.int32)])
         return _gather(ids, at[place], at[place + 1])
 
+    def _merged(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words that the lexicon lacks. Words are remembered until the memory was full twice since they were
+        last asked for."""
+        missing: dict[int, list[bytes]] = {}
+        for w in words:
+            if w not in self.merged:
+                if w in self.older:
+                    self.merged[w] = self.older[w]
+                else:
+                    missing.setdefault(min(-(-len(w) // 6), 5), []).append(w)
+        for size, own in missing.items():
+            if size * 6 <= SHORT:
+                found = self.pairs.merge(own, self.byte_id)
+            else:
+                found = [array("i", self.vocabulary.merge(w)).tobytes() for w in own]
+            self.merged.update(zip(own, found))
+        made = [self.merged[w] for w in words]
+        if len(self.merged) > _KEEP_MERGED:
+            self.older, self.merged = self.merged, {}
+        return made
+
     def _parts(self, texts: list[str | None]) -> Iterator[tuple[int, str, int]]:
         """(text, part of it, -1 or special id) in order."""
         for i, t in enumerate(texts):
@@ -441,6 +532,8 @@ def frequent_words(docs: DataFrame, text: str, most: int) -> list[bytes]:
                 yield batch(counts)
                 counts.clear()
         yield batch(counts)
+        counts.clear()
+        give_back_memory()
 
     counted = docs.select(text).mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
     # Steps of an eighth of a power of two: few, and whole steps are taken, so only what is wanted comes to the driver.
@@ -478,7 +571,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", lexicon_size: in
                 decoded = pa.array(decoder.decode(ids, count), pa.string())
                 own = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*own.columns, lists, decoded], names=names)
-        pa.default_memory_pool().release_unused()
+        give_back_memory()
 
     names = [*docs.columns, free_name(docs, "ids"), free_name(docs, "decoded")]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +36,11 @@ def free_name(df: DataFrame, base: str) -> str:
 def n_words(text: Column) -> Column:
     """Number of runs without \\x20 and \\x09-\\x0D; 0 for NULL."""
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+
+
+def give_back_memory() -> None:
+    """Return memory that this process no longer uses to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

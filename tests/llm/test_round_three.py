@@ -206,3 +206,36 @@ def test_rotations_meet_once(spark):
     assert near == {"aabbccdd": 3, "aabccdd": 1, "aabbccde": 2, "aabbccd": 2}
     keys = variants.rotations(words).groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     assert keys <= 4 and np.isfinite(keys)
+
+
+def test_bpe_merges_in_arrays_like_one_by_one():
+    from recordforge.llm import bpe
+    from recordforge.llm.queries import tokenizer_file
+
+    vocabulary = bpe.Vocabulary(bpe.load(tokenizer_file()))
+    table = bpe.PairTable(vocabulary.ranked)
+    r = random.Random(2)
+    words = [bytes(r.choice(b"abcdet ainshr\xc3\xa9\xe4\xb8") for _ in range(r.randint(1, bpe.SHORT))) for _ in range(3000)]
+    words += [b"a" * n for n in range(1, bpe.SHORT + 1)]
+    want = [array("i", vocabulary.merge(w)).tobytes() for w in words]
+    assert table.merge(words, np.array(vocabulary.byte_id, np.int32)) == want
+    assert table.merge([b"x"], np.array(vocabulary.byte_id, np.int32)) == [array("i", vocabulary.merge(b"x")).tobytes()]
+
+
+def test_bpe_long_texts_and_full_memories(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from recordforge.llm import bpe
+    from recordforge.llm.queries import tokenizer_file
+
+    library = Tokenizer.from_file(tokenizer_file())
+    vocabulary = bpe.Vocabulary(bpe.load(tokenizer_file()))
+    monkeypatch.setattr(bpe, "BLOCK", 50)
+    monkeypatch.setattr(bpe, "GROUP", 80)
+    monkeypatch.setattr(bpe, "_KEEP_MERGED", 20)
+    lexicon = bpe.compile_lexicon({b" the": vocabulary.merge(b" the")})
+    encoder = bpe.Encoder(vocabulary, lexicon, bpe.kinds_of_points())
+    texts = brute.made_texts(25, 6) + [None, "", "a  b\n\n c<|endoftext|>d " * 30, "x" * 400, "it's we'll  'tis　é́ " * 20]
+    ids, count = encoder.encode(texts)
+    assert np.split(ids, np.cumsum(count)[:-1])[-1].tolist() == library.encode(texts[-1], add_special_tokens=False).ids
+    assert ids.tolist() == [i for t in texts for i in library.encode(t or "", add_special_tokens=False).ids]
