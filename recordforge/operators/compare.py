@@ -33,9 +33,9 @@ def compare_runs(
     )
 
 
-def net_by_run(results: DataFrame, group: str, score) -> DataFrame:
-    """Net score of every group, one column per run."""
-    return results.groupBy(group).pivot("run").agg(F.sum(score))
+def net_by_run(results: DataFrame, group: str, score, runs: Sequence[str] | None = None) -> DataFrame:
+    """Net score of every group, one column per run; with `runs` for these only, without looking the runs up first."""
+    return results.groupBy(group).pivot("run", list(runs) if runs else None).agg(F.sum(score))
 
 
 def populations(a: DataFrame, b: DataFrame) -> DataFrame:

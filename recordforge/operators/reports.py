@@ -30,14 +30,21 @@ def skipped_rows(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def distribution_matrix(
-    df: DataFrame, group: str, value: str, positive: Sequence[str] = (), negative: Sequence[str] = ()
+    df: DataFrame,
+    group: str,
+    value: str,
+    positive: Sequence[str] = (),
+    negative: Sequence[str] = (),
+    values: Sequence[str] | None = None,
 ) -> DataFrame:
     """Wide form: one row per group, one column per value, total and optional net score.
 
-    Ordered by net score, else by the count of the first value in sorted order; the group breaks ties.
+    Ordered by net score, else by the count of the first value in sorted order; the group breaks ties. With `values` nothing
+    is looked up first, and other values are left out; without, they are collected, so there must not be too many. The
+    long form is `count_distribution`.
     """
     counts = count_distribution(df, group, value)
-    wide = counts.groupBy("group").pivot("value").agg(F.sum("n"))
+    wide = counts.groupBy("group").pivot("value", list(values) if values else None).agg(F.sum("n"))
     values = sorted(c for c in wide.columns if c != "group")
     wide = wide.select("group", *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(v) for v in values])
     total = sum((F.col(f"`{v}`") for v in values), F.lit(0))
@@ -100,6 +107,11 @@ def numeric_stats(df: DataFrame, group: str, field: str, custom: Mapping[str, st
     return custom_stats(stats, custom) if custom else stats
 
 
+def by_mean(stats: DataFrame) -> DataFrame:
+    """Statistics in the order of a report: the largest mean first, and of equal ones the first group."""
+    return stats.orderBy(F.desc("mean"), "group")
+
+
 def custom_stats(stats: DataFrame, custom: Mapping[str, str]) -> DataFrame:
     with null_on_error(stats.sparkSession):
         return stats.withColumns({name: F.expr(e) for name, e in custom.items()})

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordforge.operators import compare, derive, infer, prompts, units
+from recordforge.operators import compare, derive, infer, order, prompts, reports, units
 from recordforge.plans.derived import answer
 from recordforge.plans.registry import query, table
 from recordforge.plans.reporting import TWO, _two_runs
@@ -213,3 +213,29 @@ def inference_logged(spark, sf):
         made = infer.infer_once(asked, answer, log, waves=2)
     counted = spark.read.parquet(log).groupBy("unit_id").agg(F.count(F.lit(1)).cast("int").alias("logged"))
     return made.join(counted, "unit_id").select("unit_id", F.col("error").isNotNull().alias("failed"), "input_tokens", "logged")
+
+
+@query(
+    "numeric_report",
+    """
+    SELECT o_orderpriority AS "group", round(avg(o_custkey), 6) AS mean, row_number() OVER (ORDER BY avg(o_custkey) DESC, o_orderpriority) - 1 AS place
+    FROM orders GROUP BY o_orderpriority
+    """,
+)
+def numeric_report(spark, sf):
+    """Statistics in report order."""
+    stats = reports.by_mean(reports.numeric_stats(table(spark, sf, "orders"), "o_orderpriority", "o_custkey"))
+    placed = order.row_positions(stats, [F.desc("mean"), "group"], out="place")
+    return placed.select("group", F.round("mean", 6).alias("mean"), "place")
+
+
+@query(
+    "distribution_of_values",
+    """
+    SELECT o_orderpriority AS "group", count(*) FILTER (o_orderstatus = 'F')::BIGINT AS "F", count(*) FILTER (o_orderstatus = 'O')::BIGINT AS "O",
+        count(*) FILTER (o_orderstatus IN ('F', 'O'))::BIGINT AS total FROM orders GROUP BY 1
+    """,
+)
+def distribution_of_values(spark, sf):
+    """The wide form for values that are given."""
+    return reports.distribution_matrix(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", values=["O", "F"])
