@@ -162,6 +162,11 @@ def _sql_side(side: str, even: int) -> str:
       from p left join t on t.pair_id = p.pair_id and t.side = {even} group by all)"""
 
 
+def pair_of(conv_id: str):
+    """Half of an id, rounded down, in whole numbers: exact for ids of any size."""
+    return F.expr(f"({conv_id} - pmod({conv_id}, 2)) div 2")
+
+
 @query(
     "op9_preference_pairs",
     f"""
@@ -188,7 +193,7 @@ def _sql_side(side: str, even: int) -> str:
 )
 def preference_pairs(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    pairs = chat.format_preferences(turns, F.floor(F.col("conv_id") / 2), F.pmod("conv_id", F.lit(2)) == 0)
+    pairs = chat.format_preferences(turns, pair_of("conv_id"), F.pmod("conv_id", F.lit(2)) == 0)
     shown = lambda c: F.concat(  # noqa: E731  as text, to be compared with SQL
         F.lit("["),
         F.array_join(

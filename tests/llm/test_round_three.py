@@ -239,3 +239,11 @@ def test_bpe_long_texts_and_full_memories(monkeypatch):
     ids, count = encoder.encode(texts)
     assert np.split(ids, np.cumsum(count)[:-1])[-1].tolist() == library.encode(texts[-1], add_special_tokens=False).ids
     assert ids.tolist() == [i for t in texts for i in library.encode(t or "", add_special_tokens=False).ids]
+
+
+def test_pairs_of_large_ids(spark):
+    from recordforge.llm.queries import pair_of
+
+    ids = [0, 1, -1, -2, -3, 2**60 + 2, 2**60 + 3, 2**63 - 1, -(2**63)]
+    table = spark.createDataFrame([(i,) for i in ids], "conv_id long")
+    assert [r[0] for r in table.select(pair_of("conv_id")).collect()] == [i // 2 for i in ids]
