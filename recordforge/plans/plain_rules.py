@@ -225,7 +225,7 @@ def inference_logged(spark, sf):
 def numeric_report(spark, sf):
     """Statistics in report order."""
     stats = reports.by_mean(reports.numeric_stats(table(spark, sf, "orders"), "o_orderpriority", "o_custkey"))
-    placed = order.row_positions(stats, [F.desc("mean"), "group"], out="place")
+    placed = order.row_positions(stats, [-F.col("mean"), "group"], out="place")
     return placed.select("group", F.round("mean", 6).alias("mean"), "place")
 
 
