@@ -46,14 +46,15 @@ from pyspark.sql import functions as F
 
 from recordforge.llm.components import components
 from recordforge.llm.textarrays import mix, pieces, split, whole_hash, window_hashes, word_hashes
-from recordforge.llm.work import stored
+from recordforge.llm.work import stored, tidy
 
 WORDS = 5
 PERCENT = 75
 MOST_FREQUENT = 2_000_000
 LEAST_FREQUENT = 32
 TRIPLES_FROM = 16  # times as frequent as the bound: combinations of three
-BIN_TOKENS = 4_000_000  # tokens that one task counts at a time
+BIN_TOKENS = 2_000_000  # tokens that one task counts at a time
+MOST_TASKS = 50_000  # beyond that, tasks work through several bins or units one after the other
 SMALL = 5
 CIRCLE_TOKENS = 4_000_000  # that one task compares at a time
 UNIT_TOKENS = 1_000_000  # of circles that share a task, on average
@@ -216,7 +217,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_shingles", "node"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, node long")
 
 
 def _node_runs(nodes: np.ndarray, values: np.ndarray, bins: int, facts: np.ndarray | None = None) -> pa.RecordBatch:
@@ -288,7 +289,7 @@ def shared_tokens(docs: DataFrame, total: int) -> DataFrame:
             }
         )
 
-    packed = docs.select("text").mapInArrow(pack, _RUN_SCHEMA).repartition(bins, "bin")
+    packed = docs.select("text").mapInArrow(tidy(pack), _RUN_SCHEMA).repartition(min(bins, MOST_TASKS), "bin")
     return packed.groupBy("bin").applyInArrow(count, "name long, count long, is_token boolean")
 
 
@@ -343,7 +344,7 @@ def circles(sets: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
         pairs = np.unique(np.stack([nodes, np.repeat(leaders, size)], 1)[np.repeat(size > 1, size)], axis=0)
         return pa.table({"node": pairs[:, 0], "leader": pairs[:, 1]})
 
-    packed = sets.select("node", "held", "tokens").mapInArrow(pack, _RUN_SCHEMA).repartition(bins, "bin")
+    packed = sets.select("node", "held", "tokens").mapInArrow(tidy(pack), _RUN_SCHEMA).repartition(min(bins, MOST_TASKS), "bin")
     return packed.groupBy("bin").applyInArrow(lists, "node long, leader long").distinct()
 
 
@@ -363,7 +364,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     # By shuffle at every size, so what the join costs does not jump when the list of ids outgrows a broadcast.
     found = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").select("node", "held", "text")
-    sets = found.mapInArrow(run, "node long, held long, size long, tokens binary")
+    sets = found.mapInArrow(tidy(run), "node long, held long, size long, tokens binary")
     return sets.filter("tokens is not null")
 
 
@@ -512,7 +513,7 @@ def _met(dealt: DataFrame, sets: DataFrame, total: int, links: Callable) -> Data
     named = dealt.withColumn("unit", F.pmod(F.xxhash64("circle.leader", "circle.x", "circle.y"), F.lit(units)))
     # The tokens of a node travel once per unit.
     once = named.groupBy("unit", "node", "part").agg(F.collect_set("circle").alias("circles"))
-    full = once.join(sets.select("node", "tokens").hint("merge"), "node").repartition(units, "unit")
+    full = once.join(sets.select("node", "tokens").hint("merge"), "node").repartition(min(units, MOST_TASKS), "unit")
     return full.groupBy("unit").applyInArrow(settle, "a long, b long").distinct()
 
 

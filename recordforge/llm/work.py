@@ -44,3 +44,13 @@ def give_back_memory() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
+
+
+def tidy(run):
+    """A map over Arrow batches that gives memory back at the end of its task."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back_memory()
+
+    return wrapped
