@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from recordforge.functions import rng
 from recordforge.functions.text import truthy
-from recordforge.session import null_on_error
+from recordforge.session import evaluated_once, null_on_error
 
 # Fields that expressions do not see.
 HIDDEN = ("_metadata", "_raw_text", "_repetition_seed")
@@ -108,16 +108,17 @@ def iterate(
     `init` gives the state fields once. `body(get, draws)` returns new values of state fields; unnamed fields stay. A row
     that reaches the limit is kept and marked in `_metadata.timeout`. The loop is a fold over a number array inside one
     task: no shuffle, no Python. `tasks` spreads the rows first, for input that comes in fewer parts than there are cores.
+    Filters on the results stay above the loop, so no row runs twice and none before the rows are spread.
     """
     fields = list(init)
     df = df.repartition(tasks) if tasks else df
     start_row = df.withColumn(SEED, rng.default_seed(df.columns, step))
     first = [(F.expr(e) if isinstance(e, str) else e).alias(n) for n, e in init.items()]
-    start = F.struct(*first, F.lit(0).alias("_rounds"), F.lit(False).alias("_done"))
-    seed = F.col(SEED)
+    # The seed is part of the state: a column would be computed again in every round.
+    start = F.struct(*first, F.col(SEED), F.lit(0).alias("_rounds"), F.lit(False).alias("_done"))
 
     def one_round(state: Column, i: Column) -> Column:
-        new = dict(body(lambda n: state[n], Draws(seed, i)))
+        new = dict(body(lambda n: state[n], Draws(state[SEED], i)))
         after = {n: new.get(n, state[n]) for n in fields}
         bound = F.struct(*[v.alias(n) for n, v in after.items()])
         # Bind the new values once: the stop condition and the result both read them.
@@ -126,6 +127,7 @@ def iterate(
                 F.array(bound),
                 lambda s: F.struct(
                     *[s[n].alias(n) for n in fields],
+                    state[SEED].alias(SEED),
                     i.cast("int").alias("_rounds"),
                     F.coalesce(until(lambda n: s[n]), F.lit(False)).alias("_done"),
                 ),
@@ -143,7 +145,7 @@ def iterate(
         return F.when(state["_done"], state).otherwise(F.aggregate(rounds, state, one_round))
 
     end = F.aggregate(F.sequence(F.lit(0), F.lit((max_iter - 1) // block)), start, one_block)
-    done = start_row.withColumn("_end", end)
+    done = evaluated_once(start_row.withColumn("_end", end), ["_end"])
     kept = [c for c in df.columns if c not in fields and c != "_metadata"]
     meta = F.struct(
         F.lit(step).alias("expression_step"),

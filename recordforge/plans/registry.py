@@ -26,7 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tasks(spark: SparkSession) -> int | None:
-    """The number of tasks that the caller wants for heavy work on rows; by default as many as the input has parts."""
+def tasks(spark: SparkSession) -> int:
+    """The number of tasks for heavy work on rows: what the caller wants, else enough for all cores.
+
+    A file gives one task per row group, and a million narrow rows may be one group.
+    """
     wanted = spark.conf.get("spark.recordforge.tasks", None)
-    return int(wanted) if wanted else None
+    return int(wanted) if wanted else max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
