@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recordforge.functions import rng, text
 from recordforge.operators import derive, infer, prompts, reports, rules, units
 from recordforge.plans.registry import query, table, tasks
+from recordforge.session import settle
 
 CUSTOMER_UNIT = "replace(replace(c_name, ' ', '_'), '/', '-')"
 
@@ -87,7 +88,9 @@ def random_walk_ends(spark, sf):
     """,
 )
 def random_walk_stats(spark, sf):
-    stats = reports.numeric_stats(_walks(spark, sf), "c_nationkey", "steps")
+    # Statistics and medians read the walks several times.
+    ended = settle(_walks(spark, sf).select("c_nationkey", "steps"))
+    stats = reports.numeric_stats(ended, "c_nationkey", "steps")
     return stats.select(
         "group", "count", F.round("mean", 6).alias("mean"), "median", F.round("stdev", 6).alias("stdev"), "min_val", "max_val", "sum_val"
     )

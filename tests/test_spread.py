@@ -29,3 +29,7 @@ def test_filters_stay_above_a_loop(spark):
 def test_rows_are_spread_by_default(spark):
     assert registry.tasks(spark) >= spark.sparkContext.defaultParallelism
     assert derived._walks(spark, SF).rdd.getNumPartitions() == registry.tasks(spark)
+
+
+def test_walks_are_made_once_for_their_statistics(spark):
+    assert "sha2(" not in _optimized(derived.random_walk_stats(spark, SF))
