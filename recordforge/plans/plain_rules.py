@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from recordforge.operators import compare, derive, infer, order, prompts, reports, units
 from recordforge.plans.derived import answer
-from recordforge.plans.registry import query, table
+from recordforge.plans.registry import query, table, tasks
 from recordforge.plans.reporting import TWO, _two_runs
-from recordforge.session import work_dir
+from recordforge.session import settle, work_dir
 from recordforge.sources import files, pricing, sinks
 
 
@@ -32,10 +32,10 @@ def step_outputs(spark, sf):
         "to_json(struct(event_id)) AS line",
     )
     # A file has at most 1,000 lines.
-    made = rows.groupBy("n", "filename").agg(F.array_join(F.collect_list("line"), "\n").alias("content"))
-    sinks.write_files(made.filter("n % 2 = 1"), base)
-    sinks.write_files(made.filter("n % 2 = 0"), base, gzip=True)
-    sinks.write_files(made.filter("n = 1").withColumn("content", F.lit('{"event_id": -1}')), base, gzip=True)
+    made = settle(rows.groupBy("n", "filename").agg(F.array_join(F.collect_list("line"), "\n").alias("content")))
+    sinks.write_files(made.filter("n % 2 = 1"), base, tasks=tasks(spark))
+    sinks.write_files(made.filter("n % 2 = 0"), base, gzip=True, tasks=tasks(spark))
+    sinks.write_files(made.filter("n = 1").withColumn("content", F.lit('{"event_id": -1}')), base, gzip=True, tasks=tasks(spark))
     got = files.read_step_output(spark, base, "validated", pipeline=["first", "last"])
     return got.groupBy("run", "step").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.try_variant_get("record", "$.event_id", "bigint")).alias("ids")

@@ -128,12 +128,12 @@ def read_step_output(
     Folders are listed before any file is opened, so only wanted files are read.
     """
     found: dict[tuple[str, str, str], str] = {}
-    for e in folders.files_below(spark, runs_path):
-        at = re.search(STEP_FILE, e.path)
+    for path in folders.paths_below(spark, runs_path):
+        at = re.search(STEP_FILE, path)
         if at and at[4] == kind and (step is None or at[3] == step):
             place = at.group(1, 2, 3)
             if place not in found or not at[5]:
-                found[place] = e.path
+                found[place] = path
     if pipeline and not step:
         reached = {run for run, _, s in found if s == pipeline[-1]}
         found = {k: p for k, p in found.items() if k[0] not in reached or k[2] == pipeline[-1]}
@@ -143,7 +143,7 @@ def read_step_output(
 def _records(spark: SparkSession, paths: list[str]) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], "value string, file string").select(F.try_parse_json("value").alias("record"), "file")
-    lines = spark.read.text([folders.literal(p) for p in paths]).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = folders.text_of(spark, paths).select("value", F.col("_metadata.file_path").alias("file"))
     return lines.select(F.try_parse_json("value").alias("record"), "file").filter(F.col("record").isNotNull())
 
 

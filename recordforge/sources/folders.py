@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Entry(NamedTuple):
@@ -20,39 +21,55 @@ def _open(spark: SparkSession, path: str):
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, where = _open(spark, path)
-    return fs.exists(where)
+    store, where = _open(spark, path)
+    return store.exists(where)
 
 
 def is_file(spark: SparkSession, path: str) -> bool:
-    fs, where = _open(spark, path)
-    return fs.exists(where) and fs.getFileStatus(where).isFile()
+    store, where = _open(spark, path)
+    return store.exists(where) and store.getFileStatus(where).isFile()
 
 
 def children(spark: SparkSession, path: str) -> list[Entry]:
     """What a folder holds; nothing if it does not exist."""
-    fs, where = _open(spark, path)
-    if not fs.exists(where):
+    store, where = _open(spark, path)
+    if not store.exists(where):
         return []
-    found = fs.listStatus(where)
+    found = store.listStatus(where)
     return [Entry(f.getPath().toString(), f.getPath().getName(), f.isFile(), f.getLen()) for f in found]
 
 
 def files_below(spark: SparkSession, path: str) -> list[Entry]:
     """All files below a folder, or the file itself."""
-    fs, where = _open(spark, path)
-    if not fs.exists(where):
+    store, where = _open(spark, path)
+    if not store.exists(where):
         return []
-    found, out = fs.listFiles(where, True), []
+    found, out = store.listFiles(where, True), []
     while found.hasNext():
         f = found.next()
         out.append(Entry(f.getPath().toString(), f.getPath().getName(), True, f.getLen()))
     return out
 
 
+def paths_below(spark: SparkSession, path: str) -> list[str]:
+    """Paths of all files below a folder. A local folder is walked at once, where other stores are asked file by file."""
+    store, where = _open(spark, path)
+    if store.getUri().getScheme() != "file" or is_file(spark, path):
+        return [e.path for e in files_below(spark, path)]
+    below = fs.FileSelector(where.toUri().getPath(), allow_not_found=True, recursive=True)
+    return [f"file://{f.path}" for f in fs.LocalFileSystem().get_file_info(below) if f.is_file]
+
+
+def text_of(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The lines of many files. Their paths are handed over in one piece, not one call each."""
+    handed = spark._jvm.java.util.regex.Pattern.compile("\n").splitAsStream("\n".join(map(literal, paths))).toList()
+    reader = spark.read
+    return reader._df(reader._jreader.text(spark._jvm.PythonUtils.toSeq(handed)))
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    fs, where = _open(spark, path)
-    fs.delete(where, True)
+    store, where = _open(spark, path)
+    store.delete(where, True)
 
 
 def literal(path: str) -> str:

@@ -51,12 +51,12 @@ def extracted(units: DataFrame, filename: str | Column, content: str | Column) -
     return named.withColumn("error", problem)
 
 
-def extract_units(units: DataFrame, filename: str | Column, content: str | Column, path: str, gzip: bool = False) -> DataFrame:
+def extract_units(units: DataFrame, filename: str | Column, content: str | Column, path: str, gzip: bool = False, tasks: int | None = None) -> DataFrame:
     """Write one file per unit into a folder that all executors share; returns counts of extracted and errors.
 
     Names that several units have are errors, so no file replaces another. A file is written beside its place under a name
     of its own and then put there, so a task that runs again or twice leaves neither doubles nor halves. Any store that
-    pyarrow knows by its address can hold the folder.
+    pyarrow knows by its address can hold the folder. `tasks` spreads the writing.
     """
     work = settle(extracted(units, filename, content))
     fine = F.col("error").isNull()
@@ -65,21 +65,28 @@ def extract_units(units: DataFrame, filename: str | Column, content: str | Colum
         "error", F.when(fine & F.col("_n").isNotNull(), F.lit("duplicate_filename")).otherwise(F.col("error"))
     )
     work = work.drop("_n")
-    extracted_count = write_files(work.filter(F.col("error").isNull()), path, gzip)
+    extracted_count = write_files(work.filter(F.col("error").isNull()), path, gzip, tasks)
     bad = work.filter(F.col("error").isNotNull()).agg(F.count(F.lit(1)).alias("errors"))
     return bad.select(F.lit(extracted_count).cast("long").alias("extracted"), "errors")
 
 
-def write_files(rows: DataFrame, path: str, gzip: bool = False) -> int:
-    """Write `content` of every row into the file `filename` below a folder; returns their number. Names are different."""
+def write_files(rows: DataFrame, path: str, gzip: bool = False, tasks: int | None = None) -> int:
+    """Write `content` of every row into the file `filename` below a folder; returns their number. Names are different.
+
+    Files cost time by their number and not by their size, which is all that Spark looks at when it merges small parts of a
+    shuffle; `tasks` spreads the files over that many tasks.
+    """
     ending = ".gz" if gzip else ""
 
     def save(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(path)
+        known = ""
         for b in batches:
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 folder, _, last = f"{base}/{name}".rpartition("/")
-                store.create_dir(folder, recursive=True)
+                if folder != known:
+                    store.create_dir(folder, recursive=True)
+                    known = folder
                 data = text.encode()
                 beside = f"{folder}/.{uuid.uuid4().hex}"
                 with store.open_output_stream(beside, compression=None) as f:
@@ -87,7 +94,9 @@ def write_files(rows: DataFrame, path: str, gzip: bool = False) -> int:
                 store.move(beside, f"{folder}/{last}{ending}")
             yield b.select([0])
 
-    return rows.select("filename", "content").mapInArrow(save, "filename string").count()
+    rows = rows.select("filename", "content")
+    rows = rows.repartition(tasks, "filename") if tasks else rows
+    return rows.mapInArrow(save, "filename string").count()
 
 
 def extract_counts(work: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from recordforge.operators import derive
 from recordforge.plans import derived, registry
+from recordforge.sources import files, sinks
 from tests.test_queries import SF
 
 
@@ -33,3 +34,32 @@ def test_rows_are_spread_by_default(spark):
 
 def test_walks_are_made_once_for_their_statistics(spark):
     assert "sha2(" not in _optimized(derived.random_walk_stats(spark, SF))
+
+
+def test_paths_are_handed_over_in_one_piece(spark, tmp_path, monkeypatch):
+    """A file costs no call to the JVM of its own, neither when it is listed nor when it is read."""
+    for i in range(300):
+        at = tmp_path / "run [1]" / "chunks" / f"chunk_{i}"
+        at.mkdir(parents=True)
+        (at / "last_validated.jsonl").write_text(f'{{"n": {i}}}')
+    calls, send = [], type(spark.sparkContext._gateway._gateway_client).send_command
+    monkeypatch.setattr(
+        type(spark.sparkContext._gateway._gateway_client), "send_command", lambda self, *a, **k: (calls.append(1), send(self, *a, **k))[1]
+    )
+    got = files.read_step_output(spark, str(tmp_path), "validated", pipeline=["last"])
+    assert len(calls) < 3 * 300  # some hundreds whatever the number of files
+    assert got.selectExpr("sum(try_variant_get(record, '$.n', 'int'))", "min(run)").first()[:] == (sum(range(300)), "run [1]")
+
+
+def test_small_files_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(0, 40, 1, 1).selectExpr("concat('f', id) AS filename", "cast(id AS string) AS content")
+    seen = []
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("files", "files")
+    try:
+        assert sinks.write_files(rows, str(tmp_path), tasks=6) == 40
+        for job in status.getJobIdsForGroup("files"):
+            seen += [status.getStageInfo(s).numTasks for s in status.getJobInfo(job).stageIds if status.getStageInfo(s)]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 6 in seen and len(list(tmp_path.glob("f*"))) == 40
