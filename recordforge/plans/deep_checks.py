@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordforge.operators import schema_check
-from recordforge.plans.registry import query, table
+from recordforge.plans.registry import query, table, tasks
 
 LEVELS = 10
 
@@ -69,7 +69,7 @@ def schema_non_finite(spark, sf):
             "x": {"type": "array", "items": {"properties": {"y": {"type": "number", "minimum": 0}}}},
         },
     }
-    checked = schema_check.check_schema(table(spark, sf, "orders").selectExpr("o_orderkey", f"{text} AS j"), schema, "j")
+    checked = schema_check.check_schema(table(spark, sf, "orders").selectExpr("o_orderkey", f"{text} AS j"), schema, "j", tasks=tasks(spark))
     return checked.select("o_orderkey", F.array_join(F.transform("errors", lambda e: e.message), "; ").alias("messages"), "is_valid")
 
 
