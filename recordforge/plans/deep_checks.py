@@ -35,7 +35,7 @@ _DEEP_PATH = "$." + ".".join(f"l{i}" for i in range(1, LEVELS + 1))
 def schema_deep(spark, sf):
     """Ten objects inside each other, the last one closed, and three arrays inside each other."""
     rows = table(spark, sf, "orders").selectExpr("o_orderkey", f"{_DEEP} AS j")
-    checked = schema_check.check_schema(rows, _deep_schema(), "j")
+    checked = schema_check.check_schema(rows, _deep_schema(), "j", tasks=tasks(spark))
     return checked.select(
         "o_orderkey",
         F.try_variant_get("data", f"{_DEEP_PATH}.n", "bigint").alias("n"),

@@ -67,5 +67,5 @@ def test_small_files_are_written_by_many_tasks(spark, tmp_path):
 
 def test_schema_checks_are_spread(spark):
     """One row group of orders is one task otherwise."""
-    for made in (deep_checks.schema_non_finite,):
+    for made in (deep_checks.schema_deep, deep_checks.schema_non_finite):
         assert made(spark, SF).rdd.getNumPartitions() == registry.tasks(spark)
