@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from recordforge.llm.components import components
 from recordforge.llm.textarrays import mix, pieces, split, whole_hash, window_hashes, word_hashes
-from recordforge.llm.work import stored, tidy
+from recordforge.llm.work import stored, tidy, tidy_group
 
 WORDS = 5
 PERCENT = 75
@@ -290,7 +290,7 @@ def shared_tokens(docs: DataFrame, total: int) -> DataFrame:
         )
 
     packed = docs.select("text").mapInArrow(tidy(pack), _RUN_SCHEMA).repartition(min(bins, MOST_TASKS), "bin")
-    return packed.groupBy("bin").applyInArrow(count, "name long, count long, is_token boolean")
+    return packed.groupBy("bin").applyInArrow(tidy_group(count), "name long, count long, is_token boolean")
 
 
 def _token_bins(total: int) -> int:
@@ -345,7 +345,7 @@ def circles(sets: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
         return pa.table({"node": pairs[:, 0], "leader": pairs[:, 1]})
 
     packed = sets.select("node", "held", "tokens").mapInArrow(tidy(pack), _RUN_SCHEMA).repartition(min(bins, MOST_TASKS), "bin")
-    return packed.groupBy("bin").applyInArrow(lists, "node long, leader long").distinct()
+    return packed.groupBy("bin").applyInArrow(tidy_group(lists), "node long, leader long").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -514,7 +514,7 @@ def _met(dealt: DataFrame, sets: DataFrame, total: int, links: Callable) -> Data
     # The tokens of a node travel once per unit.
     once = named.groupBy("unit", "node", "part").agg(F.collect_set("circle").alias("circles"))
     full = once.join(sets.select("node", "tokens").hint("merge"), "node").repartition(min(units, MOST_TASKS), "unit")
-    return full.groupBy("unit").applyInArrow(settle, "a long, b long").distinct()
+    return full.groupBy("unit").applyInArrow(tidy_group(settle), "a long, b long").distinct()
 
 
 def _settled(undecided: DataFrame, sets: DataFrame) -> DataFrame:

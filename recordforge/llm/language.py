@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordforge.llm.work import free_name
+from recordforge.llm.work import free_name, tidy
 
 SIGNS = 64  # alphabet size, including "other letter" and "no letter"
 MOST_LANGUAGES = 1000  # that are learned
@@ -158,4 +158,4 @@ def identify(
     rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
     out = [*keep, free_name(rows, "lang_pred"), free_name(rows, "score")]
     kinds = [*(rows.schema[c].dataType.simpleString() for c in keep), "string", "double"]
-    return rows.mapInArrow(score, ", ".join(f"`{c}` {t}" for c, t in zip(out, kinds)))
+    return rows.mapInArrow(tidy(score), ", ".join(f"`{c}` {t}" for c, t in zip(out, kinds)))

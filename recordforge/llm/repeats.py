@@ -28,15 +28,17 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordforge.llm.textarrays import Words, pieces, split, window_hashes, word_hashes
-from recordforge.llm.work import free_name
+from recordforge.llm.textarrays import Words, pieces, sized_pieces, split, window_hashes, word_hashes
+from recordforge.llm.work import free_name, tidy, tidy_group
 
 WINDOW = 20
 PHRASE = 8
 PART_BYTES = 2 << 20
+STARTS = 1 << 14  # phrases whose windows are looked at together
 _SIGNS = 64
 _INSIDE = WINDOW - PHRASE + 1  # phrases in a window
 _LAST = np.iinfo(np.int64).max
@@ -100,20 +102,26 @@ def _texts(table: pa.Table | pa.RecordBatch, name: str) -> list[bytes | None]:
     return table.column(name).cast(pa.binary()).to_pylist()
 
 
+def _pieces(b: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about `most` bytes of text each, so that its texts are never copied all at once."""
+    sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()
+    for lo, hi in sized_pieces(sizes, most):
+        yield b.slice(lo, hi - lo)
+
+
 def _recurring(rows: DataFrame, parts: int, bins: int, part: str, text: str) -> DataFrame:
     """(part, keys): for each part the packed keys of its phrases that recur anywhere."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, own = _texts(b, text), b.column(part).to_numpy()
-            for lo, hi in pieces(texts):
-                words = split(texts[lo:hi])
+            for piece in _pieces(b, text):
+                words, own = split(_texts(piece, text)), piece.column(part).to_numpy()
                 p = Places(words)
                 at = np.flatnonzero(p.represents)
                 if len(at):
                     doc = np.searchsorted(words.first, at, "right") - 1
                     low = (p.phrases[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                    yield _by_group(_bin(p.phrases[at], bins), {"keys": low, "parts": own[lo:hi][doc].astype(np.uint32)})
+                    yield _by_group(_bin(p.phrases[at], bins), {"keys": low, "parts": own[doc].astype(np.uint32)})
 
     def confirm(table: pa.Table) -> pa.Table:
         keys, where = _column(table, "keys", np.uint32), _column(table, "parts", np.uint32)
@@ -129,8 +137,8 @@ def _recurring(rows: DataFrame, parts: int, bins: int, part: str, text: str) ->
         out = _by_group((both & np.uint64(0xFFFFFFFF)).astype(np.int64), {"keys": found}, "part")
         return pa.Table.from_batches([out])
 
-    packed = rows.select(part, text).mapInArrow(pack, "bin long, keys binary, parts binary")
-    return packed.groupBy("bin").applyInArrow(confirm, "part long, keys binary")
+    packed = rows.select(part, text).mapInArrow(tidy(pack), "bin long, keys binary, parts binary")
+    return packed.groupBy("bin").applyInArrow(tidy_group(confirm), "part long, keys binary")
 
 
 def _slices(rows: DataFrame, part: str, text: str) -> DataFrame:
@@ -139,9 +147,7 @@ def _slices(rows: DataFrame, part: str, text: str) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for b in batches:
-            texts = _texts(b, text)
-            for lo, hi in pieces(texts, 8 << 20):
-                own = b.slice(lo, hi - lo)
+            for own in _pieces(b, text, 8 << 20):
                 groups = own.column(part).to_numpy()
                 order = np.argsort(groups, kind="stable")
                 found, at = np.unique(groups[order], return_index=True)
@@ -154,7 +160,7 @@ def _slices(rows: DataFrame, part: str, text: str) -> DataFrame:
                     blobs.append(sink.getvalue().to_pybytes())
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "rows"])
 
-    return rows.mapInArrow(pack, "part long, rows binary")
+    return rows.mapInArrow(tidy(pack), "part long, rows binary")
 
 
 def _unpacked(table: pa.Table) -> pa.Table | None:
@@ -200,11 +206,15 @@ def _located(p: Places, keys: np.ndarray, bins: int) -> np.ndarray:
             ends += [base + end for end, _ in automaton.iter(spelled[own.start * width : own.stop * width])]
     found = np.array(ends, np.int64)
     starts = found[found % width == 0] // width - PHRASE  # matches between two words are none
-    windows = (starts[:, None] - np.arange(_INSIDE)).ravel()
-    phrases = np.repeat(p.phrases[starts], _INSIDE)
-    inside = (windows >= 0) & (windows < len(p.least))
-    windows, phrases = windows[inside], phrases[inside]
-    return np.unique(windows[p.least[windows] == phrases])
+    found = [starts[:0]]
+    for lo in range(0, len(starts), STARTS):
+        own = starts[lo : lo + STARTS]
+        windows = (own[:, None] - np.arange(_INSIDE)).ravel()
+        phrases = np.repeat(p.phrases[own], _INSIDE)
+        inside = (windows >= 0) & (windows < len(p.least))
+        windows, phrases = windows[inside], phrases[inside]
+        found.append(np.unique(windows[p.least[windows] == phrases]))
+    return np.unique(np.concatenate(found))
 
 
 def _windows(slices: DataFrame, phrases: DataFrame, bins: int, window_bins: int, doc_id: str, text: str) -> DataFrame:
@@ -239,7 +249,7 @@ def _windows(slices: DataFrame, phrases: DataFrame, bins: int, window_bins: int,
         return whole.add_column(1, "part", pa.array([key[0].as_py()] * out.num_rows, pa.int64()))
 
     schema = "bin long, part long, hashes binary, docs binary, places binary, many binary"
-    return slices.groupBy("part").cogroup(phrases.groupBy("part")).applyInArrow(locate, schema)
+    return slices.groupBy("part").cogroup(phrases.groupBy("part")).applyInArrow(tidy_group(locate), schema)
 
 
 def _first_places(windows: DataFrame) -> DataFrame:
@@ -257,7 +267,7 @@ def _first_places(windows: DataFrame) -> DataFrame:
         out = _by_group(part[later], {"hashes": hashes[later], "docs": docs[first][later], "places": places[first][later]}, "part")
         return pa.Table.from_batches([out])
 
-    return windows.groupBy("bin").applyInArrow(judge, "part long, hashes binary, docs binary, places binary")
+    return windows.groupBy("bin").applyInArrow(tidy_group(judge), "part long, hashes binary, docs binary, places binary")
 
 
 def remove_repeats(
@@ -320,4 +330,4 @@ def remove_repeats(
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     slices = _slices(rows, part, text)
     result = ", ".join([*fields, *(f"{c} long" for c in counted)])
-    return slices.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(cut, result)
+    return slices.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(tidy_group(cut), result)
