@@ -134,16 +134,19 @@ def validate_step(
     results_order: Sequence[str] | None = None,
     inputs_order: Sequence[str] | None = None,
     unique: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Judge every unit of a step once: (unit_id, step, status, failure_stage, data, input, errors, warnings, ...).
 
     `results` has `unit_id, data` (MAP<STRING, VARIANT>) and optional `raw_response, retry_count`. Of several results or
     inputs of one unit one counts, as `one_per_key` chooses it. Rules see the fields of `schema` plus
     those named in `types`. Inputs without a result become `pipeline_internal` failures by the same outer join that merges
-    the inputs, so the whole step is one shuffle join and one stage of projections. `fix` stores the judged table in the
+    the inputs, so the whole step is one shuffle join and one stage of projections. `tasks` spreads the inputs before they
+    are packed. `fix` stores the judged table in the
     shared folder, because valid and failed rows are read separately afterwards.
     """
-    packed = inputs.filter(F.col("unit_id").isNotNull()).select(
+    own = inputs.filter(F.col("unit_id").isNotNull())
+    packed = (own.repartition(tasks) if tasks else own).select(
         F.col("unit_id").alias("_key"),
         row_as_map(inputs.columns).alias("input"),
         (F.col("retry_count").cast("int") if "retry_count" in inputs.columns else F.lit(None).cast("int")).alias("_in_count"),

@@ -236,12 +236,13 @@ def judged_step(spark, sf, fix: bool = True):
 
     Order keys are the primary key of both sides, so neither needs a choice of one row per unit.
     """
-    read = infer.read_responses(responses(spark, sf), "response", "v").filter("v is not null")
+    n = 2 * spark.sparkContext.defaultParallelism  # a task of this plan costs much by itself
+    read = infer.read_responses(responses(spark, sf, n), "response", "v").filter("v is not null")
     results = read.select("unit_id", entries(F.col("v")).alias("data"), F.col("response").alias("raw_response"))
     inputs = table(spark, sf, "orders").select("o_orderkey", "o_custkey").selectExpr(
         "cast(o_orderkey as string) AS unit_id", "o_custkey AS custkey", "cast(o_orderkey % 3 as int) AS retry_count"
     )
-    return validate.validate_step(results, inputs, SCHEMA, STEP_RULES, "price", {"custkey": "bigint"}, fix=fix, unique=True)
+    return validate.validate_step(results, inputs, SCHEMA, STEP_RULES, "price", {"custkey": "bigint"}, fix=fix, unique=True, tasks=n)
 
 
 STEP_SQL = f"""

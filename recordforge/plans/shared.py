@@ -100,9 +100,10 @@ def chunks(spark, sf: str) -> DataFrame:
     return derived(spark, sf, CHUNKS_SQL, "orders")
 
 
-def responses(spark, sf: str) -> DataFrame:
-    """(unit_id, k, response) per order."""
+def responses(spark, sf: str, tasks: int | None = None) -> DataFrame:
+    """(unit_id, k, response) per order; `tasks` spreads the rows first."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    orders = orders.repartition(tasks) if tasks else orders
     return orders.selectExpr("cast(o_orderkey as string) AS unit_id", "o_orderkey", "o_orderkey % 10 AS k", f"{RESPONSE} AS response")
 
 

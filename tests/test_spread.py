@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from recordforge.operators import derive
-from recordforge.plans import deep_checks, derived, registry
+from recordforge.plans import checks, deep_checks, derived, registry
 from recordforge.sources import files, sinks
 from tests.test_queries import SF
 
@@ -69,3 +69,9 @@ def test_schema_checks_are_spread(spark):
     """One row group of orders is one task otherwise."""
     for made in (deep_checks.schema_deep, deep_checks.schema_non_finite):
         assert made(spark, SF).rdd.getNumPartitions() == registry.tasks(spark)
+
+
+def test_steps_are_spread_before_they_are_parsed(spark):
+    """Responses and inputs are narrow rows of few row groups until then."""
+    lines = _optimized(checks.judged_step(spark, SF, fix=False)).splitlines()
+    assert sum(f"Repartition {2 * spark.sparkContext.defaultParallelism}, true" in x for x in lines) == 2
