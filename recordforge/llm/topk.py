@@ -6,9 +6,10 @@ bound of their inner product, (|q|^2 + |x|^2 - bound^2) / 2. Candidates are eval
 query stops as soon as no bound reaches its k-th score. Scores are integers and exact; ties go to the smaller id, so the
 search goes on while a bound equals the k-th score.
 
-Rows are dealt by hash into blocks of bounded size. Queries, a stated part of the rows, are blocks too; every block of
-queries meets every block of rows, and best scores are carried from block to block inside a task. Pivots are chosen on a
-bounded sample by farthest-first traversal; they decide about speed only.
+Rows are dealt by hash into slices of bounded size, one task each. Queries, a stated part of the rows, go to every slice as
+plain rows and stream past it, so a task holds one slice and one block of queries; nothing is joined, and no part of either
+side passes through the driver. The best of all slices are ranked at the end. Pivots are chosen on a bounded sample by
+farthest-first traversal; they decide about speed only.
 
 Vectors that are NULL or hold NULL or non-finite components take no part, nor do NULL ids and empty vectors. Vectors only
 meet those of the same dimension. Rows with one id are separate candidates; a query leaves out all rows of its own id, and
@@ -24,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordforge.llm.work import stored
+from recordforge.llm.work import stored, tidy
 
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 65_536  # at most so many rows in a slice of one dimension,
+BLOCK_VALUES = 1 << 22  # and at most about so many components
+LEAST_ROWS = 4_096  # smaller slices are not made for the sake of more tasks
 BLOCK_QUERIES = 512
-SLICES = 64  # at most so many tasks share the rows for one block of queries
 CHUNK = 512
 
 
@@ -69,46 +71,39 @@ class Best:
         self.scores[q], self.ids[q] = scores[order], ids[order]
 
 
-def search(best: Best, q_ids, q, q_far, ids, x, x_far) -> None:
-    """Merge the candidates of one block of rows into `best`; `*_far` are distances to the pivots."""
-    q_size, x_size = (q**2).sum(1), (x**2).sum(1)
-    by_pivot = np.ascontiguousarray(x_far.T)
+class Slice:
+    """The rows of one slice, with their distances to the pivots."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, kind: type):
+        self.ids, self.size = ids, (vectors**2).sum(1)
+        self.by_pivot = np.ascontiguousarray(distances(vectors, pivots).T)
+        self.vectors = vectors.astype(kind)
+
+
+def search(best: Best, q_ids, q, q_far, x: Slice) -> None:
+    """Merge the candidates of one slice into `best`; `q_far` are distances to the pivots."""
+    q_size, q_fine = (q**2).sum(1), q.astype(x.vectors.dtype)
+    apart = np.empty(len(x.ids))
     for i in range(len(q_ids)):
-        gap = np.zeros(len(ids))
-        for far, own in zip(by_pivot, q_far[i]):
-            np.maximum(gap, np.abs(far - own), out=gap)
+        gap = np.zeros(len(x.ids))
+        for far, own in zip(x.by_pivot, q_far[i]):
+            np.abs(np.subtract(far, own, out=apart), out=apart)
+            np.maximum(gap, apart, out=gap)
         # A little slack for rounding in the distances; scores themselves are integers.
         gap = np.maximum(gap * (1 - 1e-9) - 1e-6, 0)
-        bound = (q_size[i] + x_size - gap**2) / 2
-        bound[ids == q_ids[i]] = -np.inf
-        open_rows = np.flatnonzero(np.floor(bound + 0.5) >= best.worst(i)) if best.worst(i) > -np.inf else np.flatnonzero(bound > -np.inf)
-        order = open_rows[np.argsort(-bound[open_rows], kind="stable")]
-        for at in range(0, len(order), CHUNK):
-            rows = order[at : at + CHUNK]
-            if np.floor(bound[rows[0]] + 0.5) < best.worst(i):
-                break
-            best.add(i, x[rows] @ q[i], ids[rows])
-
-
-def _packed(rows: DataFrame, key: str, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """(dim, key, ids, vectors, far): one row per block."""
-    shared = rows.sparkSession.sparkContext.broadcast(pivots)
-
-    def pack(table: pa.Table) -> pa.Table:
-        dim = table.column("dim")[0].as_py()
-        flat = table.column("v").combine_chunks().flatten().to_numpy()
-        vectors = flat.reshape(-1, dim).astype(np.float64)
-        if float(np.abs(vectors).max()) ** 2 * dim * 4 >= 2.0**53:
-            raise ValueError("vector components are too large for exact scores")
-        far = distances(vectors, shared.value[dim])
-        cells = [table.column("vec_id").to_numpy().astype(np.int64), vectors, far]
-        return pa.table(
-            {"dim": pa.array([dim], pa.int32()), key: pa.array([table.column(key)[0].as_py()], pa.int64())}
-            | {n: pa.array([c.tobytes()], pa.binary()) for n, c in zip(("ids", "vectors", "far"), cells)}
-        )
-
-    schema = f"dim int, {key} long, ids binary, vectors binary, far binary"
-    return rows.groupBy("dim", key).applyInArrow(pack, schema)
+        bound = (q_size[i] + x.size - gap**2) / 2
+        bound[x.ids == q_ids[i]] = -np.inf
+        bound = np.floor(bound + 0.5)
+        open_rows = np.flatnonzero((bound >= best.worst(i)) & (bound > -np.inf))
+        order = open_rows[np.argsort(-bound[open_rows])]
+        at, step = 0, CHUNK
+        while at < len(order) and bound[order[at]] >= best.worst(i):
+            rows = order[at : at + step]
+            scores = (x.vectors[rows] @ q_fine[i]).astype(np.float64)
+            near = scores >= best.worst(i)
+            if near.any():
+                best.add(i, scores[near], x.ids[rows[near]])
+            at, step = at + step, 2 * step
 
 
 def top_k(
@@ -116,57 +111,67 @@ def top_k(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) for a table (vec_id, embedding)."""
     spark = table.sparkSession
-    whole = table.select("vec_id", integers(F.col("embedding"), scale).alias("v")).filter("v is not null and vec_id is not null")
-    rows = stored(whole.withColumn("dim", F.size("v")).withColumn("query", F.coalesce(is_query, F.lit(False))), "vectors")
-    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("query").alias("q")).collect()
-    per_dim = max(256, sample // max(1, len(sizes)))
+    whole = table.select("vec_id", integers(F.col("embedding"), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
+    whole = whole.filter("v is not null and vec_id is not null").withColumn("dim", F.size("v"))
+    rows = stored(whole.withColumn("place", F.monotonically_increasing_id()), "vectors")
+    largest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).alias("largest")
+    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), largest).collect()
+    if any(s["largest"] ** 2 * s["dim"] * 4 >= 2.0**53 for s in sizes):
+        raise ValueError("vector components are too large for exact scores")
+    # Single precision holds all sums below 2**24.
+    kinds = {s["dim"]: np.float32 if s["largest"] ** 2 * s["dim"] < 2.0**24 else np.float64 for s in sizes}
+    per_dim = max(1, sample // max(1, len(sizes)))
     mixed = Window.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id")
     picked = rows.withColumn("_r", F.row_number().over(mixed)).filter(F.col("_r") <= per_dim).select("dim", "v").collect()
     pivots = {
         s["dim"]: choose_pivots(np.array([p["v"] for p in picked if p["dim"] == s["dim"]], np.float64), n_pivots) for s in sizes
     }
-    blocks = max([1, *(-(-s["n"] // BLOCK_ROWS) for s in sizes)])
-    query_blocks = max([1, *(-(-s["q"] // BLOCK_QUERIES) for s in sizes)])
-    slices = min(blocks, SLICES)
-    deal = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n))
-    x = _packed(rows.select("vec_id", "v", "dim", deal(blocks, 1).alias("block")), "block", pivots)
-    q = _packed(rows.filter("query").select("vec_id", "v", "dim", deal(query_blocks, 2).alias("own")), "own", pivots)
-    x = x.withColumn("own", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("slice", F.col("block") % slices)
-    q = q.select(
-        "dim", F.col("own").alias("o"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"),
-        F.col("far").alias("q_far"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("s"),
-    )
-    pairs = x.join(
-        q.withColumnRenamed("dim", "d"), (F.col("dim") == F.col("d")) & (F.col("own") == F.col("o")) & (F.col("slice") == F.col("s"))
-    ).select("dim", "own", "ids", "vectors", "far", "q_ids", "q_vectors", "q_far")
+    shared = spark.sparkContext.broadcast((pivots, kinds))
+    least = max([1, *(-(-s["n"] // max(1, min(BLOCK_ROWS, BLOCK_VALUES // s["dim"]))) for s in sizes)])
+    spread = min(2 * spark.sparkContext.defaultParallelism, max([1, *(s["n"] // LEAST_ROWS for s in sizes)]))
+    slices = max(least, spread)
+    parts = ("place", "vec_id", F.col("v").cast("array<int>").alias("v"))
+    own = F.pmod(F.xxhash64("place"), F.lit(slices)).cast("int")
+    x = rows.select("dim", own.alias("slice"), F.lit(False).alias("asks"), *parts)
+    q = rows.filter("query").select("dim", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(True).alias("asks"), *parts)
+    met = x.unionByName(q).repartitionById(slices, "slice").sortWithinPartitions("slice", "dim", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, int], tuple[np.ndarray, Best]] = {}
+        key, held, kept = None, [], None  # rows of a slice come before its queries
         for b in batches:
-            for r in range(b.num_rows):
-                row = {n: b.column(n)[r].as_py() for n in b.schema.names}
-                dim = row["dim"]
-                numbers = lambda n, t=np.float64: np.frombuffer(row[n], t)  # noqa: E731, B023
-                q_ids, ids = numbers("q_ids", np.int64), numbers("ids", np.int64)
-                wide = lambda n, count: numbers(n).reshape(count, -1)  # noqa: E731, B023
-                _, best = found.setdefault((dim, row["own"]), (q_ids, Best(len(q_ids), k)))
-                search(
-                    best, q_ids, wide("q_vectors", len(q_ids)), wide("q_far", len(q_ids)),
-                    ids, wide("vectors", len(ids)), wide("far", len(ids)),
-                )
-        for (dim, own), (q_ids, best) in found.items():
-            count = [len(s) for s in best.scores]
-            place = np.repeat(np.arange(len(q_ids)), count)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(q_ids, count)), pa.array(np.full(len(place), dim), pa.int32()),
-                    pa.array(np.full(len(place), own), pa.int64()), pa.array(place, pa.int64()),
-                    pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores).astype(np.int64)),
-                ],
-                names=["query_id", "dim", "own", "place", "vec_id", "score"],
-            )
-
-    near = pairs.mapInArrow(run, "query_id long, dim int, own long, place long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "dim", "own", "place").orderBy(F.desc("score"), "vec_id")
+            dims, at, asks = (b.column(n).to_numpy(zero_copy_only=False) for n in ("dim", "slice", "asks"))
+            change = (np.diff(dims) != 0) | (np.diff(at) != 0) | (np.diff(asks.astype(np.int8)) != 0)
+            for piece, first in _pieces(b, [0, *(np.flatnonzero(change) + 1), b.num_rows]):
+                dim = int(dims[first])
+                ids = piece.column("vec_id").to_numpy()
+                vectors = piece.column("v").flatten().to_numpy().reshape(-1, dim).astype(np.float64)
+                if (dim, at[first]) != key:
+                    key, held, kept = (dim, at[first]), [], None
+                if not asks[first]:
+                    held.append((ids, vectors))
+                    continue
+                if kept is None and held:
+                    all_ids, all_vectors = (np.concatenate(c) for c in zip(*held))
+                    held, kept = [], Slice(all_ids, all_vectors, shared.value[0][dim], shared.value[1][dim])
+                if kept is None:
+                    continue
+                best = Best(len(ids), k)
+                search(best, ids, vectors, distances(vectors, shared.value[0][dim]), kept)
+                count = [len(s) for s in best.scores]
+                cells = [
+                    np.repeat(ids, count), np.repeat(piece.column("place").to_numpy(), count),
+                    np.concatenate(best.ids), np.concatenate(best.scores).astype(np.int64),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["query_id", "place", "vec_id", "score"])
+
+    near = met.mapInArrow(tidy(run), "query_id long, place long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "place").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _pieces(batch: pa.RecordBatch, borders: list[int]) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Parts of a batch between borders, of at most a block of queries each, and where they begin."""
+    for a, b in zip(borders, borders[1:]):
+        for first in range(a, b, BLOCK_QUERIES):
+            yield batch.slice(first, min(BLOCK_QUERIES, b - first)), first
