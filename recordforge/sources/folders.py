@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import gzip as gz
+from collections.abc import Iterable
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+READ_BYTES = 8 << 20  # contents handed over at once
+
+
 class Entry(NamedTuple):
     path: str
     name: str
@@ -67,6 +73,36 @@ def text_of(spark: SparkSession, paths: list[str]) -> DataFrame:
     return reader._df(reader._jreader.text(spark._jvm.PythonUtils.toSeq(handed)))
 
 
+def contents(names: DataFrame, path: str, gzip: bool = False, tasks: int | None = None) -> DataFrame:
+    """(filename, content) of the files below a folder that a table names; `tasks` spreads the reading.
+
+    Tasks open the files. A reader of folders lists them first and keeps every path in the driver, leaves out empty files
+    and names that begin with `_` or `.`, and tells names in the form of addresses.
+    """
+    ending = ".gz" if gzip else ""
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(path)
+        told = lambda c: pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.binary())], names=["filename", "content"])
+        for b in batches:
+            held, size = ([], []), 0
+            for name in b.column(0).to_pylist():
+                with store.open_input_stream(f"{base}/{name}{ending}", compression=None) as f:
+                    data = f.read()
+                held[0].append(name)
+                held[1].append(gz.decompress(data) if gzip else data)
+                size += len(held[1][-1])
+                if size >= READ_BYTES:
+                    yield told(held)
+                    held, size = ([], []), 0
+            if held[0]:
+                yield told(held)
+
+    rows = names.select("filename")
+    rows = rows.repartition(tasks, "filename") if tasks else rows
+    return rows.mapInArrow(read, "filename string, content binary")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     store, where = _open(spark, path)
     store.delete(where, True)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from recordforge.operators.units import assign_chunks
 from recordforge.session import settle
@@ -58,16 +59,25 @@ def extract_units(units: DataFrame, filename: str | Column, content: str | Colum
     of its own and then put there, so a task that runs again or twice leaves neither doubles nor halves. Any store that
     pyarrow knows by its address can hold the folder. `tasks` spreads the writing.
     """
-    work = settle(extracted(units, filename, content))
-    fine = F.col("error").isNull()
-    shared = work.filter(fine).groupBy("filename").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    work = work.join(shared, "filename", "left").withColumn(
-        "error", F.when(fine & F.col("_n").isNotNull(), F.lit("duplicate_filename")).otherwise(F.col("error"))
-    )
-    work = work.drop("_n")
-    extracted_count = write_files(work.filter(F.col("error").isNull()), path, gzip, tasks)
-    bad = work.filter(F.col("error").isNotNull()).agg(F.count(F.lit(1)).alias("errors"))
-    return bad.select(F.lit(extracted_count).cast("long").alias("extracted"), "errors")
+    made, without = extract_told(units, filename, content, path, gzip, tasks)
+    bad = without.agg(F.count(F.lit(1)).alias("errors"))
+    return bad.select(F.lit(made.count()).cast("long").alias("extracted"), "errors")
+
+
+def extract_told(
+    units: DataFrame, filename: str | Column, content: str | Column, path: str, gzip: bool = False, tasks: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """`extract_units` told one by one: (filename) of the files, and (unit_id, filename, content, error) of units without one.
+
+    Contents of units without a file stay where they are, so a name that many lack is no hot key.
+    """
+    work = settle(extracted(units, filename, content).withColumn("unit_id", F.col("unit_id").cast("string")))
+    fine = work.filter(F.col("error").isNull())
+    shared = fine.groupBy("filename").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    judged = fine.join(shared, "filename", "left").withColumn("error", F.when(F.col("_n").isNotNull(), F.lit("duplicate_filename")))
+    judged = judged.repartition(tasks, "filename") if tasks else judged
+    told = settle(_written(judged.drop("_n").unionByName(work.filter(F.col("error").isNotNull())), path, gzip))
+    return told.filter(F.col("error").isNull()).select("filename"), told.filter(F.col("error").isNotNull())
 
 
 def write_files(rows: DataFrame, path: str, gzip: bool = False, tasks: int | None = None) -> int:
@@ -76,13 +86,21 @@ def write_files(rows: DataFrame, path: str, gzip: bool = False, tasks: int | Non
     Files cost time by their number and not by their size, which is all that Spark looks at when it merges small parts of a
     shuffle; `tasks` spreads the files over that many tasks.
     """
+    rows = rows.select("filename", "content")
+    rows = rows.repartition(tasks, "filename") if tasks else rows
+    return _written(rows.withColumn("error", F.lit(None).cast("string")), path, gzip).count()
+
+
+def _written(rows: DataFrame, path: str, gzip: bool) -> DataFrame:
+    """Rows with an error as they are, all others without content: theirs is written into a file when they are read."""
     ending = ".gz" if gzip else ""
 
     def save(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(path)
         known = ""
         for b in batches:
-            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            names, texts, errors = (b.column(c).to_pylist() for c in ("filename", "content", "error"))
+            for name, text in ((n, t) for n, t, e in zip(names, texts, errors) if e is None):
                 folder, _, last = f"{base}/{name}".rpartition("/")
                 if folder != known:
                     store.create_dir(folder, recursive=True)
@@ -92,11 +110,10 @@ def write_files(rows: DataFrame, path: str, gzip: bool = False, tasks: int | Non
                 with store.open_output_stream(beside, compression=None) as f:
                     f.write(gz.compress(data, mtime=0) if gzip else data)
                 store.move(beside, f"{folder}/{last}{ending}")
-            yield b.select([0])
+            left = pa.array([t if e is not None else None for t, e in zip(texts, errors)], b.column("content").type)
+            yield pa.RecordBatch.from_arrays([left if c == "content" else b.column(c) for c in b.schema.names], names=b.schema.names)
 
-    rows = rows.select("filename", "content")
-    rows = rows.repartition(tasks, "filename") if tasks else rows
-    return rows.mapInArrow(save, "filename string").count()
+    return rows.mapInArrow(save, StructType([StructField(f.name, f.dataType) for f in rows.schema]))
 
 
 def extract_counts(work: DataFrame) -> DataFrame:
